@@ -30,7 +30,7 @@ class WordTokenizer:
     half of the cache goes; the pieces met first are the common ones.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
