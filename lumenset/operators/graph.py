@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import materialize
+from lumenset.functions.storage import materialize
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
