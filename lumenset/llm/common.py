@@ -1,45 +1,18 @@
-"""Small pieces that several operators share: the shared folder, written tables, words and hashes."""
+"""Small pieces that several operators share: words and hashes; written tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenset.functions.storage import fresh_path, materialize, shared_dir  # noqa: F401
+
 #: The separators of words: space and U+0009 to U+000D. ``bytes.split()`` splits at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset a temporary folder is taken in local mode, as in tests; on a cluster it must be set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: str = "text") -> Column:
     """The text's UTF-8 bytes (null: empty), which Python splits into words without decoding them."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
