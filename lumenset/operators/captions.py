@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the integrity checks.
 MIN_CHARS, NGRAM, TIMES, GARBAGE = 3, 3, 3, 0.15
@@ -65,7 +66,7 @@ def has_residue(text: Column) -> Column:
     return text.rlike(RESIDUE)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_garbage(texts: pd.Series) -> pd.Series:
     """At least 15 % of the characters are replacement characters, or neither printable nor white space."""
 
@@ -115,7 +116,7 @@ def _claims(raw: str | None) -> list[dict]:
     return [r for r in rows if any(c.isalpha() for c in r["text"])]
 
 
-@F.pandas_udf("array<struct<text:string,kind:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("text", "string").add("kind", "string")))
 def parse_claims(raw: pd.Series) -> pd.Series:
     return raw.map(_claims)
 
@@ -124,7 +125,7 @@ def _ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a.split(), b.split()).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rewrite_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
     """How much of the words a rewrite keeps, from 0 to 1."""
     return pd.Series([_ratio(a or "", b or "") for a, b in zip(before, after, strict=True)])
@@ -151,7 +152,7 @@ def merged(base: str, current: str, incoming: str) -> str:
     return " ".join(out + o[at:])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def three_way_merge(base: pd.Series, current: pd.Series, incoming: pd.Series) -> pd.Series:
     return pd.Series([merged(x or "", y or "", z or "") for x, y, z in zip(base, current, incoming, strict=True)])
 
