@@ -164,7 +164,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rou
     own = own.withColumn("hash", F.xxhash64("words"))
     scan = materialize(_scan(own, "words", "found").drop("words"), "pii-scan")
     more = _learned(scan.select("key", "hash", "found"), rounds, support, trust)
-    more = more.groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
+    more = materialize(more.groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")), "pii-more")
     base = F.transform(F.filter("found", lambda x: x["kind"] >= 0), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     out = scan.withColumn("base", base).join(more, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
     none = F.filter("base", lambda x: x["kind"] < 0)
