@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +29,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-class WordHashes(dict):
-    """XXH64 by word, kept while it has fewer than ``limit`` words."""
-
-    def __init__(self, seed: int = 42, limit: int = 400_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def release() -> None:
+    """Gives memory that Arrow and the C library hold, but don't use, back to the system; a worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenset.llm.common import fresh_path, materialize
+from lumenset.llm.common import fresh_path, materialize, release
 from lumenset.llm.packing import _slices
 from lumenset.llm.tokens import tokenizer
 
@@ -102,6 +102,7 @@ def write(
                 out.write(frame)
                 index.append((key or 0, key is None, at, len(frame), len(own)))
                 at, tokens = at + len(frame), tokens + len(own)
+        release()
         if out is not None:
             out.write(np.array(index, dtype=INDEX).tobytes() + np.array([at, len(index)], "<i8").tobytes())
             out.close()

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import materialize
+from lumenset.llm.common import materialize, release
 from lumenset.llm.tokens import tokenizer
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long"
@@ -57,7 +57,7 @@ class OpenWindows:
         return out
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def _slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     """Parts of a batch with about ``most`` bytes of text each."""
     size = max(1, batch.column(column).nbytes)
     step = max(1, batch.num_rows * most // size)
@@ -119,12 +119,14 @@ def pack(
                         full += 1
                     else:
                         close(windows.place(piece, len(cut)))
+            del ids, starts
             if rows:
                 yield emit(rows)
                 rows = []
         close(windows.rest(), still=True)
         if rows:
             yield emit(rows)
+        release()
 
     placed = materialize(docs.mapInArrow(run, out_schema), "packed")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import free_name, utf8
+from lumenset.llm.common import free_name, release, utf8
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, DIGIT, STOP = bytes(range(65, 91)), bytes(range(48, 58)), b".!?"
@@ -47,7 +47,9 @@ def statistics(text_col: str = "text") -> Column:
 
     @F.pandas_udf(f"struct<{STRUCT}>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
+        out = pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
+        release()
+        return out
 
     return run(utf8(text_col))
 

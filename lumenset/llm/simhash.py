@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import free_name, materialize, utf8
+from lumenset.llm.common import free_name, materialize, release, utf8
 from lumenset.operators.graph import components
 
 SEED = 42
@@ -43,7 +43,9 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fp",
 
     @F.pandas_udf("long")
     def run(texts):
-        return texts.map(lambda t: np.uint64(fingerprint(t, width)).astype(np.int64))
+        out = texts.map(lambda t: np.uint64(fingerprint(t, width)).astype(np.int64))
+        release()
+        return out
 
     return docs.withColumn(name, run(utf8(text_col)))
 
