@@ -51,7 +51,7 @@ def statistics(text_col: str = "text") -> Column:
         release()
         return out
 
-    return run(utf8(text_col))
+    return run.asNondeterministic()(utf8(text_col))  # else a filter on the counts computes them twice
 
 
 def features(s: str) -> dict[str, Column]:
