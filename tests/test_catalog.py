@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lumenset.plans import catalog
+from lumenset.plans import catalog, curation  # noqa: F401 (curation adds its queries to the catalog)
 from lumenset.sources.views import TABLES
 
 SF = "/root/testdata/sf0.01"
