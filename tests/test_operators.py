@@ -115,3 +115,19 @@ def test_incremental_index_reads_each_file_once(spark, tmp_path):
         spark.createDataFrame([(k,)], "id long").write.mode("append").parquet(src)
         jobs.index_new(spark, src, "id long", out, ck, lambda df: df.withColumn("done", F.lit(True)))
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_zones_stay_inside_and_nothing_known_passes(spark):
+    from pyspark.sql import functions as F
+
+    from lumenset.operators import library, zones
+
+    box = spark.createDataFrame([(0.9, -1.0, 0.5, 0.0), (0.0, 0.0, 2.0, 1.0)], "x double, y double, w double, h double")
+    got = [tuple(r) for r in box.select(*[c.alias(k) for k, c in zones.clamped().items()]).collect()]
+    assert got == [(0.5, 0.0, 0.5, 0.005), (0.0, 0.0, 1.0, 1.0)]
+    row = spark.createDataFrame([(None, None, None), (10.0, 2000, 50.0)], "score double, side int, sharp double")
+    ok = row.select(library.passes_static(F.col("score"), 50, F.col("side"), 1024, F.col("sharp")).alias("ok")).collect()
+    assert [r.ok for r in ok] == [True, False]
+    files = spark.createDataFrame([("top.png",), ("a/b/1.png",), ("a/.x/2.png",), ("a/3.png",)], "rel_path string")
+    tree = {r.folder: (r.own, r.total, r.samples) for r in library.folder_tree(files).collect()}
+    assert tree == {"a": (1, 2, "a/3.png"), "a/b": (1, 1, "a/b/1.png")}
