@@ -38,10 +38,12 @@ def _open(uri: str):
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = 2000, most_chars: int = 20_000, size: int = 65_536) -> bytes:
     """A zstandard dictionary from at most ``sample`` texts of at most ``most_chars`` characters, those with the least hash.
 
-    Too few or too uniform texts for the trainer give no dictionary: empty bytes.
+    Hashes alone find the bound, so that no task gathers texts from all others. Repeated rows count once. Too few or too
+    uniform texts for the trainer give no dictionary: empty bytes.
     """
     few = docs.filter(F.length("text") <= most_chars).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    few = few.orderBy("h").limit(sample).select("text")
+    bound = few.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    few = few.filter(F.col("h") <= F.lit(bound)).groupBy("h").agg(F.min("text").alias("text")).select("text")
 
     def run(batches):
         tok = tokenizer(tokenizer_path)
