@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -15,8 +14,12 @@ from pyspark.sql import functions as F
 from lumenset.llm.common import WORD, materialize, mixed, shingle_hashes, utf8
 from lumenset.operators.graph import components
 
-#: Groups of texts up to this size link all pairs; larger ones link each text to the first and to the one before.
-SMALL = 6
+#: Groups of up to this many texts make their pairs at once; larger ones in pairs of blocks of so many, dealt to many tasks.
+BLOCK = 256
+#: Matching places of two texts are held for so many at once.
+PLACES = 2_000_000
+#: About so many texts a bucket; the pairs of two buckets are verified together.
+BUCKET = 64
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -56,33 +59,61 @@ def _runs(same: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1]) + least) for g in np.split(good, cut)]
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray, a0: int, b0: int, least: int, similarity: float) -> list[tuple[int, int, int, int]]:
-    """Stretches of two texts' shingles that are near copies, from the whole texts.
+def _stretches(covered: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
-    A shingle of one text counts at each place where the other has it; places are chained along a diagonal that may
-    drift by a tenth of ``least`` from the one through (a0, b0). In a stretch of ``least`` places, the shingles that
-    both have must be ``similarity`` of all (Jaccard): ``2s / (1 + s)`` of each text's, for as many on both sides.
+
+def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches of two texts' shingles that are near copies, from the whole texts: those of the first, those of the second.
+
+    A shingle of one text counts at each place where the other has it. In a stretch of ``least`` places, the shingles
+    that both have, on diagonals that differ by no more than a fifth of ``least``, must be ``similarity`` of all
+    (Jaccard): ``2s / (1 + s)`` of each text's, for as many on both sides. Every such band of diagonals is looked at, so
+    a passage may drift on as it will, and stand at several places.
     """
-    drift = max(2, least // 10)
-    need = 2 * similarity / (1 + similarity)
+    drift, need = max(2, least // 10), 2 * similarity / (1 + similarity)
+    few = int(np.ceil(need * least - 1e-9))
+    in_a, in_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a), np.searchsorted(b[order], a, side="right")
-    place = np.full(len(a), -1)
-    want = np.arange(len(a)) - a0 + b0
-    one = np.flatnonzero(hi == lo + 1)
-    at = order[lo[one]]
-    near = np.abs(at - want[one]) <= drift
-    place[one[near]] = at[near]
-    for i in np.flatnonzero(hi > lo + 1):
-        own = order[lo[i] : hi[i]]
-        near = own[np.abs(own - want[i]) <= drift]
-        if len(near):
-            place[i] = near[np.abs(near - want[i]).argmin()]
-    out = []
-    for s, e in _runs(place >= 0, least, need):
-        hit = place[s:e][place[s:e] >= 0]
-        out.append((s, e, int(hit.min()), int(hit.max()) + 1))
-    return out
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    begin = 0
+    while begin + least <= len(a):
+        end = max(int(np.searchsorted(total, total[begin] + PLACES, side="right")) - 1, begin + 2 * least)
+        end = min(end, len(a))
+        count = (hi - lo)[begin:end]
+        i = np.repeat(np.arange(begin, end), count)
+        at = np.arange(len(i)) - np.repeat(total[begin:end] - total[begin], count)
+        j = order[np.repeat(lo[begin:end], count) + at]
+        by = np.argsort(i - j, kind="stable")
+        i, j = i[by], j[by]
+        d = i - j
+        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, dtype=np.int64)
+        last = np.searchsorted(d, d[first] + 2 * drift, side="right")
+        bands = np.flatnonzero(last - first >= few)
+        for k in bands[np.argsort(first[bands] - last[bands], kind="stable")]:
+            x, y = i[first[k] : last[k]], j[first[k] : last[k]]
+            if in_a[x].all() and in_b[y].all():
+                continue
+            u = np.unique(x)
+            if len(u) < few or not (u[few - 1 :] - u[: len(u) - few + 1] < least).any():
+                continue
+            base = max(begin, int(u[0]) - least)
+            same = np.zeros(min(end, int(u[-1]) + least + 1) - base, dtype=bool)
+            same[u - base] = True
+            for s, e in _runs(same, least, need):
+                own = (x >= base + s) & (x < base + e)
+                xs, ys = x[own], y[own]
+                value, n = np.unique(xs - ys, return_counts=True)
+                near = np.lexsort((np.abs(xs - ys - value[n.argmax()]), xs))
+                hit = ys[near[np.concatenate([[True], np.diff(xs[near]) > 0])]]
+                in_a[base + s : base + e] = True
+                in_b[hit.min() : hit.max() + 1] = True
+        if end == len(a):
+            break
+        begin = end - least + 1
+    return _stretches(in_a), _stretches(in_b)
 
 
 def _stream(run, keys: list[str]):
@@ -99,9 +130,9 @@ def _stream(run, keys: list[str]):
             start = np.concatenate([[0], 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))])
             held = t.slice(start[-1])
             if len(start) > 1:
-                yield run(t.slice(0, start[-1]), start)
+                yield from run(t.slice(0, start[-1]), start)
         if held is not None and held.num_rows:
-            yield run(held, np.array([0, held.num_rows]))
+            yield from run(held, np.array([0, held.num_rows]))
 
     return go
 
@@ -118,79 +149,74 @@ def _windows(docs: DataFrame, width: int, least: int, hashes: int) -> DataFrame:
                     continue
                 for j in range(hashes):
                     own = mixed(s ^ seeds[j])
-                    w = np.array(compact_windows(own, least), dtype=np.int64)
-                    key = mixed(own[w[:, 1]] + np.uint64(j)).view(np.int64)
-                    rows.append(np.column_stack([key, np.full(len(w), j), np.full(len(w), h), w]))
+                    c = np.array([w[1] for w in compact_windows(own, least)], dtype=np.int64)
+                    key = np.unique(mixed(own[c] + np.uint64(j)).view(np.int64))
+                    rows.append(np.column_stack([key, np.full(len(key), j), np.full(len(key), h)]))
             if rows:
                 x = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int8)), pa.array(x[:, 2]), *(pa.array(x[:, k].astype(np.int32)) for k in (3, 4, 5))],
-                    ["key", "j", "hash", "l", "c", "r"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int8)), pa.array(x[:, 2])], ["key", "j", "hash"])
 
-    return docs.mapInArrow(run, "key long, j byte, hash long, l int, c int, r int")
+    return docs.mapInArrow(run, "key long, j byte, hash long")
 
 
 def _zipped(batches):
-    """(key, hash, words) with the words compressed, and their size before."""
+    """(key, hash, words) with the words compressed."""
     zip_ = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         words = batch["words"].to_pylist()
-        cols = [batch["key"], batch["hash"], pa.array(map(zip_.compress, words), pa.binary()), pa.array(map(len, words), pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["key", "hash", "words", "size"])
-
-
-LINK = "a long, b long, j byte, al int, ac int, ar int, bl int, bc int, br int"
-
-
-def _links(t: pa.Table, start: np.ndarray) -> pa.RecordBatch:
-    """Pairs of windows with the same key in different texts, of groups that begin at ``start``."""
-    x = {c: t[c].to_numpy() for c in ("j", "hash", "l", "c", "r")}
-    left, right = [], []
+        cols = [batch["key"], batch["hash"], pa.array(map(zip_.compress, words), pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["key", "hash", "words"])
+
+
+#: A pair of texts with one key (tile -1), or a text of a large group for one of its tiles (b: which of its two blocks).
+LINK = "a long, b long, j byte, key long, tile long"
+
+
+def _batch(a: np.ndarray, b: np.ndarray, j: np.ndarray, key: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(j), pa.array(key), pa.array(tile)], ["a", "b", "j", "key", "tile"])
+
+
+def _links(t: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs of texts in groups that begin at ``start``; of groups beyond ``BLOCK``, the texts for each pair of blocks."""
+    key, j, h = (t[c].to_numpy() for c in ("key", "j", "hash"))
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])])  # equal texts count once
+    if start[-1] == t.num_rows:
+        start = start[:-1]
+    start = np.searchsorted(np.flatnonzero(new), start)
+    key, j, h = key[new], j[new], h[new]
+    ends = np.append(start[1:], len(key))
+    size = ends - start
+    end = np.repeat(np.where(size > BLOCK, start, ends), size)
+    i, left, right = np.arange(len(end)), [], []
+    for d in range(1, BLOCK):
+        i = i[i + d < end[i]]
+        if not len(i):
+            break
+        left.append(i)
+        right.append(i + d)
+    a, b = (np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (left, right))
+    yield _batch(h[a], h[b], j[a], key[a], np.full(len(a), -1))
+    for k in np.flatnonzero(size > BLOCK):
+        blocks = [np.arange(x, min(x + BLOCK, ends[k])) for x in range(start[k], ends[k], BLOCK)]
+        each = np.arange(len(blocks))
+        for p, own in enumerate(blocks):  # a row for each tile that the block has part in
+            tile = np.repeat((np.minimum(p, each) << 32) + np.maximum(p, each), len(own))
+            rows = np.tile(own, len(blocks))
+            yield _batch(h[rows], np.repeat((p > each).astype(np.int64), len(own)), j[rows], key[rows], tile)
+
+
+def _tile_links(t: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs of texts between the two blocks of each tile, or within its one block."""
+    h, side, j = (t[c].to_numpy() for c in ("a", "b", "j"))
     ends = start[1:] if start[-1] == t.num_rows else np.append(start[1:], t.num_rows)
-    start = start[: len(ends)]
-    for k in np.flatnonzero(x["hash"][start] != x["hash"][ends - 1]):  # ordered by text: first and last differ
-        rows = np.arange(start[k], ends[k])
-        first = rows[np.concatenate([[True], x["hash"][rows[1:]] != x["hash"][rows[:-1]]])]  # one window of each text
-        if len(first) <= SMALL:
-            pairs = np.array(list(combinations(first, 2)))
+    for s, e in zip(start, ends, strict=False):
+        one, two = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
+        if len(two):
+            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
         else:
-            pairs = np.concatenate([np.column_stack([np.full(len(first) - 1, first[0]), first[1:]]), np.column_stack([first[1:-1], first[2:]])])
-        left.append(pairs[:, 0])
-        right.append(pairs[:, 1])
-    a, b = (np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (left, right))
-    cols = [x["hash"][a], x["hash"][b], x["j"][a], *(x[c][a] for c in "lcr"), *(x[c][b] for c in "lcr")]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "j", "al", "ac", "ar", "bl", "bc", "br"])
-
-
-def _candidates(least: int, enough: int):
-    """Interval join within each pair of texts: places where windows of enough hashes overlap on about one diagonal."""
-
-    def run(t: pa.Table, start: np.ndarray) -> pa.RecordBatch:
-        x = {c: t[c].to_numpy().astype(np.int64) for c in ("a", "b", "j", "al", "ac", "ar", "bl", "bc", "br")}
-        out = []
-        ends = start[1:] if start[-1] == t.num_rows else np.append(start[1:], t.num_rows)
-        for s, e in zip(start, ends, strict=False):
-            if e - s < enough:
-                continue
-            d = x["ac"][s:e] - x["bc"][s:e]
-            order = s + np.argsort(d, kind="stable")
-            d = x["ac"][order] - x["bc"][order]
-            for g in np.split(order, np.flatnonzero(np.diff(d) > max(2, least // 10)) + 1):
-                g = g[np.argsort(x["ac"][g], kind="stable")]
-                at = 0
-                while at < len(g):  # windows that share a stretch of the first text, from the left
-                    lo, hi, n = x["al"][g[at]], x["ar"][g[at]], at + 1
-                    while n < len(g) and min(hi, x["ar"][g[n]]) - max(lo, x["al"][g[n]]) + 1 >= least:
-                        lo, hi, n = max(lo, x["al"][g[n]]), min(hi, x["ar"][g[n]]), n + 1
-                    if len(np.unique(x["j"][g[at:n]])) >= enough:
-                        out.append((x["a"][s], x["b"][s], x["ac"][g[at]], x["bc"][g[at]]))
-                        break  # verification sees the whole diagonal
-                    at += 1
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "a0", "b0"])
-
-    return run
+            x, y = np.triu_indices(len(one), 1)
+        x, y, none = x + s, y + s, np.full(len(x), -1)
+        yield _batch(h[x], h[y], j[x], none, none)
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 50, width: int = 5, similarity: float = 0.8, hashes: int = 6, enough: int = 3) -> DataFrame:
@@ -201,57 +227,55 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links reach). Rows without such a passage don't appear; null and empty texts never do. Equal texts are compared
     once; repeated rows are copies of each other. Other columns aren't read.
 
-    Windows with one key (hash function and least shingle hash) meet by a shuffle on it. A group of texts that share a
-    key gives at most two links a text beyond the first few, so no group's pairs are all made. Pairs of texts that
-    windows of ``enough`` of ``hashes`` functions link, with overlapping intervals, are verified on their whole texts.
+    Windows with one key (hash function and least shingle hash) meet by a shuffle on it, and all pairs of texts in a group
+    are made, large groups' in pairs of blocks. Pairs of texts that windows of ``enough`` of ``hashes`` functions link,
+    wherever they lie, are verified on their whole texts.
     """
     least = words - width + 1
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("words"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
     windows = _windows(own.select("hash", "words"), width, least, hashes)
-    linked = windows.repartition(n, "key").sortWithinPartitions("key", "hash", "l").mapInArrow(_stream(_links, ["key"]), LINK)
+    linked = windows.repartition(n, "key").sortWithinPartitions("key", "hash").mapInArrow(_stream(_links, ["key"]), LINK)
     linked = materialize(linked, "passage-links")
-    found = linked.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_stream(_candidates(least, enough), ["a", "b"]), "a long, b long, a0 long, b0 long")
-    found = materialize(found, "passage-candidates")
+    tiles = linked.filter("tile >= 0").repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "b", "a").mapInArrow(_stream(_tile_links, ["key", "tile"]), LINK)
+    met = linked.filter("tile < 0").unionByName(tiles).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, int(j))")).alias("functions"))
+    found = materialize(met.filter(F.bit_count("functions") >= enough).select("a", "b"), "passage-candidates")
     n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     hash_ = F.xxhash64(F.coalesce(text_col, F.lit("")))
     ids = materialize(docs.select(F.col(id_col).cast("long").alias("key"), hash_.alias("hash"), n_words.alias("n")), "passage-ids")
     # one row for each text that is needed, written so that its size is known: few are broadcast, more make texts move, compressed
     wanted = ids.join(found.select("a").union(found.select("b")).toDF("hash").distinct(), "hash", "left_semi")
     wanted = wanted.groupBy("hash").agg(F.min(F.struct(F.col("key").isNull(), "key")).alias("m")).select("hash", F.col("m.key").alias("k"))
-    texts = own.select("key", "hash", "words").mapInArrow(_zipped, "key long, hash long, words binary, size long")
-    texts = texts.join(materialize(wanted, "passage-wanted"), "hash").filter(F.col("key").eqNullSafe(F.col("k"))).select("hash", "words", "size")
+    texts = own.select("key", "hash", "words").mapInArrow(_zipped, "key long, hash long, words binary")
+    texts = texts.join(materialize(wanted, "passage-wanted"), "hash").filter(F.col("key").eqNullSafe(F.col("k"))).select("hash", "words")
     texts = materialize(texts, "passage-texts")
-    # of each pair, the shorter text is sent to where the longer one is
-    sizes = texts.select("hash", "size").distinct()
-    pairs = found.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").withColumn("swap", F.col("na") > F.col("nb"))
-    pairs = pairs.select("a", "b", "a0", "b0", "swap", *(F.when(F.col("swap") == (x == "short"), F.col("b")).otherwise(F.col("a")).alias(x) for x in ("short", "long")))
-    sent = texts.select("hash", "words")
-    pairs = pairs.join(sent.toDF("short", "ts"), "short").join(sent.toDF("long", "tl"), "long").select("a", "b", "a0", "b0", "swap", "ts", "tl")
-
-    def verify(frames):
+    # the pairs of two buckets of texts are verified together, so that a text comes once for many pairs
+    buckets = max(1, texts.count() // BUCKET)
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    pairs = found.withColumn("block", bucket("a") * buckets + bucket("b"))
+    needs = pairs.select("block", F.col("a").alias("hash")).union(pairs.select("block", "b")).distinct()
+    sent = needs.join(texts.select("hash", "words"), "hash").select("block", F.lit(None).cast("long").alias("a"), F.col("hash").alias("b"), "words")
+    sent = sent.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("binary").alias("words")))
+
+    def verify(batches):
         known: dict[int, np.ndarray] = {}
-        unzip = zstandard.ZstdDecompressor()
-
-        def of(h: int, text: bytes) -> np.ndarray:
-            if h not in known:
-                if len(known) >= 2000:
-                    known.clear()
-                known[h] = shingles(unzip.decompress(text), width)
-            return known[h]
-
-        for pdf in frames:
+        unzip, at = zstandard.ZstdDecompressor(), None
+        for batch in batches:
             out = []
-            for a, b, a0, b0, swap, ts, tl in zip(*(pdf[c] for c in ("a", "b", "a0", "b0", "swap", "ts", "tl")), strict=True):
-                ta, tb = (tl, ts) if swap else (ts, tl)
-                for s, e, s2, e2 in shared_passages(of(a, ta), of(b, tb), a0, b0, least, similarity):
-                    out.append((a, b, s, e + width - 1, s2, e2 + width - 1))
-            yield pd.DataFrame(out, columns=["a", "b", "a_start", "a_end", "b_start", "b_end"])
-
-    good = materialize(pairs.mapInPandas(verify, "a long, b long, a_start long, a_end long, b_start long, b_end long").distinct(), "passage-pairs")
-    half = good.select(F.col("a").alias("hash"), F.col("b").alias("other"), F.col("a_start").alias("s"), F.col("a_end").alias("e"))
-    both = half.unionByName(good.select(F.col("b").alias("hash"), F.col("a").alias("other"), F.col("b_start").alias("s"), F.col("b_end").alias("e")))
+            for block, a, b, text in zip(*(batch[c].to_pylist() for c in ("block", "a", "b", "words")), strict=True):
+                if block != at:
+                    known, at = {}, block
+                if a is None:
+                    known[b] = shingles(unzip.decompress(text), width)
+                    continue
+                for one, two, stretches in zip((a, b), (b, a), shared_passages(known[a], known[b], least, similarity), strict=True):
+                    out += [(one, two, s, e + width - 1) for s, e in stretches]
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["hash", "other", "s", "e"])
+
+    sent = sent.repartition(n, "block").sortWithinPartitions("block", F.col("a").asc_nulls_first())
+    both = materialize(sent.mapInArrow(verify, "hash long, other long, s long, e long"), "passage-pairs")
     spans = F.aggregate(
         F.array_sort(F.array_distinct(F.collect_list(F.struct("s", "e")))),
         F.array().cast("array<struct<s:bigint,e:bigint>>"),
@@ -262,7 +286,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     places = both.select("hash", "s", "e").distinct().groupBy("hash").agg(spans.alias("spans"))
     degree = both.groupBy("hash").agg(F.countDistinct("other").alias("n_links"))
-    roots = components(good.select("a", "b"))
+    roots = components(both.filter("hash < other").select(F.col("hash").alias("a"), F.col("other").alias("b")).distinct())
     copies = ids.groupBy("hash").agg(F.count("*").alias("n_copies"), F.min("key").alias("least"), F.max("n").alias("n"))
     several = copies.filter((F.col("n_copies") > 1) & (F.col("n") >= words)).select("hash", "n")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e")))

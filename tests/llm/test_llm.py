@@ -284,6 +284,40 @@ def test_repeated_passages_are_found_and_clean_ones_left(spark):
 rows9 = prose(64)
 
 
+def test_links_of_large_groups_are_whole(spark):
+    rng = np.random.default_rng(11)
+    wide = [f"w{i}" for i in range(30_000)]
+    some = lambda n: list(rng.choice(wide, n))
+    many, phrase = some(60), some(5)
+    rows = [some(20) + many + some(20) for _ in range(passages.BLOCK + 14)]
+    rows += [some(30) + phrase + some(30) for _ in range(60)]
+    for _ in range(20):  # pairs whose passage holds the frequent phrase
+        own = some(25) + phrase + some(25)
+        rows += [some(20) + own + some(20) for _ in range(2)]
+    runs = [{tuple(r[i : i + 50]) for i in range(len(r) - 49)} for r in rows]
+    want = {i: n for i, x in enumerate(runs) if (n := sum(not x.isdisjoint(y) for y in runs) - 1)}
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in passages.repeated_passages(df).collect()} == want
+    assert max(want.values()) == passages.BLOCK + 13 and len(want) == passages.BLOCK + 54
+
+
+def test_passages_drift_and_stand_twice(spark):
+    rng = np.random.default_rng(12)
+    wide = [f"w{i}" for i in range(30_000)]
+    some = lambda n: list(rng.choice(wide, n))
+    long = some(2000)
+    copy = [w for i, x in enumerate(long) for w in ([x, "new"] if i % 100 == 50 else [x])]  # 20 words more than the other
+    p = some(60)
+    twice = some(30) + p + some(200) + p + some(30)
+    rows = [some(40) + long + some(40), some(40) + copy + some(40), twice, some(70) + p + some(30)]
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(map(int, x.split("-"))) for x in r.passages.split(",")] for r in passages.repeated_passages(df).collect()}
+    for i, n in ((0, 2000), (1, 2020)):
+        [(s, e)] = got[i]
+        assert abs(s - 40) <= 8 and abs(e - 40 - n) <= 8
+    assert all(any(s <= at and e >= at + 60 for s, e in got[2]) for at in (30, 290)) and len(got[2]) == 2 and len(got[3]) == 1
+
+
 # op8
 
 
