@@ -318,6 +318,17 @@ def test_passages_drift_and_stand_twice(spark):
     assert all(any(s <= at and e >= at + 60 for s, e in got[2]) for at in (30, 290)) and len(got[2]) == 2 and len(got[3]) == 1
 
 
+def test_passages_of_repetitive_texts_are_the_same_in_pieces(monkeypatch):
+    rng = np.random.default_rng(13)
+    line, rest = rng.integers(0, 1 << 60, 12).astype(np.uint64), rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    a = np.concatenate([rest[:150], np.tile(line, 40), rest[150:]])
+    b = np.concatenate([np.tile(line, 30), rest[150:], rest[:150]])
+    whole = passages.shared_passages(a, b, 46, 0.8)
+    assert whole[0][0][0] == 0 and whole[0][-1][1] == len(a) and whole[1][0][0] == 0 and whole[1][-1][1] == len(b)
+    monkeypatch.setattr(passages, "PLACES", 500)
+    assert passages.shared_passages(a, b, 46, 0.8) == whole
+
+
 # op8
 
 
