@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import groupby, takewhile
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Never part of a page's article.
-OUT_TAGS = frozenset("nav footer aside form script style head title noscript template iframe button select option textarea input svg dialog menu noembed noframes object".split())
+OUT_TAGS = frozenset("nav footer aside script style head title noscript template iframe button select option textarea input svg dialog menu noembed noframes object".split())
+#: Not part of it, unless the element holds most of the page's content; so it is with what a class, an id or a role names.
+NAMED_TAGS = frozenset("form".split())
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice popup modal newsletter subscribe signup comment comments reply replies disqus share sharing social related recommended widget toolbar skip pagination pager copyright".split()
 )
@@ -37,6 +40,7 @@ class Element:
     parent: int
     out: bool
     path: str
+    named: bool = False  # by its own tag, class, id or role; not yet by those around it
 
 
 @dataclass
@@ -45,20 +49,23 @@ class Page:
     runs: list[tuple[int, int, str]] = field(default_factory=list)  # element, block number, text
 
 
-def _left_out(tag: str, attributes: str, inside: bool) -> bool:
+def _left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is left out for good, and whether a name says that it isn't content."""
     if tag in OUT_TAGS or tag == "header" and not inside:
-        return True
+        return True, False
+    named = tag in NAMED_TAGS
     if not attributes or tag in HOLDS_ARTICLE:
-        return False
+        return False, named
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             words = re.findall(r"[a-z]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", value).lower())
-            if OUT_WORDS.intersection(words):
-                return True
-        elif name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            named = named or bool(OUT_WORDS.intersection(words))
+        elif name == "role":
+            named = named or value.lower() in OUT_ROLES
+        elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return True, False
+    return False, named
 
 
 def parse(html: str) -> Page:
@@ -112,7 +119,8 @@ def parse(html: str) -> Page:
         if tag in VOID:
             continue
         inside = any(els[i].tag in ("article", "main") for i in open_tags())
-        els.append(Element(tag, now, els[now].out or _left_out(tag, m[3], inside), f"{els[now].path}/{tag}"))
+        out, named = _left_out(tag, m[3], inside)
+        els.append(Element(tag, now, els[now].out or out, f"{els[now].path}/{tag}", named))
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         if tag in RAW:
@@ -144,27 +152,64 @@ def content_scores(page: Page, reach: int = 2) -> tuple[list[int], np.ndarray]:
     return own, smooth[0] * (0.1 + smooth[1])
 
 
-def main_text(html: str | None, share: float = 0.9) -> str:
-    """The page's article: the blocks of the element that holds the content runs, without what is left out by name.
+def _least(score: np.ndarray) -> float:
+    """What a content score is at least: half the standard deviation of the scores, or the mean, if less."""
+    return min(score.mean(), score.std() / 2)
 
-    Runs score by their tag paths; those over half the standard deviation (or the mean, if less) are content. From the
-    root down, the element follows that has ``share`` of the content's characters; ``article`` and ``main`` end the way
-    unless a deeper one of them has the share, and so does the last element before the content parts into paragraphs.
+
+def _content(score: np.ndarray) -> np.ndarray:
+    """Which runs are content."""
+    return np.flatnonzero(score >= _least(score)) if score.any() else np.arange(len(score))
+
+
+def _content_paths(page: Page, own: list[int], score: np.ndarray) -> set[str]:
+    """The tag paths whose runs are content on the average."""
+    every: dict[str, list[float]] = defaultdict(list)
+    for k, x in zip(own, score, strict=True):
+        every[page.elements[page.runs[k][0]].path].append(x)
+    return {p for p, x in every.items() if sum(x) / len(x) >= _least(score)}
+
+
+def _weights(page: Page, runs: list[int]) -> dict[int, int]:
+    """The characters of the runs within each element."""
+    weight: dict[int, int] = defaultdict(int)
+    for k in runs:
+        e, _, t = page.runs[k]
+        n = len(t.strip())
+        while e >= 0:
+            weight[e] += n
+            e = page.elements[e].parent
+    return weight
+
+
+def leave_out(page: Page, most: float = 0.5) -> None:
+    """Marks what is within elements that a name says aren't content, but for those that hold ``most`` of the content."""
+    if not any(x.named for x in page.elements):
+        return
+    own, score = content_scores(page)
+    weight = _weights(page, [own[i] for i in _content(score)]) if own else {}
+    for x, e in enumerate(page.elements[1:], 1):  # parents come first
+        e.out = e.out or page.elements[e.parent].out or e.named and weight.get(x, 0) <= most * weight.get(0, 0)
+
+
+def main_text(html: str | None, share: float = 0.9, fill: int = 2) -> str:
+    """The page's article: the content blocks of the element that holds the content runs.
+
+    Runs score by their tag paths; those over half the standard deviation (or the mean, if less) are content, and a block
+    stays with a run that is, or whose path is on the average. So do short paragraphs beside it, ``fill`` blocks in a row
+    at most, unless they are nothing but links, and the headings of what follows. From the root down, the element follows that has ``share`` of the content's characters;
+    ``article`` and ``main`` end the way unless a deeper one of them has the share, and so does the last element before the
+    content parts into paragraphs. What names say isn't content is left out, unless it holds most of the content.
     """
     if not html:
         return ""
     page = parse(html)
+    leave_out(page)
     own, score = content_scores(page)
     if not own:
         return ""
-    content = np.flatnonzero(score >= min(score.mean(), score.std() / 2)) if score.any() else np.arange(len(own))
-    weight: dict[int, int] = defaultdict(int)
-    for i in content:
-        e, _, t = page.runs[own[i]]
-        n = len(t.strip())
-        while e >= 0:
-            weight[e] += n
-            e = page.elements[e].parent
+    content = [own[i] for i in _content(score)]
+    weight = _weights(page, content)
     children = defaultdict(list)
     for i in weight:
         if i:
@@ -186,11 +231,25 @@ def main_text(html: str | None, share: float = 0.9) -> str:
         if page.elements[i].parent in inside:
             inside.add(i)
     blocks: dict[int, list[str]] = defaultdict(list)
+    linked: dict[int, bool] = defaultdict(lambda: True)
+    heading: set[int] = set()
     for e, block, t in page.runs:
         if e in inside and not page.elements[e].out:
             blocks[block].append(t)
-    lines = (" ".join("".join(x).split()) for _, x in sorted(blocks.items()))
-    return "\n".join(x for x in lines if x)
+            linked[block] &= not t.strip() or "/a/" in f"{page.elements[e].path}/"
+            if re.search("/h[1-6](/|$)", page.elements[e].path):
+                heading.add(block)
+    lines = {b: line for b, x in sorted(blocks.items()) if (line := " ".join("".join(x).split()))}
+    good = {page.runs[k][1] for k in content}
+    paths = _content_paths(page, own, score)
+    good |= {page.runs[k][1] for k in own if page.elements[page.runs[k][0]].path in paths}
+    out: list[str] = []
+    for is_good, stretch in groupby(lines, good.__contains__):
+        few = list(stretch)
+        if not is_good and (len(few) > fill or all(linked[b] for b in few)):  # but for the headings of what follows
+            few = list(takewhile(heading.__contains__, reversed(few)))[::-1] if few[-1] != next(reversed(lines)) else []
+        out += [lines[b] for b in few]
+    return "\n".join(out)
 
 
 def extracted(html_col: str = "html", share: float = 0.9) -> Column:

@@ -421,6 +421,25 @@ def test_main_text_of_odd_pages(spark):
     assert len(html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
 
 
+LONG = ["The river rose in the night, and by morning, it had reached the mill.", "Nobody, they said, had seen the like; some left, others stayed to watch."]
+ARTICLE = "<h1>The flood</h1>" + "".join(f"<p>{x}</p>" for x in LONG * 3)
+WANTED = "\n".join(["The flood", *LONG * 3])
+
+
+def test_main_text_goes_by_scores():
+    menu = "<ul>" + "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(8)) + "</ul>"
+    plain = "<div>" + "".join(f"<span>Tag {i}</span><div>Go {i}</div>" for i in range(8)) + "</div>"
+    for extra in (menu, plain):
+        for page in (f"<body>{extra}{ARTICLE}</body>", f"<body><article>{ARTICLE}{extra}</article></body>", f"<body><article>{extra}{ARTICLE}</article></body>"):
+            assert html.main_text(page) == WANTED
+
+
+@pytest.mark.parametrize("wrapper", ["div id=content class='no-sidebar'", "div class='post comments-open'", "section class=with-banner", "form", "div role=search"])
+def test_names_do_not_leave_out_most_of_a_page(wrapper):
+    small = "<div class=cookie-notice>We use cookies, as all do.</div>"
+    assert html.main_text(f"<body>{small}<{wrapper}>{ARTICLE}<div class=ad>Buy, now.</div></{wrapper.split()[0]}><form>Name, please.</form></body>") == WANTED
+
+
 # pipeline
 
 
