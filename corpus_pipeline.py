@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the least doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each component of texts with a five-word similarity of 0.8: that with the least doc_id."""
+    return simhash.drop_near_duplicates(docs, width=5, radius=20, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

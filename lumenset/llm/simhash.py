@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import free_name, materialize, release, utf8
+from lumenset.llm.common import free_name, materialize, release, shingle_hashes, utf8
 from lumenset.operators.graph import components
 
 SEED = 42
@@ -183,14 +183,153 @@ def components_of(own: DataFrame, *, radius: int = 3, tile: int = 2048) -> DataF
     return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select("key", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The hashes of a text's shingles, sorted without repeats; of the whole text where it is shorter."""
+    words = [xxhash.xxh64_intdigest(w) for w in text.lower().split()]
+    return np.unique(shingle_hashes(np.array(words, dtype=np.uint64), width))
+
+
+def parities(text: bytes, width: int) -> bytes:
+    """How many shingles a text has, and for each of 256 parts of all hashes whether it has an odd number there.
+
+    Two sets differ in at least as many shingles as their parities differ in.
+    """
+    own = shingle_set(text, width)
+    odd = (np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.uint64(len(own)).tobytes() + np.packbits(odd).tobytes()
+
+
+def pairs(words: DataFrame, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
+    """(a, b): all pairs of rows (fp, hash, odd) whose words lie within ``radius`` bits, a before b.
+
+    But for those whose ``parities`` show that they can't have the similarity: of sets with Jaccard s, the smaller has s of
+    the larger's size at least, and they differ in ``(1 - s) / (1 + s)`` of the sum of sizes at most.
+    Words lie in tiles by population count and hash; each tile is compared to those whose counts are in reach.
+    """
+    own = words.select("fp", "hash", "odd", F.bit_count("fp").alias("pop"))
+    tiles = {r["pop"]: -(-r["n"] // tile) for r in own.groupBy("pop").agg(F.count("*").alias("n")).collect()}
+    if not tiles:
+        return words.select(F.col("hash").alias("a"), F.col("hash").alias("b"))
+    salts = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])
+    code = F.col("pop").cast("long") * (1 << 32) + F.pmod(F.xxhash64("hash"), salts[F.col("pop")]).cast("long")
+    near = F.filter(F.array(*[F.lit(q) for q in tiles]), lambda q: F.abs(q - F.col("pop")) <= radius)
+    reach = F.flatten(F.transform(near, lambda q: F.transform(F.sequence(F.lit(0), salts[q] - 1), lambda s: q.cast("long") * (1 << 32) + s)))
+    dealt = own.withColumn("code", code).select("fp", "hash", "odd", "code", F.explode(reach).alias("other"))
+    dealt = dealt.select("fp", "hash", "odd", F.least("code", "other").alias("lo"), F.greatest("code", "other").alias("hi"), (F.col("code") > F.col("other")).alias("second"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        held, at = {False: [], True: []}, None
+
+        def found():
+            one, two = ([np.concatenate(c) for c in zip(*held[k], strict=True)] if held[k] else None for k in (False, True))
+            if one is None or two is None and at[0] != at[1]:
+                return
+            fp, h, odd = one
+            fp2, h2, odd2 = one if two is None else two
+            for x in range(0, len(fp), 256):
+                i, j = np.nonzero(np.bitwise_count(fp[x : x + 256, None] ^ fp2[None, :]) <= radius)
+                i += x
+                na, nb = odd[i, 0].astype(np.float64), odd2[j, 0].astype(np.float64)
+                able = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6
+                i, j, most = i[able], j[able], (na + nb)[able] * (1 - similarity) / (1 + similarity) + 1e-6
+                able = np.bitwise_count(odd[i, 1:] ^ odd2[j, 1:]).sum(axis=1, dtype=np.int64) <= most
+                a, b = h[i[able]], h2[j[able]]
+                if two is None:
+                    a, b = a[a < b], b[a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, h, lo, hi = (batch[c].to_numpy() for c in ("fp", "hash", "lo", "hi"))
+            odd = np.frombuffer(b"".join(batch["odd"].to_pylist()), dtype=np.uint64).reshape(-1, 5)
+            second = batch["second"].to_numpy(zero_copy_only=False)
+            edge = 1 + np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (second[1:] != second[:-1]))
+            for s, e in zip([0, *edge], [*edge, len(fp)], strict=True):
+                if at != (lo[s], hi[s]):
+                    yield from found() if at else ()
+                    held, at = {False: [], True: []}, (lo[s], hi[s])
+                held[bool(second[s])].append((fp[s:e].astype(np.uint64), h[s:e].copy(), odd[s:e]))  # bit counts of negative numbers are of their absolute values
+        if at:
+            yield from found()
+
+    return dealt.repartition(n, "lo", "hi").sortWithinPartitions("lo", "hi", "second").mapInArrow(run, "a long, b long")
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """The similarity of two sets of shingles, each sorted without repeats; two empty ones are alike."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def alike(found: DataFrame, texts: DataFrame, similarity: float, width: int, bucket: int = 64) -> DataFrame:
+    """(a, b): those of the pairs whose whole texts have ``similarity``, but for what others in the same task connect.
+
+    ``texts`` has a row (hash, words) for each text. The pairs of two buckets of texts are verified together.
+    """
+    buckets = max(1, texts.count() // bucket)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    dealt = found.withColumn("block", of("a") * buckets + of("b"))
+    needs = dealt.select("block", F.col("a").alias("hash")).union(dealt.select("block", "b")).distinct()
+    sent = needs.join(texts, "hash").select("block", F.lit(None).cast("long").alias("a"), F.col("hash").alias("b"), "words")
+    sent = sent.unionByName(dealt.select("block", "a", "b", F.lit(None).cast("binary").alias("words")))
+
+    def run(batches):
+        at, known, root = None, {}, {}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for block, a, b, text in zip(*(batch[c].to_pylist() for c in ("block", "a", "b", "words")), strict=True):
+                if block != at:
+                    at, known, root = block, {}, {}
+                if a is None:
+                    known[b], root[b] = shingle_set(text, width), b
+                elif (x := top(a)) != (y := top(b)) and jaccard(known[a], known[b]) >= similarity:
+                    root[x] = y
+                    out.append((a, b))
+            cols = list(zip(*out, strict=True)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, "block").sortWithinPartitions("block", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def _verified(kept: DataFrame, fp: str, uid: str, text_col: str, radius: int, width: int, similarity: float) -> DataFrame:
+    """(key, component_id) for each row by the verified pairs of its text."""
+
+    @F.pandas_udf("binary")
+    def odd(texts):
+        return texts.map(lambda t: parities(t, width))
+
+    rows = kept.select(F.col(uid).alias("key"), F.col(fp).alias("fp"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), odd(utf8(text_col)).alias("odd"))
+    rows = materialize(rows, "rows")
+    nodes = materialize(rows.groupBy("hash").agg(F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.min("key").alias("key")), "texts")
+    found = materialize(pairs(nodes, radius, similarity), "pairs")
+    wanted = nodes.join(found.select("a").union(found.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
+    texts = kept.select(F.col(uid).alias("key"), utf8(text_col).alias("words")).join(wanted, "key").select("hash", "words")
+    roots = components(materialize(alike(found, texts, similarity, width), "alike"))
+    return rows.join(roots.withColumnRenamed("node", "hash"), "hash", "left").select("key", F.coalesce("root", "hash").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with the one row of each component that has the least id; its other columns stay as they are.
 
     Of rows that share this id, the one with the least hash of its columns stays (one of them, if all columns agree).
+    With ``similarity``, two texts link only if their sets of shingles of ``width`` words have it (Jaccard) as well.
     """
     fp, uid = free_name(docs, "fp"), free_name(docs, "uid")
     kept = materialize(with_fingerprint(docs, text_col, fp, width).withColumn(uid, F.monotonically_increasing_id()), "fingerprints")
-    classes = components_of(kept.select(F.col(uid).alias("key"), F.col(fp).alias("fp"))).drop("fp")
+    if similarity is None:
+        classes = components_of(kept.select(F.col(uid).alias("key"), F.col(fp).alias("fp")), radius=radius).drop("fp")
+    else:
+        classes = _verified(kept, fp, uid, text_col, radius, width, similarity)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col(uid).alias("uid"))
     best = classes.join(kept.select(F.col(uid).alias("key"), order.alias("order")), "key").groupBy("component_id").agg(F.min("order").alias("order"))
     return kept.join(best.select(F.col("order.uid").alias(uid)), uid, "left_semi").select(*docs.columns)

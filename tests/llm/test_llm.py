@@ -461,3 +461,23 @@ def test_pipeline_stages(spark, data):
     for r in docs.collect():
         packed[r.doc_id] += r.length
     assert ids == packed
+
+
+def test_stage_drops_near_copies_and_nothing_else(spark, data):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 100 + 3 * i)]
+        near, far = base.copy(), base.copy()
+        near[40] = near[70] = "changed"  # similarity 0.81 at least
+        for k in range(0, len(far), 9):
+            far[k] = "other"
+        rows += [base, near, far]
+    texts = [" ".join(r) for r in rows]
+    assert all(plain_jaccard(texts[i], texts[i + 1]) >= 0.8 > 0.5 > plain_jaccard(texts[i], texts[i + 2]) for i in range(0, 180, 3))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "", "a b", "A b", "a c"])], "doc_id long, text string")
+    ids = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
+    assert ids == {i for i in range(180) if i % 3 != 1} | {180, 182, 184}
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), data).count() == 0
