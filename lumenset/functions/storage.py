@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -31,4 +31,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote, once everything made from it is written too."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

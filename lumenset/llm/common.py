@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.functions.storage import fresh_path, materialize, shared_dir  # noqa: F401
+from lumenset.functions.storage import discard, fresh_path, materialize, shared_dir  # noqa: F401
 
 #: The separators of words: space and U+0009 to U+000D. ``bytes.split()`` splits at just these six.
 WORD = r"[^\x20\x09-\x0D]+"

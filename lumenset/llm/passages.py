@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,40 +12,104 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import WORD, materialize, mixed, shingle_hashes, utf8
+from lumenset.llm.common import WORD, discard, materialize, mixed, release, shingle_hashes, utf8
 from lumenset.operators.graph import components
 
 #: Groups of up to this many texts make their pairs at once; larger ones in pairs of blocks of so many, dealt to many tasks.
 BLOCK = 256
 #: Matching places of two texts are held for so many at once.
 PLACES = 2_000_000
-#: About so many texts a bucket; the pairs of two buckets are verified together.
+#: About so many texts a bucket; the pairs of a bucket's texts are verified together.
 BUCKET = 64
+#: Rounds in which the texts of a key are compared to one of them; what is then left is compared pair by pair.
+STARS = 3
+#: More texts than these with one key in one batch are compared to one of them there; only it meets other batches' texts.
+TOGETHER = 16
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What follows from the parameters, in words and in places of shingles.
+
+    Two stretches of ``words`` words with Jaccard ``similarity`` of their shingles share ``few`` of ``least`` shingles. The
+    others are broken at most ``breaks`` times, as a changed word costs ``width`` shingles (a word left out, one less). So
+    at least one run of ``run`` words stands in both, word for word.
+    """
+
+    words: int
+    width: int
+    similarity: float
+    hashes: int
+
+    @property
+    def least(self) -> int:
+        return self.words - self.width + 1
+
+    @property
+    def few(self) -> int:
+        return int(np.ceil(2 * self.similarity / (1 + self.similarity) * self.least - 1e-9))
+
+    @property
+    def breaks(self) -> int:
+        return (self.least - self.few) // max(1, self.width - 1)
+
+    @property
+    def run(self) -> int:
+        return -(-self.few // (self.breaks + 1)) + self.width - 1
+
+    @property
+    def gram(self) -> int:
+        """Words of a token of the min-hashes."""
+        return max(1, 2 * self.run // 5)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    words = text.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
     """A hash for each run of ``width`` words; none for fewer words."""
-    words = text.split()
-    if len(words) < width:
-        return np.zeros(0, dtype=np.uint64)
-    return shingle_hashes(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), width)
+    words = word_hashes(text)
+    return shingle_hashes(words, width) if len(words) >= width else words[:0]
+
+
+def _run_minima(h: np.ndarray, least: int) -> np.ndarray:
+    """The least of each ``least`` neighbours, by doubling."""
+    out, have = h, 1
+    while have < least:
+        step = min(have, least - have)
+        out, have = np.minimum(out[:-step], out[step:]), have + step
+    return out
 
 
-def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of each node of the Cartesian tree of ``h`` that spans ``least`` positions or more.
+def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, value): runs of ``least`` positions that begin at ``begin`` or after, but before the next one, have the least hash ``value``.
 
-    Every run that lies within l..r and has c in it has its least hash at c; every run of ``least`` positions lies in
-    exactly one node's window so. Equal hashes: the leftmost is the least. A text of n positions has about 2n / least.
+    They are the nodes of the Cartesian tree of ``h`` that span ``least`` positions, each with the runs it is the least of. Such
+    runs lie side by side, so the tree isn't built node by node.
     """
-    out, todo = [], [(0, len(h) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a + 1 < least:
-            continue
-        c = a + int(h[a : b + 1].argmin())
-        out.append((a, c, b))
-        todo += [(a, c - 1), (c + 1, b)]
-    return out
+    if len(h) < least:
+        return np.zeros(0, dtype=np.int64), h[:0]
+    low = _run_minima(h, least)
+    begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    return begin, low[begin]
+
+
+def signatures(words: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, signature): runs of ``plan.run`` words from ``begin`` on, up to the next one, have these min-hashes under all functions.
+
+    The windows of the functions are joined where they overlap, so a signature stands for many runs.
+    """
+    if len(words) < plan.run:
+        return np.zeros(0, dtype=np.int64), words[:0]
+    grams = shingle_hashes(words, plan.gram)
+    each = [compact_windows(mixed(grams ^ seed), plan.run - plan.gram + 1) for seed in mixed(np.arange(1, plan.hashes + 1, dtype=np.uint64))]
+    begin = np.unique(np.concatenate([x for x, _ in each]))
+    out = np.zeros(len(begin), dtype=np.uint64)
+    for own, value in each:
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + value[np.searchsorted(own, begin, side="right") - 1])
+    return begin, out
 
 
 def _runs(same: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
@@ -76,8 +141,11 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
     few = int(np.ceil(need * least - 1e-9))
     in_a, in_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
     order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a), np.searchsorted(b[order], a, side="right")
+    ordered = b[order]
+    lo, hi = np.searchsorted(ordered, a), np.searchsorted(ordered, a, side="right")
     total = np.concatenate([[0], np.cumsum(hi - lo)])
+    if total[-1] < few:
+        return [], []
     begin = 0
     while begin + least <= len(a):
         end = max(int(np.searchsorted(total, total[begin] + PLACES, side="right")) - 1, begin + 2 * least)
@@ -116,47 +184,146 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
     return _stretches(in_a), _stretches(in_b)
 
 
-def _stream(run, keys: list[str]):
-    """A mapInArrow function that gives ``run`` whole groups of rows, many at once, of input sorted by ``keys``."""
+ROWS = "key long, a long, b long"
+
+
+def _rows(key: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    other = pa.nulls(len(key), pa.int64()) if b is None else pa.array(b.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a.view(np.int64)), other], ["key", "a", "b"])
+
+
+def _stars(key: np.ndarray, text: np.ndarray, together: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows, ordered by key and text, go on alone; and for the others where the row is that they are compared to."""
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    first = np.repeat(start, size)
+    alone = (np.repeat(size, size) <= together) | (first == np.arange(len(key)))
+    return alone, first
+
+
+def _windows(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(key, a, null) for a text with a signature, (key, a, b) for two that a batch has in plenty. A task sends a text once."""
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            keys, texts = [], []
+            for text, h in zip(batch["words"].to_pylist(), batch["hash"].to_pylist(), strict=True):
+                if h in sent:
+                    continue
+                sent.add(h)
+                _, s = signatures(word_hashes(text), plan)
+                if len(s):
+                    keys.append(s)
+                    texts.append(np.full(len(s), h, dtype=np.int64))
+            if not keys:
+                continue
+            key, text = np.concatenate(keys), np.concatenate(texts)
+            by = np.lexsort((text, key))
+            key, text = key[by], text[by]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
+            key, text = key[new], text[new]
+            alone, first = _stars(key, text, TOGETHER)
+            yield _rows(key[alone], text[alone], None)
+            if not alone.all():
+                yield _rows(key[~alone], text[first[~alone]], text[~alone])
+        release()
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def _met(batches) -> Iterator[pa.RecordBatch]:
+    """(a, b): each text of a key, and the key's first one. Rows are ordered by key and text; of a key only the first is held."""
+    at: tuple[int, int] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        done = batch["b"].is_valid().to_numpy(zero_copy_only=False)
+        both = batch.filter(pa.array(done))
+        if both.num_rows:
+            yield pa.RecordBatch.from_arrays([both["a"], both["b"]], ["a", "b"])
+        key, text = (batch[c].to_numpy()[~done] for c in ("key", "a"))
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        first = text[start]
+        if at is not None and at[0] == key[0]:
+            first[0] = at[1]
+        at = int(key[-1]), int(first[-1])
+        first = np.repeat(first, np.diff(np.append(start, len(key))))
+        new = first != text
+        if new.any():
+            yield pa.RecordBatch.from_arrays([pa.array(first[new]), pa.array(text[new])], ["a", "b"])
+
+
+def _star_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a before b, from rows (key, a, b)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, F.when(F.col("b").isNull(), F.col("key")).otherwise(F.col("b"))).sortWithinPartitions(F.col("b").isNotNull(), "key", "a")
+    met = dealt.mapInArrow(_met, "a long, b long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _whole(run):
+    """A mapInArrow function that gives ``run`` whole groups of rows, many at once, of input sorted by ``key`` and ``tile``."""
 
     def go(batches):
-        held = None
+        held: list[pa.Table] = []
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            if not t.num_rows:
+            if not batch.num_rows:
                 continue
-            cols = [t[k].to_numpy() for k in keys]
+            t = pa.Table.from_batches([batch])
+            cols = [t[k].to_numpy() for k in ("key", "tile")]
             start = np.concatenate([[0], 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0))])
-            held = t.slice(start[-1])
+            if held and all(held[-1][k][-1].as_py() == t[k][0].as_py() for k in ("key", "tile")):
+                start = start[1:]
+            if not len(start):
+                held.append(t)
+                continue
+            held.append(t.slice(0, start[0]))
+            yield from run(pa.concat_tables(held).combine_chunks())
             if len(start) > 1:
-                yield from run(t.slice(0, start[-1]), start)
-        if held is not None and held.num_rows:
-            yield from run(held, np.array([0, held.num_rows]))
+                yield from run(t.slice(start[0], start[-1] - start[0]))
+            held = [t.slice(start[-1])]
+        if held:
+            yield from run(pa.concat_tables(held).combine_chunks())
 
     return go
 
 
-def _windows(docs: DataFrame, width: int, least: int, hashes: int) -> DataFrame:
-    seeds = mixed(np.arange(1, hashes + 1, dtype=np.uint64))
+def _groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, tile = t["key"].to_numpy(), t["tile"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
+    return start, np.append(start[1:], len(key))
 
-    def run(batches):
-        for batch in batches:
-            rows: list[np.ndarray] = []
-            for text, h in zip(batch["words"].to_pylist(), batch["hash"].to_pylist(), strict=True):
-                s = shingles(text, width)
-                if len(s) < least:
-                    continue
-                for j in range(hashes):
-                    own = mixed(s ^ seeds[j])
-                    c = np.array([w[1] for w in compact_windows(own, least)], dtype=np.int64)
-                    key = np.unique(mixed(own[c] + np.uint64(j)).view(np.int64))
-                    rows.append(np.column_stack([key, np.full(len(key), j), np.full(len(key), h)]))
-            if rows:
-                x = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int8)), pa.array(x[:, 2])], ["key", "j", "hash"])
 
-    return docs.mapInArrow(run, "key long, j byte, hash long")
+def _tile_pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """All pairs of texts between the two blocks of each tile, or within its one block."""
+    text, side = t["text"].to_numpy(), t["side"].to_numpy()
+    for s, e in zip(*_groups(t), strict=True):
+        one, two = s + np.flatnonzero(side[s:e] == 0), s + np.flatnonzero(side[s:e] == 1)
+        if len(two):
+            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
+        else:
+            x, y = (s + k for k in np.triu_indices(e - s, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(text[x]), pa.array(text[y])], ["a", "b"])
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a before b: all pairs of texts with one key, from distinct rows (key, a).
+
+    A key's texts fall into blocks by hash, as many as ``BLOCK`` asks for; each two blocks meet in a task of their own.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("key", "k")
+    own = rows.join(sizes, F.col("key") == F.col("k")).select("key", F.col("a").alias("text"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"), "blocks")
+    each = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda other: F.struct((F.least("block", other) * F.col("blocks") + F.greatest("block", other)).alias("tile"), (F.col("block") > other).cast("long").alias("side")),
+    )
+    dealt = own.select("key", "text", F.explode(each).alias("t")).select("key", "text", "t.*")
+    found = dealt.repartition(n, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_whole(_tile_pairs), "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _zipped(batches):
@@ -168,133 +335,144 @@ def _zipped(batches):
         yield pa.RecordBatch.from_arrays(cols, ["key", "hash", "words"])
 
 
-#: A pair of texts with one key (tile -1), or a text of a large group for one of its tiles (b: which of its two blocks).
-LINK = "a long, b long, j byte, key long, tile long"
-
-
-def _batch(a: np.ndarray, b: np.ndarray, j: np.ndarray, key: np.ndarray, tile: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(j), pa.array(key), pa.array(tile)], ["a", "b", "j", "key", "tile"])
-
+def _texts(own: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(hash, words) of each text in ``pairs``, compressed: one row's. Texts are shuffled once, whatever their number."""
+    wanted = ids.join(pairs.select("a").union(pairs.select("b")).toDF("hash").distinct(), "hash", "left_semi")
+    wanted = wanted.groupBy("hash").agg(F.min(F.struct(F.col("key").isNull(), "key")).alias("m")).select("hash", F.col("m.key").alias("k"))
+    texts = own.select("key", "hash", "words").mapInArrow(_zipped, "key long, hash long, words binary")
+    found = texts.join(wanted.hint("merge"), "hash").filter(F.col("key").eqNullSafe(F.col("k")))
+    return materialize(found.select("hash", "words").dropDuplicates(["hash"]), "passage-texts")
 
-def _links(t: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All pairs of texts in groups that begin at ``start``; of groups beyond ``BLOCK``, the texts for each pair of blocks."""
-    key, j, h = (t[c].to_numpy() for c in ("key", "j", "hash"))
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])])  # equal texts count once
-    if start[-1] == t.num_rows:
-        start = start[:-1]
-    start = np.searchsorted(np.flatnonzero(new), start)
-    key, j, h = key[new], j[new], h[new]
-    ends = np.append(start[1:], len(key))
-    size = ends - start
-    end = np.repeat(np.where(size > BLOCK, start, ends), size)
-    i, left, right = np.arange(len(end)), [], []
-    for d in range(1, BLOCK):
-        i = i[i + d < end[i]]
-        if not len(i):
-            break
-        left.append(i)
-        right.append(i + d)
-    a, b = (np.concatenate(s) if s else np.zeros(0, dtype=np.int64) for s in (left, right))
-    yield _batch(h[a], h[b], j[a], key[a], np.full(len(a), -1))
-    for k in np.flatnonzero(size > BLOCK):
-        blocks = [np.arange(x, min(x + BLOCK, ends[k])) for x in range(start[k], ends[k], BLOCK)]
-        each = np.arange(len(blocks))
-        for p, own in enumerate(blocks):  # a row for each tile that the block has part in
-            tile = np.repeat((np.minimum(p, each) << 32) + np.maximum(p, each), len(own))
-            rows = np.tile(own, len(blocks))
-            yield _batch(h[rows], np.repeat((p > each).astype(np.int64), len(own)), j[rows], key[rows], tile)
-
-
-def _tile_links(t: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All pairs of texts between the two blocks of each tile, or within its one block."""
-    h, side, j = (t[c].to_numpy() for c in ("a", "b", "j"))
-    ends = start[1:] if start[-1] == t.num_rows else np.append(start[1:], t.num_rows)
-    for s, e in zip(start, ends, strict=False):
-        one, two = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
-        if len(two):
-            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
-        else:
-            x, y = np.triu_indices(len(one), 1)
-        x, y, none = x + s, y + s, np.full(len(x), -1)
-        yield _batch(h[x], h[y], j[x], none, none)
 
+FOUND = "hash long, other long, s long, e long, key long"
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 50, width: int = 5, similarity: float = 0.8, hashes: int = 6, enough: int = 3) -> DataFrame:
-    """Rows with a passage of ``words`` words or more that another row has too, or nearly so.
 
-    ``id_col``, n_words, passages (merged word spans, ``start-end`` comma-joined), passage_words, n_links (verified links of
-    the text to others, its own copies not counted), n_copies (rows with the very same text), class_id (the least id that
-    links reach). Rows without such a passage don't appear; null and empty texts never do. Equal texts are compared
-    once; repeated rows are copies of each other. Other columns aren't read.
+def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan, *, first: bool, square: bool = False) -> DataFrame:
+    """The stretches of each pair's texts, and the runs that both texts have, by which they met, but that no stretch has.
 
-    Windows with one key (hash function and least shingle hash) meet by a shuffle on it, and all pairs of texts in a group
-    are made, large groups' in pairs of blocks. Pairs of texts that windows of ``enough`` of ``hashes`` functions link,
-    wherever they lie, are verified on their whole texts.
+    Rows (hash, other, s, e, null) are stretches of words; rows (hash, null, null, null, key) are keys under which a text
+    must meet others: a key stands for the whole run of words. The pairs of a bucket of texts are verified together, so that a
+    text comes once for many pairs; with ``square``, those of two buckets.
     """
-    least = words - width + 1
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("words"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
-    windows = _windows(own.select("hash", "words"), width, least, hashes)
-    linked = windows.repartition(n, "key").sortWithinPartitions("key", "hash").mapInArrow(_stream(_links, ["key"]), LINK)
-    linked = materialize(linked, "passage-links")
-    tiles = linked.filter("tile >= 0").repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "b", "a").mapInArrow(_stream(_tile_links, ["key", "tile"]), LINK)
-    met = linked.filter("tile < 0").unionByName(tiles).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1, int(j))")).alias("functions"))
-    found = materialize(met.filter(F.bit_count("functions") >= enough).select("a", "b"), "passage-candidates")
-    n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    hash_ = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    ids = materialize(docs.select(F.col(id_col).cast("long").alias("key"), hash_.alias("hash"), n_words.alias("n")), "passage-ids")
-    # one row for each text that is needed, written so that its size is known: few are broadcast, more make texts move, compressed
-    wanted = ids.join(found.select("a").union(found.select("b")).toDF("hash").distinct(), "hash", "left_semi")
-    wanted = wanted.groupBy("hash").agg(F.min(F.struct(F.col("key").isNull(), "key")).alias("m")).select("hash", F.col("m.key").alias("k"))
-    texts = own.select("key", "hash", "words").mapInArrow(_zipped, "key long, hash long, words binary")
-    texts = texts.join(materialize(wanted, "passage-wanted"), "hash").filter(F.col("key").eqNullSafe(F.col("k"))).select("hash", "words")
-    texts = materialize(texts, "passage-texts")
-    # the pairs of two buckets of texts are verified together, so that a text comes once for many pairs
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, texts.count() // BUCKET)
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    pairs = found.withColumn("block", bucket("a") * buckets + bucket("b"))
-    needs = pairs.select("block", F.col("a").alias("hash")).union(pairs.select("block", "b")).distinct()
-    sent = needs.join(texts.select("hash", "words"), "hash").select("block", F.lit(None).cast("long").alias("a"), F.col("hash").alias("b"), "words")
-    sent = sent.unionByName(pairs.select("block", "a", "b", F.lit(None).cast("binary").alias("words")))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+    dealt = pairs.withColumn("block", of("b") * buckets + of("a") if square else of("b"))
+    needs = dealt.select("block", F.col("a").alias("hash")).union(dealt.select("block", "b")).distinct()
+    sent = needs.join(texts, "hash").select("block", F.lit(None).cast("long").alias("a"), F.col("hash").alias("b"), "words")
+    sent = sent.unionByName(dealt.select("block", "a", "b", F.lit(None).cast("binary").alias("words")))
+
+    def runs(text: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The signature, in this round, of each run of a text, and the hash of each run in full."""
+        words = text[0]
+        full = shingle_hashes(words, plan.run) if len(words) >= plan.run else words[:0]
+        if not first:
+            return full, full
+        begin, sig = signatures(words, plan)
+        return np.repeat(sig, np.diff(np.append(begin, len(full)))), full
 
     def verify(batches):
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, list] = {}
         unzip, at = zstandard.ZstdDecompressor(), None
         for batch in batches:
-            out = []
+            out, left = [], []
             for block, a, b, text in zip(*(batch[c].to_pylist() for c in ("block", "a", "b", "words")), strict=True):
                 if block != at:
                     known, at = {}, block
                 if a is None:
-                    known[b] = shingles(unzip.decompress(text), width)
+                    words = word_hashes(unzip.decompress(text))
+                    known[b] = [words, shingle_hashes(words, plan.width) if len(words) >= plan.width else words[:0], None]
                     continue
-                for one, two, stretches in zip((a, b), (b, a), shared_passages(known[a], known[b], least, similarity), strict=True):
-                    out += [(one, two, s, e + width - 1) for s, e in stretches]
+                both = shared_passages(known[a][1], known[b][1], plan.least, plan.similarity)
+                for one, two, stretches in zip((a, b), (b, a), both, strict=True):
+                    out += [(one, two, s, e + plan.width - 1) for s, e in stretches]
+                for x in (a, b):
+                    if known[x][2] is None:
+                        known[x][2] = runs(known[x])
+                for one, two, stretches in zip((a, b), (b, a), both, strict=True):
+                    sig, full = known[one][2]
+                    hit = np.flatnonzero(np.isin(sig, known[two][2][0]))
+                    if len(hit) and stretches:
+                        s = np.array([x[0] for x in stretches])
+                        e = np.array([x[1] for x in stretches]) + plan.width - 1
+                        k = np.searchsorted(s, hit, side="right") - 1
+                        hit = hit[(k < 0) | (hit + plan.run > e[np.maximum(k, 0)])]
+                    if len(hit):
+                        keys = np.unique(full[hit])
+                        left.append((np.full(len(keys), one, dtype=np.int64), keys.view(np.int64)))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["hash", "other", "s", "e"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(out), pa.int64())], ["hash", "other", "s", "e", "key"])
+            if left:
+                text, key = (np.concatenate(c) for c in zip(*left, strict=True))
+                none = pa.nulls(len(key), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(text), none, none, none, pa.array(key)], ["hash", "other", "s", "e", "key"])
+        release()
 
     sent = sent.repartition(n, "block").sortWithinPartitions("block", F.col("a").asc_nulls_first())
-    both = materialize(sent.mapInArrow(verify, "hash long, other long, s long, e long"), "passage-pairs")
-    spans = F.aggregate(
-        F.array_sort(F.array_distinct(F.collect_list(F.struct("s", "e")))),
-        F.array().cast("array<struct<s:bigint,e:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)["e"] >= x["s"]),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)["s"].alias("s"), F.greatest(F.element_at(F.when(F.size(acc) > 0, acc).otherwise(F.array(x)), -1)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    places = both.select("hash", "s", "e").distinct().groupBy("hash").agg(spans.alias("spans"))
-    degree = both.groupBy("hash").agg(F.countDistinct("other").alias("n_links"))
+    return materialize(sent.mapInArrow(verify, FOUND), "passage-found")
+
+
+def _linked(own: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
+    """(hash, other, s, e) for pairs of texts: the stretches of the one that are near copies of the other's.
+
+    The texts of a key are compared to one of them. Those whose run of words lies in no stretch shared with it meet again, by
+    the whole run, without it; after ``STARS`` rounds all that are left with one key meet each other.
+    """
+    done = tables = None
+    rows, last = _windows(own.select("hash", "words"), plan), None
+    for k in range(STARS + 1):
+        pairs = _star_pairs(rows) if k < STARS else _all_pairs(rows.select("key", "a"))
+        pairs = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "passage-pairs")
+        if pairs.isEmpty():
+            break
+        texts = _texts(own, ids, pairs)
+        found = _verified(pairs, texts, plan, first=not k, square=k == STARS)
+        tables = found.filter("key is null") if tables is None else tables.unionByName(found.filter("key is null"))
+        done = pairs if done is None else done.unionByName(pairs)
+        discard(texts)
+        rows = found.filter("key is not null").select("key", F.col("hash").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
+        # of a key that one text has nothing can come
+        several = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+        rows = materialize(rows.join(several, "key", "left_semi"), "passage-left")
+        if last is not None:
+            discard(last)
+        last = rows
+    empty = own.sparkSession.createDataFrame([], FOUND)
+    return (empty if tables is None else tables).select("hash", "other", "s", "e")
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 50, width: int = 5, similarity: float = 0.8, hashes: int = 2) -> DataFrame:
+    """Rows with a passage of ``words`` words or more that another row has too, or nearly so.
+
+    ``id_col``, n_words (of the text), passages (merged word spans, ``start-end`` comma-joined), passage_words, n_copies (rows with the very same
+    text), class_id (the least id that links reach; a link is a verified passage that two different texts share). Rows
+    without such a passage don't appear; null and empty texts never do. Equal texts are compared once; repeated rows are
+    copies of each other. Other columns aren't read, so their names don't matter. An empty input gives no rows.
+
+    Runs of words meet by a shuffle on their signature: the min-hashes of all ``hashes`` functions. Two passages of that
+    similarity have a run of ``Plan.run`` words in common, so they meet. Pairs are verified on their whole texts.
+    """
+    plan = Plan(words, width, similarity, hashes)
+    own = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("words"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
+    n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    hash_ = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    ids = materialize(docs.select(F.col(id_col).cast("long").alias("key"), hash_.alias("hash"), n_words.alias("n")), "passage-ids")
+    both = _linked(own, ids, plan)
+    last = lambda acc: F.element_at(acc, -1)
+    joined_to = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"))))
+    in_order = F.array_sort(F.collect_list(F.struct("s", "e")))
+    spans = F.aggregate(F.slice(in_order, 2, F.size(in_order)), F.slice(in_order, 1, 1), lambda acc, x: F.when(last(acc)["e"] >= x["s"], joined_to(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    places = both.groupBy("hash", "s").agg(F.max("e").alias("e")).groupBy("hash").agg(spans.alias("spans"))
     roots = components(both.filter("hash < other").select(F.col("hash").alias("a"), F.col("other").alias("b")).distinct())
     copies = ids.groupBy("hash").agg(F.count("*").alias("n_copies"), F.min("key").alias("least"), F.max("n").alias("n"))
-    several = copies.filter((F.col("n_copies") > 1) & (F.col("n") >= words)).select("hash", "n")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e")))
-    nodes = places.join(several, "hash", "full").join(degree, "hash", "left").join(roots.withColumnRenamed("node", "hash"), "hash", "left")
-    nodes = nodes.join(copies.drop("n"), "hash").select("hash", F.coalesce("root", "hash").alias("root"), F.when(F.col("n").isNotNull(), whole).otherwise(F.col("spans")).alias("spans"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", "least")
+    several = (F.col("n_copies") > 1) & (F.col("n") >= words)
+    nodes = copies.join(places, "hash", "left").filter(several | F.col("spans").isNotNull()).join(roots.withColumnRenamed("node", "hash"), "hash", "left")
+    nodes = nodes.select("hash", F.coalesce("root", "hash").alias("root"), F.when(several, whole).otherwise(F.col("spans")).alias("spans"), "n_copies", "least")
     nodes = materialize(nodes, "passage-nodes")
     named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("class_id")), "root")
     joined = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",")
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
-    out = ids.select("key", "hash").join(named, "hash")
-    return out.select(F.col("key").alias(id_col), joined.alias("passages"), total.alias("passage_words"), "n_links", "n_copies", "class_id")
+    out = ids.join(named, "hash")
+    return out.select(F.col("key").alias(id_col), F.col("n").alias("n_words"), joined.alias("passages"), total.alias("passage_words"), "n_copies", "class_id")

@@ -260,13 +260,28 @@ def test_neighbours_and_edited_texts(spark, docs, parts, monkeypatch):
 # op7
 
 
-def test_compact_windows_cover_each_run_once():
-    h = np.random.default_rng(2).integers(0, 50, 60).astype(np.uint64)
-    windows = passages.compact_windows(h, 8)
-    for a in range(60):
-        for b in range(a + 7, 60):
+def test_compact_windows_are_nodes_of_the_cartesian_tree():
+    h = np.random.default_rng(2).permutation(90).astype(np.uint64)
+    nodes, todo = set(), [(0, len(h) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a + 1 >= 8:
             c = a + int(h[a : b + 1].argmin())
-            assert sum(w[0] <= a and b <= w[2] and w[1] == c for w in windows) == 1
+            nodes.add(int(h[c]))
+            todo += [(a, c - 1), (c + 1, b)]
+    begin, value = passages.compact_windows(h, 8)
+    assert set(value.tolist()) == nodes and len(value) == len(nodes)
+    at = np.repeat(value, np.diff(np.append(begin, 83)))
+    assert at.tolist() == [int(h[a : a + 8].min()) for a in range(83)]
+
+
+def test_a_run_in_common_gives_a_signature_in_common():
+    plan = passages.Plan(50, 5, 0.8, 2)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        run = rng.integers(0, 1 << 60, plan.run).astype(np.uint64)
+        a, b = (np.concatenate([rng.integers(0, 1 << 60, k).astype(np.uint64), run, rng.integers(0, 1 << 60, 20).astype(np.uint64)]) for k in (3, 40))
+        assert set(passages.signatures(a, plan)[1].tolist()) & set(passages.signatures(b, plan)[1].tolist())
 
 
 def test_repeated_passages_are_found_and_clean_ones_left(spark):
@@ -284,21 +299,73 @@ def test_repeated_passages_are_found_and_clean_ones_left(spark):
 rows9 = prose(64)
 
 
-def test_links_of_large_groups_are_whole(spark):
-    rng = np.random.default_rng(11)
+def planted_passages(seed=11):
+    """Texts with a hot passage, near copies of one text, frequent lines of 9, 15 and 30 words, and pairs around them."""
+    rng = np.random.default_rng(seed)
     wide = [f"w{i}" for i in range(30_000)]
     some = lambda n: list(rng.choice(wide, n))
-    many, phrase = some(60), some(5)
-    rows = [some(20) + many + some(20) for _ in range(passages.BLOCK + 14)]
-    rows += [some(30) + phrase + some(30) for _ in range(60)]
-    for _ in range(20):  # pairs whose passage holds the frequent phrase
-        own = some(25) + phrase + some(25)
-        rows += [some(20) + own + some(20) for _ in range(2)]
-    runs = [{tuple(r[i : i + 50]) for i in range(len(r) - 49)} for r in rows]
-    want = {i: n for i, x in enumerate(runs) if (n := sum(not x.isdisjoint(y) for y in runs) - 1)}
-    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    assert {r.doc_id: r.n_links for r in passages.repeated_passages(df).collect()} == want
-    assert max(want.values()) == passages.BLOCK + 13 and len(want) == passages.BLOCK + 54
+    lines, many, long = [some(n) for n in (9, 15, 30)], some(60), some(150)
+
+    def edited(words, every):
+        out = list(words)
+        for at in range(int(rng.integers(0, every)), len(out), every):
+            if at < len(out):
+                out[at : at + 1] = [[], [out[at], "in"], ["new"]][rng.integers(0, 3)]
+        return out
+
+    rows = [some(20) + many + some(20) for _ in range(40)]
+    rows += [edited(long, 60) for _ in range(40)]
+    rows += [some(30) + line + some(30) for line in lines for _ in range(20)]
+    for line in lines:  # pairs whose passage holds a frequent line
+        for _ in range(10):
+            own = some(20) + line + some(25)
+            rows += [some(20) + own + some(20), some(20) + edited(own, 80) + some(20)]
+    return [" ".join(r) for r in rows]
+
+
+def plain_passages(rows, plan):
+    """Covered words and classes by all pairs of texts."""
+    sh = [passages.shingles(t.encode(), plan.width) for t in rows]
+    covered, root = {}, list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            both = passages.shared_passages(sh[i], sh[j], plan.least, plan.similarity)
+            back = passages.shared_passages(sh[j], sh[i], plan.least, plan.similarity)  # edges may differ by a few words
+            for x, stretches in ((i, both[0] + back[1]), (j, both[1] + back[0])):
+                covered.setdefault(x, set()).update(w for s, e in stretches for w in range(s, e + plan.width - 1))
+            if both[0]:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: w for i, w in covered.items() if w}, [top(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("together", [1, 16])
+def test_passages_match_all_pairs(spark, together, monkeypatch):
+    monkeypatch.setattr(passages, "TOGETHER", together)
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    rows = planted_passages()
+    covered, classes = plain_passages(rows, passages.Plan(50, 5, 0.8, 2))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert set(got) == set(covered)
+    assert {i: r.class_id for i, r in got.items()} == {i: classes[i] for i in covered}
+    words = {i: {w for x in r.passages.split(",") for w in range(*map(int, x.split("-")))} for i, r in got.items()}
+    assert all(words[i] <= covered[i] for i in got)
+    recall = sum(len(words[i]) for i in got) / sum(map(len, covered.values()))
+    print("share of the words found", recall)
+    assert recall > 0.9
+
+
+def test_all_pairs_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 5)
+    rows = spark.createDataFrame([(1, i) for i in range(23)] + [(2, i) for i in (4, 50)] + [(3, 7)], "key long, a long")
+    want = {(i, j) for j in range(23) for i in range(j)} | {(4, 50)}
+    assert {tuple(r) for r in passages._all_pairs(rows).collect()} == want
 
 
 def test_passages_drift_and_stand_twice(spark):
