@@ -293,7 +293,9 @@ def _whole(run):
 
 def _groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     key, tile = t["key"].to_numpy(), t["tile"].to_numpy()
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
+    if not len(key):
+        return key, key
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]))
     return start, np.append(start[1:], len(key))
 
 
