@@ -48,13 +48,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of each run of ``width`` word hashes; of the whole sequence where it is shorter; none for none."""
+    """Hashes of each run of ``width`` word hashes; of the whole sequence where it is shorter; none for none.
+
+    A polynomial in the words' hashes, put together from runs whose lengths are powers of two.
+    """
     if not len(words):
         return words
     width = min(width, len(words))
-    n = len(words) - width + 1
-    out = np.full(n, width, dtype=np.uint64)
-    for i in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return out
+    factor = lambda n: np.uint64(pow(_FACTOR, n, 1 << 64))
+    out, have, part, size = None, 0, words, 1
+    while True:
+        if width & size:
+            out = part if out is None else out[: len(words) - have - size + 1] * factor(size) + part[have:]
+            have += size
+        if have == width:
+            return mixed(out + np.uint64(width))
+        part, size = part[:-size] * factor(size) + part[size:], 2 * size

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import WORD, discard, materialize, mixed, release, shingle_hashes, utf8
+from lumenset.llm.common import discard, materialize, mixed, release, shingle_hashes, utf8
 from lumenset.operators.graph import components
 
 #: Groups of up to this many texts make their pairs at once; larger ones in pairs of blocks of so many, dealt to many tasks.
@@ -96,16 +96,22 @@ def compact_windows(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return begin, low[begin]
 
 
-def signatures(words: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+def signatures(words: np.ndarray, plan: Plan, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(begin, signature): runs of ``plan.run`` words from ``begin`` on, up to the next one, have these min-hashes under all functions.
 
-    The windows of the functions are joined where they overlap, so a signature stands for many runs.
+    The windows of the functions are joined where they overlap, so a signature stands for many runs. ``words`` may be those
+    of many texts, which end at ``ends``: then no run has words of two.
     """
     if len(words) < plan.run:
         return np.zeros(0, dtype=np.int64), words[:0]
     grams = shingle_hashes(words, plan.gram)
     each = [compact_windows(mixed(grams ^ seed), plan.run - plan.gram + 1) for seed in mixed(np.arange(1, plan.hashes + 1, dtype=np.uint64))]
-    begin = np.unique(np.concatenate([x for x, _ in each]))
+    begin = np.concatenate([x for x, _ in each])
+    if ends is not None:
+        begin = np.concatenate([begin, ends[:-1][ends[:-1] <= len(words) - plan.run]])
+    begin = np.unique(begin)
+    if ends is not None:
+        begin = begin[begin + plan.run <= ends[np.searchsorted(ends, begin, side="right")]]
     out = np.zeros(len(begin), dtype=np.uint64)
     for own, value in each:
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + value[np.searchsorted(own, begin, side="right") - 1])
@@ -129,23 +135,29 @@ def _stretches(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def by_value(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of ``h`` in the order of its values, and the values."""
+    order = np.argsort(h, kind="stable")
+    return order, h[order]
+
+
+def shared_passages(a: np.ndarray, b: np.ndarray, plan: Plan, ordered: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Stretches of two texts' shingles that are near copies, from the whole texts: those of the first, those of the second.
 
-    A shingle of one text counts at each place where the other has it. In a stretch of ``least`` places, the shingles
-    that both have, on diagonals that differ by no more than a fifth of ``least``, must be ``similarity`` of all
-    (Jaccard): ``2s / (1 + s)`` of each text's, for as many on both sides. Every such band of diagonals is looked at, so
-    a passage may drift on as it will, and stand at several places.
+    A shingle of one text counts at each place where the other has it. In a stretch of ``plan.least`` places, the shingles
+    that both have, on diagonals that differ by no more than a fifth of that, must be the plan's similarity of all
+    (Jaccard): ``2s / (1 + s)`` of each text's, for as many on both sides. Every band of diagonals is looked at that holds a
+    run of ``plan.run`` words that isn't covered yet, those with most of them first, so a passage may drift on as it will, and stand at
+    several places. ``ordered`` is ``by_value(b)``, where that is known.
     """
-    drift, need = max(2, least // 10), 2 * similarity / (1 + similarity)
-    few = int(np.ceil(need * least - 1e-9))
-    in_a, in_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
-    order = np.argsort(b, kind="stable")
-    ordered = b[order]
-    lo, hi = np.searchsorted(ordered, a), np.searchsorted(ordered, a, side="right")
+    least, few, whole = plan.least, plan.few, plan.run - plan.width + 1
+    drift, need = max(2, least // 10), 2 * plan.similarity / (1 + plan.similarity)
+    order, values = by_value(b) if ordered is None else ordered
+    lo, hi = np.searchsorted(values, a), np.searchsorted(values, a, side="right")
     total = np.concatenate([[0], np.cumsum(hi - lo)])
     if total[-1] < few:
         return [], []
+    in_a, in_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
     begin = 0
     while begin + least <= len(a):
         end = max(int(np.searchsorted(total, total[begin] + PLACES, side="right")) - 1, begin + 2 * least)
@@ -157,27 +169,37 @@ def shared_passages(a: np.ndarray, b: np.ndarray, least: int, similarity: float)
         by = np.argsort(i - j, kind="stable")
         i, j = i[by], j[by]
         d = i - j
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, dtype=np.int64)
-        last = np.searchsorted(d, d[first] + 2 * drift, side="right")
-        bands = np.flatnonzero(last - first >= few)
-        for k in bands[np.argsort(first[bands] - last[bands], kind="stable")]:
-            x, y = i[first[k] : last[k]], j[first[k] : last[k]]
-            if in_a[x].all() and in_b[y].all():
-                continue
-            u = np.unique(x)
-            if len(u) < few or not (u[few - 1 :] - u[: len(u) - few + 1] < least).any():
-                continue
-            base = max(begin, int(u[0]) - least)
-            same = np.zeros(min(end, int(u[-1]) + least + 1) - base, dtype=bool)
-            same[u - base] = True
-            for s, e in _runs(same, least, need):
-                own = (x >= base + s) & (x < base + e)
-                xs, ys = x[own], y[own]
-                value, n = np.unique(xs - ys, return_counts=True)
-                near = np.lexsort((np.abs(xs - ys - value[n.argmax()]), xs))
-                hit = ys[near[np.concatenate([[True], np.diff(xs[near]) > 0])]]
-                in_a[base + s : base + e] = True
-                in_b[hit.min() : hit.max() + 1] = True
+        edge = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)])) if len(d) else by
+        size = np.diff(np.append(edge, len(d)))
+        long = np.repeat(size >= whole, size)
+        if long.any():
+            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            last = np.searchsorted(d, d[first] + 2 * drift, side="right")
+            upto = np.concatenate([[0], np.cumsum(long)])
+            wider = np.concatenate([[True], last[1:] > last[:-1]])  # else the band before has all that this one has
+            able = wider & (last - first >= few) & (upto[last] > upto[first])
+            first, last, todo = first[able], last[able], np.ones(int(able.sum()), dtype=bool)
+            while len(todo):
+                gain = (upto[last] - upto[first]) * todo
+                k = int(gain.argmax())
+                if not gain[k]:
+                    break
+                todo[k] = False
+                x, y = i[first[k] : last[k]], j[first[k] : last[k]]
+                base, top = max(begin, int(x.min()) - least), min(end, int(x.max()) + least + 1)
+                same = np.zeros(top - base, dtype=bool)
+                same[x - base] = True
+                runs = _runs(same, least, need)
+                for s, t in runs:
+                    own = (x >= base + s) & (x < base + t)
+                    xs, ys = x[own], y[own]
+                    value, n = np.unique(xs - ys, return_counts=True)
+                    near = np.lexsort((np.abs(xs - ys - value[n.argmax()]), xs))
+                    hit = ys[near[np.concatenate([[True], np.diff(xs[near]) > 0])]]
+                    in_a[base + s : base + t] = True
+                    in_b[hit.min() : hit.max() + 1] = True
+                if runs:
+                    upto = np.concatenate([[0], np.cumsum(long & ~(in_a[i] & in_b[j]))])
         if end == len(a):
             break
         begin = end - least + 1
@@ -204,19 +226,32 @@ def _stars(key: np.ndarray, text: np.ndarray, together: int) -> tuple[np.ndarray
 def _windows(docs: DataFrame, plan: Plan) -> DataFrame:
     """(key, a, null) for a text with a signature, (key, a, b) for two that a batch has in plenty. A task sends a text once."""
 
+    def some(batch, sent: set[int]):
+        """Word hashes of texts not sent before, many texts at once, and their hashes."""
+        words, texts, size = [], [], 0
+        for text, h in zip(batch["words"].to_pylist(), batch["hash"].to_pylist(), strict=True):
+            if h in sent:
+                continue
+            sent.add(h)
+            words.append(word_hashes(text))
+            texts.append(h)
+            size += len(words[-1])
+            if size > 1 << 15:
+                yield words, texts
+                words, texts, size = [], [], 0
+        if words:
+            yield words, texts
+
     def run(batches):
         sent: set[int] = set()
         for batch in batches:
             keys, texts = [], []
-            for text, h in zip(batch["words"].to_pylist(), batch["hash"].to_pylist(), strict=True):
-                if h in sent:
-                    continue
-                sent.add(h)
-                _, s = signatures(word_hashes(text), plan)
-                if len(s):
-                    keys.append(s)
-                    texts.append(np.full(len(s), h, dtype=np.int64))
-            if not keys:
+            for words, h in some(batch, sent):
+                ends = np.cumsum([len(w) for w in words])
+                begin, s = signatures(np.concatenate(words), plan, ends)
+                keys.append(s)
+                texts.append(np.array(h, dtype=np.int64)[np.searchsorted(ends, begin, side="right")])
+            if not sum(map(len, keys)):
                 continue
             key, text = np.concatenate(keys), np.concatenate(texts)
             by = np.lexsort((text, key))
@@ -329,20 +364,19 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _zipped(batches):
-    """(key, hash, words) with the words compressed."""
-    zip_ = zstandard.ZstdCompressor(level=3)
+    """(key, hash, n, words): the number of words, and the words compressed."""
+    zip_ = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         words = batch["words"].to_pylist()
-        cols = [batch["key"], batch["hash"], pa.array(map(zip_.compress, words), pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["key", "hash", "words"])
+        n = pa.array([len(w.split()) for w in words], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["hash"], n, pa.array(map(zip_.compress, words), pa.binary())], ["key", "hash", "n", "words"])
 
 
-def _texts(own: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(hash, words) of each text in ``pairs``, compressed: one row's. Texts are shuffled once, whatever their number."""
-    wanted = ids.join(pairs.select("a").union(pairs.select("b")).toDF("hash").distinct(), "hash", "left_semi")
+def _texts(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(hash, words) of each text in ``pairs``, compressed: that of one row."""
+    wanted = ids.select("key", "hash").join(pairs.select("a").union(pairs.select("b")).toDF("hash").distinct(), "hash", "left_semi")
     wanted = wanted.groupBy("hash").agg(F.min(F.struct(F.col("key").isNull(), "key")).alias("m")).select("hash", F.col("m.key").alias("k"))
-    texts = own.select("key", "hash", "words").mapInArrow(_zipped, "key long, hash long, words binary")
-    found = texts.join(wanted.hint("merge"), "hash").filter(F.col("key").eqNullSafe(F.col("k")))
+    found = ids.select("key", "hash", "words").join(wanted, "hash").filter(F.col("key").eqNullSafe(F.col("k")))
     return materialize(found.select("hash", "words").dropDuplicates(["hash"]), "passage-texts")
 
 
@@ -364,14 +398,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan, *, first: bool, sq
     sent = needs.join(texts, "hash").select("block", F.lit(None).cast("long").alias("a"), F.col("hash").alias("b"), "words")
     sent = sent.unionByName(dealt.select("block", "a", "b", F.lit(None).cast("binary").alias("words")))
 
-    def runs(text: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """The signature, in this round, of each run of a text, and the hash of each run in full."""
-        words = text[0]
+    def runs(words: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where a text's signatures of this round begin and end, the signatures, in order too, and the hash of each run in full."""
         full = shingle_hashes(words, plan.run) if len(words) >= plan.run else words[:0]
-        if not first:
-            return full, full
-        begin, sig = signatures(words, plan)
-        return np.repeat(sig, np.diff(np.append(begin, len(full)))), full
+        begin, sig = signatures(words, plan) if first else (np.arange(len(full)), full)
+        return begin, np.append(begin[1:], len(full)), sig, np.sort(sig), full
+
+    def left_over(one: tuple, other: tuple, stretches: list) -> np.ndarray:
+        """The hashes of the runs, with a signature that the other text has too, that no stretch covers."""
+        begin, end, sig, _, full = one
+        there = other[3]
+        hit = np.flatnonzero(there[np.minimum(np.searchsorted(there, sig), len(there) - 1)] == sig) if len(there) else there
+        at = np.repeat(begin[hit], (end - begin)[hit]) if len(hit) else hit
+        if len(at):
+            at = at + np.arange(len(at)) - np.repeat(np.cumsum((end - begin)[hit]) - (end - begin)[hit], (end - begin)[hit])
+        if len(at) and stretches:
+            s, e = np.array(stretches).T
+            k = np.searchsorted(s, at, side="right") - 1
+            at = at[(k < 0) | (at + plan.run > e[np.maximum(k, 0)] + plan.width - 1)]
+        return full[at] if len(at) else full[:0]
 
     def verify(batches):
         known: dict[int, list] = {}
@@ -383,29 +428,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, plan: Plan, *, first: bool, sq
                     known, at = {}, block
                 if a is None:
                     words = word_hashes(unzip.decompress(text))
-                    known[b] = [words, shingle_hashes(words, plan.width) if len(words) >= plan.width else words[:0], None]
+                    h = shingle_hashes(words, plan.width) if len(words) >= plan.width else words[:0]
+                    known[b] = [h, by_value(h), runs(words)]
                     continue
-                both = shared_passages(known[a][1], known[b][1], plan.least, plan.similarity)
+                both = shared_passages(known[a][0], known[b][0], plan, known[b][1])
                 for one, two, stretches in zip((a, b), (b, a), both, strict=True):
                     out += [(one, two, s, e + plan.width - 1) for s, e in stretches]
-                for x in (a, b):
-                    if known[x][2] is None:
-                        known[x][2] = runs(known[x])
-                for one, two, stretches in zip((a, b), (b, a), both, strict=True):
-                    sig, full = known[one][2]
-                    hit = np.flatnonzero(np.isin(sig, known[two][2][0]))
-                    if len(hit) and stretches:
-                        s = np.array([x[0] for x in stretches])
-                        e = np.array([x[1] for x in stretches]) + plan.width - 1
-                        k = np.searchsorted(s, hit, side="right") - 1
-                        hit = hit[(k < 0) | (hit + plan.run > e[np.maximum(k, 0)])]
-                    if len(hit):
-                        keys = np.unique(full[hit])
+                    keys = left_over(known[one][2], known[two][2], stretches)
+                    if len(keys):
                         left.append((np.full(len(keys), one, dtype=np.int64), keys.view(np.int64)))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(out), pa.int64())], ["hash", "other", "s", "e", "key"])
             if left:
-                text, key = (np.concatenate(c) for c in zip(*left, strict=True))
+                text, key = np.unique(np.stack([np.concatenate(c) for c in zip(*left, strict=True)]), axis=1)
                 none = pa.nulls(len(key), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(text), none, none, none, pa.array(key)], ["hash", "other", "s", "e", "key"])
         release()
@@ -428,7 +463,7 @@ def _linked(own: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
         pairs = materialize(pairs, "passage-pairs")
         if pairs.isEmpty():
             break
-        texts = _texts(own, ids, pairs)
+        texts = _texts(ids, pairs)
         found = _verified(pairs, texts, plan, first=not k, square=k == STARS)
         tables = found.filter("key is null") if tables is None else tables.unionByName(found.filter("key is null"))
         done = pairs if done is None else done.unionByName(pairs)
@@ -457,9 +492,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     plan = Plan(words, width, similarity, hashes)
     own = docs.select(F.col(id_col).cast("long").alias("key"), utf8(text_col).alias("words"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"))
-    n_words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    hash_ = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    ids = materialize(docs.select(F.col(id_col).cast("long").alias("key"), hash_.alias("hash"), n_words.alias("n")), "passage-ids")
+    ids = materialize(own.select("key", "hash", "words").mapInArrow(_zipped, "key long, hash long, n long, words binary"), "passage-rows")
     both = _linked(own, ids, plan)
     last = lambda acc: F.element_at(acc, -1)
     joined_to = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e"))))
@@ -476,5 +509,5 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("class_id")), "root")
     joined = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["s"].cast("string"), x["e"].cast("string"))), ",")
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
-    out = ids.join(named, "hash")
+    out = ids.select("key", "hash", "n").join(named, "hash")
     return out.select(F.col("key").alias(id_col), F.col("n").alias("n_words"), joined.alias("passages"), total.alias("passage_words"), "n_copies", "class_id")

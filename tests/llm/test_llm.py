@@ -299,6 +299,16 @@ def test_repeated_passages_are_found_and_clean_ones_left(spark):
 rows9 = prose(64)
 
 
+def test_signatures_of_many_texts_at_once():
+    plan, rng = passages.Plan(50, 5, 0.8, 2), np.random.default_rng(5)
+    words = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (0, 3, 200, 24, 25, 0, 60, 26, 2)]
+    ends = np.cumsum([len(w) for w in words])
+    begin, got = passages.signatures(np.concatenate(words), plan, ends)
+    of = np.searchsorted(ends, begin, side="right")
+    for k, w in enumerate(words):
+        assert got[of == k].tolist() == passages.signatures(w, plan)[1].tolist()
+
+
 def planted_passages(seed=11):
     """Texts with a hot passage, near copies of one text, frequent lines of 9, 15 and 30 words, and pairs around them."""
     rng = np.random.default_rng(seed)
@@ -335,8 +345,8 @@ def plain_passages(rows, plan):
 
     for i in range(len(rows)):
         for j in range(i + 1, len(rows)):
-            both = passages.shared_passages(sh[i], sh[j], plan.least, plan.similarity)
-            back = passages.shared_passages(sh[j], sh[i], plan.least, plan.similarity)  # edges may differ by a few words
+            both = passages.shared_passages(sh[i], sh[j], plan)
+            back = passages.shared_passages(sh[j], sh[i], plan)  # edges may differ by a few words
             for x, stretches in ((i, both[0] + back[1]), (j, both[1] + back[0])):
                 covered.setdefault(x, set()).update(w for s, e in stretches for w in range(s, e + plan.width - 1))
             if both[0]:
@@ -390,10 +400,10 @@ def test_passages_of_repetitive_texts_are_the_same_in_pieces(monkeypatch):
     line, rest = rng.integers(0, 1 << 60, 12).astype(np.uint64), rng.integers(0, 1 << 60, 300).astype(np.uint64)
     a = np.concatenate([rest[:150], np.tile(line, 40), rest[150:]])
     b = np.concatenate([np.tile(line, 30), rest[150:], rest[:150]])
-    whole = passages.shared_passages(a, b, 46, 0.8)
+    whole = passages.shared_passages(a, b, passages.Plan(50, 5, 0.8, 2))
     assert whole[0][0][0] == 0 and whole[0][-1][1] == len(a) and whole[1][0][0] == 0 and whole[1][-1][1] == len(b)
     monkeypatch.setattr(passages, "PLACES", 500)
-    assert passages.shared_passages(a, b, 46, 0.8) == whole
+    assert passages.shared_passages(a, b, passages.Plan(50, 5, 0.8, 2)) == whole
 
 
 # op8
