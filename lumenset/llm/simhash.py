@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import free_name, materialize, release, shingle_hashes, utf8
+from lumenset.llm.common import discard, free_name, materialize, mixed, release, shingle_hashes, utf8
 from lumenset.operators.graph import components
 
 SEED = 42
@@ -99,6 +99,34 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _tiled(dealt: DataFrame, salted: str, radius: int, tile: int) -> DataFrame:
+    """Rows (mask, part, pop, ...) dealt to pairs of tiles: with lo and hi, the tiles' codes, and whether a row is of the second.
+
+    What agrees on a mask and its part, in more than ``tile`` rows, lies in tiles by population count and a hash of
+    ``salted``; a tile meets those whose counts are within ``radius``. Smaller groups stay one tile.
+    """
+    each = dealt.groupBy("mask", "part", "pop").agg(F.count("*").alias("n"))
+    hot = (
+        each.groupBy("mask", "part")
+        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int")))).alias("salts"))
+        .filter(F.col("n") > tile)
+        .drop("n")
+    )
+    salt = F.pmod(F.xxhash64(salted), F.col("salts")[F.col("pop")]).cast("long")
+    code: Column = F.col("pop").cast("long") * (1 << 32) + salt
+    reach = F.flatten(
+        F.transform(
+            F.filter(F.map_keys("salts"), lambda q: F.abs(q - F.col("pop")) <= radius),
+            lambda q: F.transform(F.sequence(F.lit(0), F.col("salts")[q] - 1), lambda s: q.cast("long") * (1 << 32) + s),
+        )
+    )
+    none = F.lit(-1).cast("long")
+    cold = F.array(F.struct(none.alias("lo"), none.alias("hi"), F.lit(False).alias("second")))
+    pairs = F.transform(reach, lambda u: F.struct(F.least(u, code).alias("lo"), F.greatest(u, code).alias("hi"), (code > u).alias("second")))
+    tiles = F.explode(F.when(F.col("salts").isNull(), cold).otherwise(pairs)).alias("t")
+    return dealt.join(hot, ["mask", "part"], "left").select(*dealt.columns, tiles).select(*dealt.columns, "t.*")
+
+
 def links(words: DataFrame, radius: int = 3, tile: int = 2048, col: str = "fp") -> DataFrame:
     """(a, b): links between distinct words of 64 bits that span all pairs within ``radius`` bits.
 
@@ -116,25 +144,7 @@ def links(words: DataFrame, radius: int = 3, tile: int = 2048, col: str = "fp")
         blocks += 1
     masks = [F.struct(F.lit(k).alias("mask"), F.col(col).bitwiseAND(F.lit(_signed(m))).alias("part")) for k, m in enumerate(_masks(radius, blocks))]
     dealt = words.select(F.col(col).alias("fp"), F.bit_count(col).alias("pop"), F.explode(F.array(*masks)).alias("m")).select("fp", "pop", "m.*")
-    each = dealt.groupBy("mask", "part", "pop").agg(F.count("*").alias("n"))
-    hot = (
-        each.groupBy("mask", "part")
-        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int")))).alias("salts"))
-        .filter(F.col("n") > tile)
-        .drop("n")
-    )
-    salt = F.pmod(F.xxhash64("fp"), F.col("salts")[F.col("pop")]).cast("long")
-    code: Column = F.col("pop").cast("long") * (1 << 32) + salt
-    reach = F.flatten(
-        F.transform(
-            F.filter(F.map_keys("salts"), lambda q: F.abs(q - F.col("pop")) <= radius),
-            lambda q: F.transform(F.sequence(F.lit(0), F.col("salts")[q] - 1), lambda s: q.cast("long") * (1 << 32) + s),
-        )
-    )
-    dealt = dealt.join(hot, ["mask", "part"], "left")
-    cold = F.array(F.struct(F.lit(-1).cast("long").alias("lo"), F.lit(-1).cast("long").alias("hi")))
-    pairs = F.transform(reach, lambda u: F.struct(F.least(u, code).alias("lo"), F.greatest(u, code).alias("hi")))
-    dealt = dealt.select("fp", "pop", "mask", "part", F.explode(F.when(F.col("salts").isNull(), cold).otherwise(pairs)).alias("t")).select("fp", "pop", "mask", "part", "t.*")
+    dealt = _tiled(dealt, "fp", radius, tile).drop("second")
     keys = ["mask", "part", "lo", "hi"]
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "pop", "fp")
 
@@ -189,72 +199,92 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(np.array(words, dtype=np.uint64), width))
 
 
-def parities(text: bytes, width: int) -> bytes:
-    """How many shingles a text has, and for each of 256 parts of all hashes whether it has an odd number there.
+#: A row for each of so many min-hashes: at similarity 0.8 all differ for three pairs of a million.
+KEYS = 8
+_SEEDS = mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
+
+
+def sketch(text: bytes, width: int) -> bytes:
+    """SimHash of the text's set of shingles, its parities and its ``KEYS`` min-hashes, as 64-bit integers.
 
-    Two sets differ in at least as many shingles as their parities differ in.
+    The parities are how many shingles the set has, and for each of 256 parts of all hashes whether it has an odd number
+    there: two sets differ in at least as many shingles as their parities differ in. No words: zeros.
     """
     own = shingle_set(text, width)
+    if not len(own):
+        return bytes(8 * (6 + KEYS))
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), 4096):
+        ones += np.unpackbits(own[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = np.packbits(2 * ones > len(own), bitorder="little").tobytes()
     odd = (np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
-    return np.uint64(len(own)).tobytes() + np.packbits(odd).tobytes()
+    least = np.array([mixed(own ^ seed).min() for seed in _SEEDS], dtype=np.uint64)
+    return fp + np.uint64(len(own)).tobytes() + np.packbits(odd).tobytes() + least.tobytes()
+
+
+def _able(odd: np.ndarray, odd2: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the parities leave two sets the similarity: of sets with Jaccard s, the smaller has s of the larger's size at
+    least, and they differ in ``(1 - s) / (1 + s)`` of the sum of sizes at most."""
+    na, nb = odd[:, 0].astype(np.float64), odd2[:, 0].astype(np.float64)
+    able = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6
+    most = (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6
+    return able & (np.bitwise_count(odd[:, 1:] ^ odd2[:, 1:]).sum(axis=1, dtype=np.int64) <= most)
 
 
-def pairs(words: DataFrame, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
-    """(a, b): all pairs of rows (fp, hash, odd) whose words lie within ``radius`` bits, a before b.
+def _first_pairs(members: DataFrame, radius: int) -> DataFrame:
+    """(a, b): each text, and the first one that has a min-hash with it, if their words lie within ``radius`` bits."""
+    first = members.groupBy("mask", "part").agg(F.min(F.struct("hash", "fp")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    both = members.join(first, ["mask", "part"]).filter((F.col("hash") > F.col("first.hash")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= radius))
+    return both.select(F.col("first.hash").alias("a"), F.col("hash").alias("b")).distinct()
 
-    But for those whose ``parities`` show that they can't have the similarity: of sets with Jaccard s, the smaller has s of
-    the larger's size at least, and they differ in ``(1 - s) / (1 + s)`` of the sum of sizes at most.
-    Words lie in tiles by population count and hash; each tile is compared to those whose counts are in reach.
+
+def _other_pairs(members: DataFrame, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
+    """(a, b): all pairs of texts that have a min-hash in common, words within ``radius`` bits, and no root in common.
+
+    But for those whose parities show that they can't have the similarity. Texts lie in tiles; a tile is compared, with
+    numpy's exclusive-or and bit counts, to those alone whose population counts are in reach.
     """
-    own = words.select("fp", "hash", "odd", F.bit_count("fp").alias("pop"))
-    tiles = {r["pop"]: -(-r["n"] // tile) for r in own.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    if not tiles:
-        return words.select(F.col("hash").alias("a"), F.col("hash").alias("b"))
-    salts = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])
-    code = F.col("pop").cast("long") * (1 << 32) + F.pmod(F.xxhash64("hash"), salts[F.col("pop")]).cast("long")
-    near = F.filter(F.array(*[F.lit(q) for q in tiles]), lambda q: F.abs(q - F.col("pop")) <= radius)
-    reach = F.flatten(F.transform(near, lambda q: F.transform(F.sequence(F.lit(0), salts[q] - 1), lambda s: q.cast("long") * (1 << 32) + s)))
-    dealt = own.withColumn("code", code).select("fp", "hash", "odd", "code", F.explode(reach).alias("other"))
-    dealt = dealt.select("fp", "hash", "odd", F.least("code", "other").alias("lo"), F.greatest("code", "other").alias("hi"), (F.col("code") > F.col("other")).alias("second"))
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = members.groupBy("mask", "part").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("mask", "part")
+    own = members.join(several, ["mask", "part"], "left_semi").withColumn("pop", F.bit_count("fp"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["mask", "part", "lo", "hi"]
 
     def run(batches):
         held, at = {False: [], True: []}, None
 
         def found():
             one, two = ([np.concatenate(c) for c in zip(*held[k], strict=True)] if held[k] else None for k in (False, True))
-            if one is None or two is None and at[0] != at[1]:
+            if one is None or two is None and at[2] != at[3]:
                 return
-            fp, h, odd = one
-            fp2, h2, odd2 = one if two is None else two
+            fp, h, root, odd = one
+            fp2, h2, root2, odd2 = one if two is None else two
             for x in range(0, len(fp), 256):
-                i, j = np.nonzero(np.bitwise_count(fp[x : x + 256, None] ^ fp2[None, :]) <= radius)
+                i, j = np.nonzero((np.bitwise_count(fp[x : x + 256, None] ^ fp2[None, :]) <= radius) & (root[x : x + 256, None] != root2[None, :]))
                 i += x
-                na, nb = odd[i, 0].astype(np.float64), odd2[j, 0].astype(np.float64)
-                able = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6
-                i, j, most = i[able], j[able], (na + nb)[able] * (1 - similarity) / (1 + similarity) + 1e-6
-                able = np.bitwise_count(odd[i, 1:] ^ odd2[j, 1:]).sum(axis=1, dtype=np.int64) <= most
-                a, b = h[i[able]], h2[j[able]]
                 if two is None:
-                    a, b = a[a < b], b[a < b]
+                    i, j = i[i < j], j[i < j]
+                able = _able(odd[i], odd2[j], similarity)
+                a, b = h[i[able]], h2[j[able]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, h, lo, hi = (batch[c].to_numpy() for c in ("fp", "hash", "lo", "hi"))
+            fp, h, root = (batch[c].to_numpy() for c in ("fp", "hash", "root"))
+            cols = [batch[c].to_numpy() for c in keys]
             odd = np.frombuffer(b"".join(batch["odd"].to_pylist()), dtype=np.uint64).reshape(-1, 5)
             second = batch["second"].to_numpy(zero_copy_only=False)
-            edge = 1 + np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (second[1:] != second[:-1]))
+            edge = 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*cols, second)], axis=0))
             for s, e in zip([0, *edge], [*edge, len(fp)], strict=True):
-                if at != (lo[s], hi[s]):
+                if at != (now := tuple(c[s] for c in cols)):
                     yield from found() if at else ()
-                    held, at = {False: [], True: []}, (lo[s], hi[s])
-                held[bool(second[s])].append((fp[s:e].astype(np.uint64), h[s:e].copy(), odd[s:e]))  # bit counts of negative numbers are of their absolute values
+                    held, at = {False: [], True: []}, now
+                held[bool(second[s])].append((fp[s:e].astype(np.uint64), h[s:e].copy(), root[s:e].copy(), odd[s:e]))  # bit counts of negative numbers are of their absolute values
         if at:
             yield from found()
 
-    return dealt.repartition(n, "lo", "hi").sortWithinPartitions("lo", "hi", "second").mapInArrow(run, "a long, b long")
+    dealt = _tiled(own, "hash", radius, tile).repartition(n, *keys).sortWithinPartitions(*keys, "second")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -263,14 +293,15 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def alike(found: DataFrame, texts: DataFrame, similarity: float, width: int, bucket: int = 64) -> DataFrame:
+def alike(found: DataFrame, texts: DataFrame, similarity: float, width: int, *, square: bool, bucket: int = 64) -> DataFrame:
     """(a, b): those of the pairs whose whole texts have ``similarity``, but for what others in the same task connect.
 
-    ``texts`` has a row (hash, words) for each text. The pairs of two buckets of texts are verified together.
+    ``texts`` has a row (hash, words) for each text. The pairs of a bucket of texts are verified together, or, with
+    ``square``, those of two buckets.
     """
     buckets = max(1, texts.count() // bucket)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    dealt = found.withColumn("block", of("a") * buckets + of("b"))
+    dealt = found.withColumn("block", of("a") * buckets + of("b") if square else of("b"))
     needs = dealt.select("block", F.col("a").alias("hash")).union(dealt.select("block", "b")).distinct()
     sent = needs.join(texts, "hash").select("block", F.lit(None).cast("long").alias("a"), F.col("hash").alias("b"), "words")
     sent = sent.unionByName(dealt.select("block", "a", "b", F.lit(None).cast("binary").alias("words")))
@@ -301,23 +332,48 @@ def alike(found: DataFrame, texts: DataFrame, similarity: float, width: int, buc
     return sent.repartition(n, "block").sortWithinPartitions("block", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def _verified(kept: DataFrame, fp: str, uid: str, text_col: str, radius: int, width: int, similarity: float) -> DataFrame:
-    """(key, component_id) for each row by the verified pairs of its text."""
+def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int, similarity: float) -> DataFrame:
+    """(key, component_id) for each row by the verified pairs of its text.
+
+    Texts that have a min-hash in common are compared to one of them; what this doesn't connect is compared in tiles, all to
+    all. So large groups of copies make few pairs, and texts that have only a frequent shingle in common make none.
+    """
 
     @F.pandas_udf("binary")
-    def odd(texts):
-        return texts.map(lambda t: parities(t, width))
-
-    rows = kept.select(F.col(uid).alias("key"), F.col(fp).alias("fp"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), odd(utf8(text_col)).alias("odd"))
-    rows = materialize(rows, "rows")
-    nodes = materialize(rows.groupBy("hash").agg(F.first("fp").alias("fp"), F.first("odd").alias("odd"), F.min("key").alias("key")), "texts")
-    found = materialize(pairs(nodes, radius, similarity), "pairs")
-    wanted = nodes.join(found.select("a").union(found.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
-    texts = kept.select(F.col(uid).alias("key"), utf8(text_col).alias("words")).join(wanted, "key").select("hash", "words")
-    roots = components(materialize(alike(found, texts, similarity, width), "alike"))
+    def sketches(texts):
+        out = texts.map(lambda t: sketch(t, width))
+        release()
+        return out
+
+    rows = materialize(kept.select(F.col(uid).alias("key"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), sketches(utf8(text_col)).alias("s")), "rows")
+    nodes = rows.groupBy("hash").agg(F.min("key").alias("key"), F.first("s").alias("s"))
+    nodes = nodes.mapInArrow(_unpacked, "hash long, key long, fp long, odd binary, least array<long>")
+    nodes = materialize(nodes, "texts")
+    members = nodes.select("hash", "fp", "odd", F.posexplode("least").alias("mask", "part"))
+    roots = edges = None
+    for k in range(2):
+        if k:
+            own = members.join(roots.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+        found = materialize(_other_pairs(own, radius, similarity) if k else _first_pairs(members, radius), "pairs")
+        wanted = nodes.join(found.select("a").union(found.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
+        texts = materialize(kept.select(F.col(uid).alias("key"), utf8(text_col).alias("words")).join(wanted, "key").select("hash", "words"), "wanted")
+        more = materialize(alike(found, texts, similarity, width, square=bool(k)), "alike")
+        discard(found, texts)
+        edges = edges.unionByName(more) if k else more
+        roots = materialize(components(edges), "roots")
     return rows.join(roots.withColumnRenamed("node", "hash"), "hash", "left").select("key", F.coalesce("root", "hash").alias("component_id"))
 
 
+def _unpacked(batches):
+    """The parts of sketches."""
+    for batch in batches:
+        x = np.frombuffer(b"".join(batch["s"].to_pylist()), dtype=np.int64).reshape(-1, 6 + KEYS)
+        odd = [r.tobytes() for r in x[:, 1:6]]
+        least = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(x) + 1, KEYS), pa.int32()), pa.array(x[:, 6:].reshape(-1)))
+        cols = [batch["hash"], batch["key"], pa.array(x[:, 0]), pa.array(odd, pa.binary()), least]
+        yield pa.RecordBatch.from_arrays(cols, ["hash", "key", "fp", "odd", "least"])
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
     """``docs`` with the one row of each component that has the least id; its other columns stay as they are.
 
@@ -325,11 +381,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     With ``similarity``, two texts link only if their sets of shingles of ``width`` words have it (Jaccard) as well.
     """
     fp, uid = free_name(docs, "fp"), free_name(docs, "uid")
-    kept = materialize(with_fingerprint(docs, text_col, fp, width).withColumn(uid, F.monotonically_increasing_id()), "fingerprints")
     if similarity is None:
+        kept = materialize(with_fingerprint(docs, text_col, fp, width).withColumn(uid, F.monotonically_increasing_id()), "fingerprints")
         classes = components_of(kept.select(F.col(uid).alias("key"), F.col(fp).alias("fp")), radius=radius).drop("fp")
     else:
-        classes = _verified(kept, fp, uid, text_col, radius, width, similarity)
+        kept = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+        classes = _verified(kept, uid, text_col, radius, width, similarity)
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash"), F.col(uid).alias("uid"))
     best = classes.join(kept.select(F.col(uid).alias("key"), order.alias("order")), "key").groupBy("component_id").agg(F.min("order").alias("order"))
     return kept.join(best.select(F.col("order.uid").alias(uid)), uid, "left_semi").select(*docs.columns)

@@ -558,3 +558,28 @@ def test_stage_drops_near_copies_and_nothing_else(spark, data):
     ids = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()}
     assert ids == {i for i in range(180) if i % 3 != 1} | {180, 182, 184}
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), data).count() == 0
+
+
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_verified_components_match_all_pairs(spark, tile, monkeypatch):
+    monkeypatch.setattr(simhash._other_pairs, "__defaults__", (tile,))
+    rng = np.random.default_rng(22)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    line, base, texts = some(12), some(120), []
+    for k in range(90):  # near copies of one text, which needn't be alike
+        own = list(base)
+        for at in rng.integers(0, 120, 1 + k % 3):
+            own[at] = f"x{rng.integers(0, 99)}"
+        texts.append(own)
+    texts += [some(25) + line + some(25) for _ in range(60)] + [some(4)] * 3 + [[]] * 2
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if texts[i] == texts[j] or not sets[i] and not sets[j] or both and both / len(sets[i] | sets[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df, width=5, radius=20, similarity=0.8).collect()}
+    assert kept == {min(i for i, x in enumerate(label) if x == k) for k in set(label)}
