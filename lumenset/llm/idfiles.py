@@ -28,7 +28,7 @@ from lumenset.llm.tokens import tokenizer
 MAGIC = b"LSIDS001"
 HEAD = len(MAGIC) + 12
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n", "<i8")])
-MANIFEST = "shard long, file string, n_docs long, n_tokens long"
+MANIFEST = "shard long, file string, n_docs long, n_tokens long, least long, greatest long"
 
 
 def _open(uri: str):
@@ -36,12 +36,14 @@ def _open(uri: str):
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample: int = 2000, most_chars: int = 20_000, size: int = 65_536) -> bytes:
-    """A zstandard dictionary from at most ``sample`` texts of at most ``most_chars`` characters, those with the least hash.
+    """A zstandard dictionary from at most ``sample`` texts, those with the least hash; of longer ones a part of ``most_chars`` characters.
 
-    Hashes alone find the bound, so that no task gathers texts from all others. Repeated rows count once. Too few or too
-    uniform texts for the trainer give no dictionary: empty bytes.
+    Where that part begins follows from the hash. Hashes alone find the bound, so that no task gathers texts from all
+    others. Repeated rows count once. Too few or too uniform texts for the trainer give no dictionary: empty bytes.
     """
-    few = docs.filter(F.length("text") <= most_chars).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    h = F.xxhash64("doc_id", "text")
+    at = F.pmod(h, F.greatest(F.lit(1).cast("long"), F.length("text") - most_chars + 1)).cast("int") + 1
+    few = docs.select(F.substr("text", at, F.lit(most_chars)).alias("text"), h.alias("h"))
     bound = few.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     few = few.filter(F.col("h") <= F.lit(bound)).groupBy("h").agg(F.min("text").alias("text")).select("text")
 
@@ -70,10 +72,12 @@ def write(
 
     One shuffle by ranges of doc_id puts each shard's documents in order. A task names its file anew at each attempt,
     and only files that the written manifest names count, so a lost executor leaves no half shard behind. Null doc_ids
-    come first; rows with the same doc_id are ordered by text. A null text counts as empty: the end id alone.
+    come first; rows with the same doc_id are ordered by a hash of their texts, so that they may fall into several shards.
+    A null text counts as empty: the end id alone. No other column is read. An empty input gives an empty manifest. The
+    manifest has each shard's least and greatest doc_id (null: none but null).
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if dictionary is None:
         dictionary = train_dictionary(docs, tokenizer_path)
     folder = fresh_path(spark, "ids")
@@ -108,10 +112,14 @@ def write(
         if out is not None:
             out.write(np.array(index, dtype=INDEX).tobytes() + np.array([at, len(index)], "<i8").tobytes())
             out.close()
-            row = {"shard": [shard], "file": [name], "n_docs": [len(index)], "n_tokens": [tokens]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
-
-    placed = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+            known = [x[0] for x in index if not x[1]] or [None]
+            cols = [shard, name, len(index), tokens, known[0], known[-1]]
+            kinds = [pa.string() if c == "file" else pa.int64() for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(cols, kinds, strict=True)], names)
+
+    names = [x.split()[0] for x in MANIFEST.split(", ")]
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    placed = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     return materialize(placed.mapInArrow(run, MANIFEST), "ids-manifest"), folder
 
 
@@ -167,11 +175,11 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, manifest: DataFrame, folder: str, doc_id: int) -> np.ndarray:
-    """One document's ids: three reads in each shard that may have it (the manifest has a row a shard)."""
+    """One document's ids: three reads in each shard that may have it by the manifest."""
     fs, path = _open(folder)
     with fs.open_input_stream(f"{path}/dictionary") as f:
         dictionary = f.read()
-    for row in manifest.orderBy("shard").toLocalIterator():
+    for row in manifest.filter(F.lit(doc_id).between(F.col("least"), F.col("greatest"))).orderBy("shard").toLocalIterator():
         shard = Shard(fs, f"{path}/{row.file}", dictionary)
         hit = np.flatnonzero((shard.index["doc_id"] == doc_id) & (shard.index["null"] == 0))
         if len(hit):

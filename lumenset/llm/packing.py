@@ -57,7 +57,7 @@ class OpenWindows:
         return out
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
+def _slices(batch: pa.RecordBatch, column: str, most: int = 6_000_000):
     """Parts of a batch with about ``most`` bytes of text each."""
     size = max(1, batch.column(column).nbytes)
     step = max(1, batch.num_rows * most // size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import islice
 
 import numpy as np
@@ -26,17 +27,18 @@ class WordTokenizer:
     The file's splitting rule puts a boundary before a single space, and on both sides of a single line feed, where no
     other white space touches them, and no merge crosses a boundary. So a text is cut there and its pieces are looked
     up; pieces not seen before go to the library, many in one string. A text in which two white-space characters touch
-    goes to the library whole. Strings of special tokens in a text are ordinary text. At ``limit`` pieces the later
-    half of the cache goes; the pieces met first are the common ones.
+    goes to the library whole, and so does one that has a special token's string, which is that token there. At ``limit``
+    pieces, or ``most_bytes`` of pieces and ids, the later half of the cache goes; the pieces met first are the common ones.
+    Pieces of more than ``longest`` characters aren't kept.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000, most_bytes: int = 64_000_000, longest: int = 256):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.tok.model._resize_cache(0)
-        self.limit = limit
+        self.limit, self.most_bytes, self.longest, self.held = limit, most_bytes, longest, 0
+        self.special = "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())
         self.known: dict[str, bytes] = {}
         self.spaced = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         for token, i in self.tok.get_vocab().items():
@@ -72,19 +74,24 @@ class WordTokenizer:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's begin (one more: the end). Null: no ids."""
-        if len(self.known) > self.limit:
-            self.known = dict(islice(self.known.items(), self.limit // 2))
+        if len(self.known) > self.limit or self.held > self.most_bytes:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(len(p) + len(x) for p, x in self.known.items())
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(*(pa.scalar(x, texts.type) if isinstance(x, str) else x for x in ("\n", texts, ""))), "\n", " \n"), " ")
         coded = cut.flatten().dictionary_encode()
         code, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         # each text's first piece is the empty one before the line feed put in front of it
         known = list(map(self.known.get, pieces))
+        before = sum(len(x) for x in known if x is not None)
         new = [p for p, x in zip(pieces, known, strict=True) if x is None]
         bad = {p for p in new if _touching(p)}
-        self._learn([p for p in new if p not in bad])
+        self._learn([p for p in new if p not in bad] if bad else new)
         known = [self.known.get(p, b"") if x is None else x for p, x in zip(pieces, known, strict=True)]
+        self.held += sum(len(p) for p in new) + sum(len(x) for x in known) - before
+        for p in [p for p in new if len(p) > self.longest]:
+            self.held -= len(p) + len(self.known.pop(p, b""))
         pool, size = np.frombuffer(b"".join(known), dtype="<u4"), np.array([len(x) // 4 for x in known], dtype=np.int64)
         first = np.cumsum(size) - size
         n = size[code]
@@ -92,12 +99,14 @@ class WordTokenizer:
         ids = pool[np.arange(upto[-1]) + np.repeat(first[code] - upto[:-1], n)]
         starts = upto[ends]
         whole = np.zeros(len(texts), dtype=bool)
+        if self.special:
+            whole = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)
         if bad:
             is_bad = np.array([p in bad and p != "" for p in pieces])[code]
             empty = np.flatnonzero(np.array([p == "" for p in pieces])[code])
             is_bad[np.setdiff1d(empty, ends[:-1])] = True
             seen = np.concatenate([[0], np.cumsum(is_bad)])
-            whole = seen[ends[1:]] > seen[ends[:-1]]
+            whole = whole | (seen[ends[1:]] > seen[ends[:-1]])
         if not whole.any():
             keep = np.ones(len(ids), dtype=bool)
             keep[starts[:-1]] = False  # the line feed put in front

@@ -13,12 +13,14 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lumenset.llm import chat, html, idfiles, minhash, mixing, packing, passages, pii, quality, queries, simhash
-from lumenset.llm.tokens import tokenizer
+from lumenset.llm.tokens import WordTokenizer, tokenizer
 from lumenset.llm.vocabulary import BYTE_BPE, vocabulary_path
 
 BPE = vocabulary_path(BYTE_BPE)
+PLAIN = Tokenizer.from_file(BPE)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = np.random.default_rng(3)
 VOCAB = ["".join(RNG.choice(list("abcdeé"), RNG.integers(2, 7))) for _ in range(400)]
@@ -26,7 +28,7 @@ prose = lambda n: " ".join(RNG.choice(VOCAB, n))
 BODY = prose(120)
 TEXTS = {
     1: None, 2: "", 3: "one two", 4: BODY, 5: BODY, 6: BODY + " more", 7: prose(90) + "\n" + prose(60), 8: prose(6000),
-    9: "mail jo.x@ex.org now +1 (017) 555-7713 and 4539 5787 6362 1486 or 10.0.0.256 10.2.3.4", 10: "  \n\t ", 11: prose(40) + "  " + prose(40),
+    12: "one <|endoftext|> two", 9: "mail jo.x@ex.org now +1 (017) 555-7713 and 4539 5787 6362 1486 or 10.0.0.256 10.2.3.4", 10: "  \n\t ", 11: prose(40) + "  " + prose(40),
 }
 
 
