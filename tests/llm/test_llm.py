@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,7 +21,7 @@ from lumenset.llm.tokens import WordTokenizer, tokenizer
 from lumenset.llm.vocabulary import BYTE_BPE, vocabulary_path
 
 BPE = vocabulary_path(BYTE_BPE)
-PLAIN = Tokenizer.from_file(BPE)
+LIBRARY = Tokenizer.from_file(BPE)
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = np.random.default_rng(3)
 VOCAB = ["".join(RNG.choice(list("abcdeé"), RNG.integers(2, 7))) for _ in range(400)]
@@ -218,6 +219,48 @@ def test_contexts_find_unseen_numbers(spark):
     assert got[10].spans == "" and got[11].spans == ""
 
 
+def planted_contacts(seed=31):
+    """Texts with numbers in telling contexts, a chain of contexts that three rounds must follow, and lookalikes elsewhere."""
+    rng = np.random.default_rng(seed)
+    number = lambda: " ".join(str(x) for x in (f"0{rng.integers(10, 99)}", rng.integers(100, 999), rng.integers(1000, 9999)))
+    known = [f"+1 {number()}" for _ in range(30)]
+    one, two, three = ([number() for _ in range(n)] for n in (25, 20, 15))
+    other = [number() for _ in range(60)]
+    texts = [f"{prose(5)} please call {x} {prose(4)}" for x in known + one]
+    texts += [f"{prose(5)} {x} is mine {prose(4)}" for x in one + two]  # right-hand context, known by the first's finds
+    texts += [f"{prose(5)} my mobile: {x} {prose(4)}" for x in two + three]  # known by the second's
+    texts += [f"{prose(5)} {rng.choice(['order', 'part', 'room'])} {x} {prose(4)}" for x in other]
+    return texts, set(one + two + three)
+
+
+def test_contexts_are_learned_over_several_rounds(spark):
+    texts, hidden = planted_contacts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found(rounds):
+        spans = [(texts[r.doc_id], x.split(":")) for r in pii.report(df, rounds=rounds).collect() for x in r.spans.split(",") if x]
+        return {t[int(s) : int(e)] for t, (_, s, e) in spans} - {t[int(s) : int(e)] for t in texts for _, s, e in (x.split(":") for x in plain_spans(t))}
+
+    by_round = [found(k) for k in (1, 2, 3)]
+    recall = [len(f & hidden) / len(hidden) for f in by_round]
+    precision = [len(f & hidden) / len(f) for f in by_round]
+    print("recall and precision of learned numbers by rounds", recall, precision)
+    assert recall[0] < recall[1] < recall[2] and recall[2] >= 0.95 and min(precision) >= 0.9
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    rng = np.random.default_rng(32)
+    text = " ".join(f"w{x} {x}" for x in rng.integers(0, 10**6, 50_000)) + " jo@ex.org"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    [r] = pii.report(df).collect()
+    assert r.spans.endswith(f"email:{len(text) - 9}:{len(text)}") and time.time() - began < 60
+    many = " ".join(f"u{x}@ex.org w{x}" for x in range(20_000))
+    began = time.time()
+    [r] = pii.redact(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect()
+    assert r.text == " ".join(f"[EMAIL] w{x}" for x in range(20_000)) and time.time() - began < 60
+
+
 def test_redaction_keeps_the_rest(spark, docs):
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert got[9].text == "mail [EMAIL] now [PHONE] and [CARD] or 10.0.0.256 [IP]"
