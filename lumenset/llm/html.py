@@ -29,8 +29,9 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 HOLDS_ARTICLE = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-PIECE = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PIECE = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡")
 
 
@@ -39,13 +40,22 @@ class Element:
     tag: str
     parent: int
     out: bool
-    path: str
+    path: int
     named: bool = False  # by its own tag, class, id or role; not yet by those around it
 
 
+@dataclass
+class Path:
+    """A tag path: the number of the path above and a tag, so that deep pages take no more room than they have tags."""
+
+    linked: bool = False  # within a link
+    heading: bool = False  # within a heading
+
+
 @dataclass
 class Page:
-    elements: list[Element] = field(default_factory=lambda: [Element("", -1, False, "")])
+    elements: list[Element] = field(default_factory=lambda: [Element("", -1, False, 0)])
+    paths: list[Path] = field(default_factory=lambda: [Path()])
     runs: list[tuple[int, int, str]] = field(default_factory=list)  # element, block number, text
 
 
@@ -69,19 +79,26 @@ def _left_out(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def parse(html: str) -> Page:
-    """The page's text runs, each with its element and the number of its block."""
-    page, at, block, now = Page(), 0, 0, 0
-    els = page.elements
+    """The page's text runs, each with its element and the number of its block. Its time grows with the page's length."""
+    page, at, block = Page(), 0, 0
+    els, numbers = page.elements, {}
+    stack, depths = [0], defaultdict(list)  # open elements; for each tag, where in the stack it is open
 
     def text(s: str) -> None:
         if s:
-            page.runs.append((now, block, unescape(s)))
+            page.runs.append((stack[-1], block, unescape(s)))
+
+    def shut(depth: int) -> bool:
+        """Closes what is open from this depth on; whether there was a block in it."""
+        blocks = False
+        while len(stack) > depth:
+            tag = els[stack.pop()].tag
+            depths[tag].pop()
+            blocks |= tag in BLOCKS
+        return blocks
 
-    def open_tags():
-        i = now
-        while i > 0:
-            yield i
-            i = els[i].parent
+    def deepest(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths[t]), default=0)
 
     while at < len(html):
         m = PIECE.search(html, at)
@@ -96,38 +113,35 @@ def parse(html: str) -> Page:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag == "br":
-            page.runs.append((now, block, " "))
+            page.runs.append((stack[-1], block, " "))
             continue
         if closing:
-            hit = next((i for i in open_tags() if els[i].tag == tag), None)
-            if hit is not None:
-                block += any(els[i].tag in BLOCKS for i in open_tags() if i >= hit)
-                now = els[hit].parent
+            if depths[tag]:
+                block += shut(depths[tag][-1])
             continue
         if tag in BLOCKS:
             block += 1
-            p = next((i for i in open_tags() if els[i].tag == "p"), None)
-            if p is not None and tag not in ("td", "th", "tr"):
-                now = els[p].parent
-        if tag in CLOSES:
-            for i in open_tags():
-                if els[i].tag in STOPS_AT[tag]:
-                    break
-                if els[i].tag in CLOSES[tag]:
-                    now = els[i].parent
-                    break
+            if depths["p"] and tag not in ("td", "th", "tr"):
+                shut(depths["p"][-1])
+        if tag in CLOSES and (hit := deepest(CLOSES[tag])) > deepest(STOPS_AT[tag]):
+            shut(hit)
         if tag in VOID:
             continue
-        inside = any(els[i].tag in ("article", "main") for i in open_tags())
-        out, named = _left_out(tag, m[3], inside)
-        els.append(Element(tag, now, els[now].out or out, f"{els[now].path}/{tag}", named))
+        now = stack[-1]
+        out, named = _left_out(tag, m[3], bool(depths["article"] or depths["main"]))
+        path = numbers.setdefault((els[now].path, tag), len(page.paths))
+        if path == len(page.paths):
+            above = page.paths[els[now].path]
+            page.paths.append(Path(above.linked or tag == "a", above.heading or tag in HEADINGS))
+        els.append(Element(tag, now, els[now].out or out, path, named))
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        now = len(els) - 1
+        depths[tag].append(len(stack))
+        stack.append(len(els) - 1)
     return page
 
 
@@ -162,9 +176,9 @@ def _content(score: np.ndarray) -> np.ndarray:
     return np.flatnonzero(score >= _least(score)) if score.any() else np.arange(len(score))
 
 
-def _content_paths(page: Page, own: list[int], score: np.ndarray) -> set[str]:
+def _content_paths(page: Page, own: list[int], score: np.ndarray) -> set[int]:
     """The tag paths whose runs are content on the average."""
-    every: dict[str, list[float]] = defaultdict(list)
+    every: dict[int, list[float]] = defaultdict(list)
     for k, x in zip(own, score, strict=True):
         every[page.elements[page.runs[k][0]].path].append(x)
     return {p for p, x in every.items() if sum(x) / len(x) >= _least(score)}
@@ -172,14 +186,12 @@ def _content_paths(page: Page, own: list[int], score: np.ndarray) -> set[str]:
 
 def _weights(page: Page, runs: list[int]) -> dict[int, int]:
     """The characters of the runs within each element."""
-    weight: dict[int, int] = defaultdict(int)
+    weight = [0] * len(page.elements)
     for k in runs:
-        e, _, t = page.runs[k]
-        n = len(t.strip())
-        while e >= 0:
-            weight[e] += n
-            e = page.elements[e].parent
-    return weight
+        weight[page.runs[k][0]] += len(page.runs[k][2].strip())
+    for i in range(len(weight) - 1, 0, -1):  # children come after their parents
+        weight[page.elements[i].parent] += weight[i]
+    return {i: w for i, w in enumerate(weight) if w}
 
 
 def leave_out(page: Page, most: float = 0.5) -> None:
@@ -236,8 +248,9 @@ def main_text(html: str | None, share: float = 0.9, fill: int = 2) -> str:
     for e, block, t in page.runs:
         if e in inside and not page.elements[e].out:
             blocks[block].append(t)
-            linked[block] &= not t.strip() or "/a/" in f"{page.elements[e].path}/"
-            if re.search("/h[1-6](/|$)", page.elements[e].path):
+            path = page.paths[page.elements[e].path]
+            linked[block] &= not t.strip() or path.linked
+            if path.heading:
                 heading.add(block)
     lines = {b: line for b, x in sorted(blocks.items()) if (line := " ".join("".join(x).split()))}
     good = {page.runs[k][1] for k in content}

@@ -88,10 +88,18 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     own = own.withColumn("k", F.coalesce("key", F.lit(null)))
     bounds = own.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10_000).alias("b")).first().b or []
     bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b < F.col("k")))
+    wide = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)] or [[]]
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<long>")
+    under = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("k")))
+    # the group of bounds first, then the place in it: the square root of their number twice, for each row
+    group = F.greatest(under(longs([g[0] for g in groups if g])) - 1, F.lit(0))
+    part = group * wide + under(F.get(F.array(*map(longs, groups)), group))
     heads = sorted((r.part, r.k) for r in own.select(part.alias("part"), "k").groupBy("part").agg(F.max("k").alias("k")).collect())
-    needs = [x for i, (_, head) in enumerate(heads) for x in (F.lit(head).cast("long"), F.lit(heads[(i + 1) % len(heads)][0]))]
-    halo = F.element_at(F.create_map(*needs), F.col("k")) if needs else F.lit(None).cast("int")
+    head, goes = [None] * (len(bounds) + 1), [0] * (len(bounds) + 1)
+    for i, (p, k) in enumerate(heads):
+        head[p], goes[p] = k, heads[(i + 1) % len(heads)][0]
+    halo = F.when(F.col("k") == F.get(longs(head), part), F.get(longs(goes), part).cast("int"))
     here = F.struct(part.alias("part"), F.lit(False).alias("halo"))
     there = F.struct(halo.alias("part"), F.lit(True).alias("halo"))
     own = own.withColumn("p", F.explode(F.when(halo.isNull(), F.array(here)).otherwise(F.array(here, there)))).select("p.part", "p.halo", "k", "key", "words")
@@ -99,7 +107,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return own.repartition(n, "part").sortWithinPartitions("part", "halo", F.col("k").desc(), "words")
 
 
-def neighbour_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS, width: int = WIDTH) -> DataFrame:
+def neighbour_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS, width: int = WIDTH, parts: int | None = None) -> DataFrame:
     """Each text's fingerprint against those of an edited text and of the next row by descending id (the last's: the first).
 
     The edited text has its last floor(n_chars / 3) code points replaced by the next text's first as many, or all of
@@ -128,4 +136,4 @@ def neighbour_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
             yield frame.astype({id_col: "Int64"})
 
-    return with_next(docs, id_col=id_col, text_col=text_col).select("part", "halo", F.col("key"), "words").mapInPandas(run, schema)
+    return with_next(docs, id_col=id_col, text_col=text_col, parts=parts).select("part", "halo", F.col("key"), "words").mapInPandas(run, schema)

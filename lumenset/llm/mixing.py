@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenset.llm.common import WORD, free_name, materialize
+from lumenset.operators.scores import global_place
 
 
 def n_words(text: Column) -> Column:
@@ -14,19 +15,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, rounds: int = 10_000) -> DataFrame:
-    """source, source_size, target for a written table (source, size) with a row for each source.
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """source, source_size, target for a written table (source, source_size) with a row for each source.
 
     Sources weigh ``weights``, repeating, in code-point order, null last, and share the sum of all sizes. A target stops
     at ``most`` times its source's size; the excess is shared out again by weight until none is above. Each round is one
-    aggregate over the table of sources; only its sums come to the driver.
+    aggregate over the table of sources, of which only the sums come to the driver; a round that stops no more targets is
+    the last one. Sources are numbered by ranges, not in one task.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    place = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    sources = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int")))
-    sources = materialize(sources.withColumn("most", F.col("source_size") * F.lit(float(most))), "sources")
+    numbered = global_place(sizes, [F.col("source").asc_nulls_last()])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place"), F.lit(len(weights))) + 1).cast("int"))
+    sources = materialize(numbered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("most")), "sources")
     level = None
-    for _ in range(rounds):
+    while True:
         above = F.lit(False) if level is None else F.col("weight") * F.lit(level) >= F.col("most")
         s = sources.agg(
             F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("most"))).alias("full"), F.sum(F.when(~above, F.col("weight"))).alias("weight")
@@ -41,22 +42,35 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return sources.select("source", "source_size", target.cast("double").alias("target"))
 
 
+#: Draws fall into so many parts; a source's words in each tell where its draws' threshold lies.
+PARTS = 4096
+
+
 def mixed_rows(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights=(5, 2, 1), most: float = 3.0) -> DataFrame:
-    """``docs`` with four more columns (struct ``mix``: size, source_size, target, copies).
+    """``docs`` with one more column (struct ``mix``: size, source_size, target, copies).
 
     A source's rate is its target over its size; each row is taken floor(rate) times, and once more if a number drawn
-    from its key, text and the seed is under the rate's fraction: no row depends on another, so reruns agree and a hot
-    source needs no gathering. Repeated rows draw the same number. Null texts have size 0, null sources are a source.
-    Sizes are aggregated before the shuffle; the table of sources is joined as Spark sees fit.
+    from its key, text and the seed is under a threshold. That is the rate's fraction, moved to where the words of the
+    source's rows with lesser draws come to that fraction of its size, so that small sources come near their targets too.
+    Reruns agree, and no source is gathered: its words are summed by ``PARTS`` parts of the draws. Repeated rows draw the
+    same number. Null texts have size 0, null sources are a source. The table of sources is joined as Spark sees fit.
     """
     mix = free_name(docs, "mix")
     size = n_words(F.col(text_col))
-    sizes = materialize(docs.select(F.col(source_col).alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
-    targets = source_targets(sizes, weights, most).select(F.struct("source", "source_size", "target").alias(mix))
-    rate = F.when(F.col(f"{mix}.source_size") > 0, F.col(f"{mix}.target") / F.col(f"{mix}.source_size")).otherwise(F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col(key_col), F.col(text_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    own = docs.join(targets, F.col(source_col).eqNullSafe(F.col(f"{mix}.source")), "left")
+    parts = docs.select(F.col(source_col).alias("source"), F.floor(draw * PARTS).alias("part"), size.alias("size")).groupBy("source", "part").agg(F.sum("size").alias("words"))
+    parts = materialize(parts, "parts")
+    sizes = materialize(parts.groupBy("source").agg(F.sum("words").alias("source_size")), "sizes")
+    targets = source_targets(sizes, weights, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    need = (rate - F.floor(rate)) * F.col("source_size")
+    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reached = parts.withColumn("before", before).withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
+    within = (F.col("part") + F.least(F.lit(1.0), (need - F.col("before")) / F.col("words"))) / PARTS
+    reached = reached.groupBy("source", "source_size", "target").agg(F.max(F.when((F.col("before") < need) & (F.col("words") > 0), within)).alias("under"))
+    reached = materialize(reached.select("source", "source_size", "target", F.floor(rate).alias("whole"), F.coalesce("under", F.lit(0.0)).alias("under")), "targets")
+    own = docs.join(reached.select(F.struct("*").alias(mix)), F.col(source_col).eqNullSafe(F.col(f"{mix}.source")), "left")
+    copies = F.col(f"{mix}.whole") + (draw < F.col(f"{mix}.under")).cast("long")
     return own.select(*docs.columns, F.struct(size.alias("size"), F.col(f"{mix}.source_size"), F.col(f"{mix}.target"), copies.alias("copies")).alias(mix))
 
 

@@ -189,14 +189,15 @@ def fit(frame: pd.DataFrame, *, precision: float = 0.9, support: int = 5, max_ru
 def learn(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, **options) -> DecisionList:
     """Fits the list on at most ``sample`` labelled rows, those with the least hash of their id, that pass the base rules.
 
-    ``labels`` has doc_id and quality (0: bad); null labels and ids don't count, of several labels the least does. Only
-    the sample's statistics come to the driver; its ids, ``sample`` at most, are broadcast. No labels give an empty list, which keeps all.
+    ``labels`` has doc_id and quality (0: bad); null labels and ids don't count, of several labels the least does, and of
+    several texts with one id that with the least hash. Only the sample's statistics come to the driver; its ids, ``sample`` at most, are broadcast. No labels give an empty list, which keeps all.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("s", statistics())
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) / 1000
-    rows = own.filter(~base_failed("s")).select((F.col("quality") == 0).alias("bad"), part.alias("part"), F.xxhash64("doc_id", "text").alias("h"), *[v.alias(k) for k, v in features("s").items()])
+    row = F.struct(F.xxhash64("doc_id", "text").alias("h"), (F.col("quality") == 0).alias("bad"), part.alias("part"), *[v.alias(k) for k, v in features("s").items()])
+    rows = own.filter(~base_failed("s")).groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")  # one of an id's texts
     frame = rows.toPandas().sort_values("h", kind="stable").drop(columns="h")  # the same order, so the same list, each time
     return fit(frame, **options) if len(frame) else DecisionList()
 

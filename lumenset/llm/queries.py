@@ -34,14 +34,15 @@ def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS words FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<|im-') AS words FROM conversations
 ), views AS (
   SELECT DISTINCT conv_id, speaker AS view FROM turns WHERE speaker <> 'system'
 ), made AS (
   SELECT t.*, v.view,
     CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = view THEN 'assistant' ELSE 'user' END AS as_role,
     speaker <> 'system' AND speaker = view AS train,
-    CASE WHEN speaker = 'system' OR speaker = view THEN '' ELSE ' name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') END AS name
+    CASE WHEN speaker = 'system' OR speaker = view THEN '' ELSE ' name=' || CASE WHEN regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') = speaker THEN speaker
+      ELSE regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') || '_' || left(md5(speaker), 8) END END AS name
   FROM turns t JOIN views v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
 ), parts AS (
   SELECT *, '<|im_start|>' || as_role || name || chr(10) AS head FROM made
