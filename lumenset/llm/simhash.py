@@ -238,10 +238,10 @@ def _first_pairs(members: DataFrame, radius: int) -> DataFrame:
     return both.select(F.col("first.hash").alias("a"), F.col("hash").alias("b")).distinct()
 
 
-def _other_pairs(members: DataFrame, radius: int, similarity: float, tile: int = 2048) -> DataFrame:
-    """(a, b): all pairs of texts that have a min-hash in common, words within ``radius`` bits, and no root in common.
+def _other_pairs(members: DataFrame, radius: int, similarity: float, most: int, tile: int = 2048) -> DataFrame:
+    """(a, b, more): pairs of texts that have a min-hash in common, words within ``radius`` bits, and no root in common.
 
-    But for those whose parities show that they can't have the similarity. Texts lie in tiles; a tile is compared, with
+    A text gets the ``most`` nearest ones after it in its tile, and ``more`` says that there are others. But for those whose parities show that they can't have the similarity. Texts lie in tiles; a tile is compared, with
     numpy's exclusive-or and bit counts, to those alone whose population counts are in reach.
     """
     several = members.groupBy("mask", "part").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("mask", "part")
@@ -261,11 +261,15 @@ def _other_pairs(members: DataFrame, radius: int, similarity: float, tile: int =
             for x in range(0, len(fp), 256):
                 i, j = np.nonzero((np.bitwise_count(fp[x : x + 256, None] ^ fp2[None, :]) <= radius) & (root[x : x + 256, None] != root2[None, :]))
                 i += x
-                if two is None:
-                    i, j = i[i < j], j[i < j]
-                able = _able(odd[i], odd2[j], similarity)
-                a, b = h[i[able]], h2[j[able]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                able = _able(odd[i], odd2[j], similarity) & ((i < j) | (two is not None))
+                i, j = i[able], j[able]
+                by = np.lexsort((np.bitwise_count(fp[i] ^ fp2[j]), i))
+                i, j = i[by], j[by]
+                start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else i
+                size = np.diff(np.append(start, len(i)))
+                few = np.arange(len(i)) - np.repeat(start, size) < most
+                a, b, cut = h[i[few]], h2[j[few]], np.repeat(size > most, size)[few]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cut)], ["a", "b", "more"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -284,7 +288,7 @@ def _other_pairs(members: DataFrame, radius: int, similarity: float, tile: int =
             yield from found()
 
     dealt = _tiled(own, "hash", radius, tile).repartition(n, *keys).sortWithinPartitions(*keys, "second")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -335,8 +339,9 @@ def alike(found: DataFrame, texts: DataFrame, similarity: float, width: int, *,
 def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int, similarity: float) -> DataFrame:
     """(key, component_id) for each row by the verified pairs of its text.
 
-    Texts that have a min-hash in common are compared to one of them; what this doesn't connect is compared in tiles, all to
-    all. So large groups of copies make few pairs, and texts that have only a frequent shingle in common make none.
+    Texts that have a min-hash in common are compared to one of them; what this doesn't connect is compared in tiles, each
+    text to the nearest ones, to more of them in each round, until none is left that isn't connected and wasn't compared.
+    So large groups of copies make few pairs, and texts that have only a frequent shingle in common make none.
     """
 
     @F.pandas_udf("binary")
@@ -350,17 +355,28 @@ def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int,
     nodes = nodes.mapInArrow(_unpacked, "hash long, key long, fp long, odd binary, least array<long>")
     nodes = materialize(nodes, "texts")
     members = nodes.select("hash", "fp", "odd", F.posexplode("least").alias("mask", "part"))
-    roots = edges = None
-    for k in range(2):
-        if k:
+    roots = edges = done = None
+    most = 2
+    while True:
+        if roots is None:
+            found = _first_pairs(members, radius).withColumn("more", F.lit(True))
+        else:
             own = members.join(roots.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-        found = materialize(_other_pairs(own, radius, similarity) if k else _first_pairs(members, radius), "pairs")
-        wanted = nodes.join(found.select("a").union(found.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
+            found = _other_pairs(own, radius, similarity, most)
+        found = materialize(found, "pairs")
+        new = found.select("a", "b") if done is None else found.select("a", "b").join(done, ["a", "b"], "left_anti")
+        wanted = nodes.join(new.select("a").union(new.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
         texts = materialize(kept.select(F.col(uid).alias("key"), utf8(text_col).alias("words")).join(wanted, "key").select("hash", "words"), "wanted")
-        more = materialize(alike(found, texts, similarity, width, square=bool(k)), "alike")
-        discard(found, texts)
-        edges = edges.unionByName(more) if k else more
+        links = materialize(alike(new, texts, similarity, width, square=roots is not None), "alike")
+        discard(texts)
+        if roots is not None:
+            discard(roots)
+        done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
+        edges = links if edges is None else edges.unionByName(links)
         roots = materialize(components(edges), "roots")
+        if found.filter("more").isEmpty():
+            break
+        most *= 4
     return rows.join(roots.withColumnRenamed("node", "hash"), "hash", "left").select("key", F.coalesce("root", "hash").alias("component_id"))
 
 

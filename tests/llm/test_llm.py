@@ -629,7 +629,7 @@ def test_verified_components_match_all_pairs(spark, tile, monkeypatch):
     line, base, texts = some(12), some(120), []
     for k in range(90):  # near copies of one text, which needn't be alike
         own = list(base)
-        for at in rng.integers(0, 120, 1 + k % 3):
+        for at in rng.integers(0, 120, 1 + k % 4):
             own[at] = f"x{rng.integers(0, 99)}"
         texts.append(own)
     texts += [some(25) + line + some(25) for _ in range(60)] + [some(4)] * 3 + [[]] * 2
