@@ -52,11 +52,13 @@ def words(text: Column) -> Column:
 def repeated_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     """The phrase of three words that is most frequent in a text, where it occurs three times or more; ties: the first.
 
-    Phrases become rows before they are counted, so a long text's phrases are spread out and combined in parts.
+    Texts without two repeats of a phrase are left out first. Phrases become rows before they are counted, so a long
+    text's phrases are spread out and combined in parts. Null and empty texts have none.
     """
     own = df.select(key, words(F.col(text)).alias("w")).filter(F.size("w") >= NGRAM)
-    gram = F.transform(F.sequence(F.lit(1), F.size("w") - NGRAM + 1), lambda i: F.concat_ws(" ", F.slice("w", i, NGRAM)))
-    rows = own.select(key, F.posexplode(gram).alias("pos", "phrase"))
+    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - NGRAM + 1)), lambda i: F.concat_ws(" ", F.slice("w", i, NGRAM)))
+    own = own.withColumn("g", gram).filter(F.size("g") - F.size(F.array_distinct("g")) >= TIMES - 1)
+    rows = own.select(key, F.posexplode("g").alias("pos", "phrase"))
     counts = rows.groupBy(key, "phrase").agg(F.count("*").alias("times"), F.min("pos").alias("pos")).filter(F.col("times") >= TIMES)
     best = counts.groupBy(key).agg(F.max_by(F.struct("phrase", "times"), F.struct("times", -F.col("pos"))).alias("b"))
     return best.select(key, "b.phrase", "b.times")

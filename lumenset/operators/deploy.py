@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def manifest(items: DataFrame) -> DataFrame:
-    """A file for each repeat of each visible item that is not missing: media_id, file, caption."""
+    """A file for each repeat of each visible item that is not missing: media_id, file, caption.
+
+    Media with the same content have the same files; the least media_id's caption goes with each.
+    """
     rows = items.filter(~F.col("hidden") & ~F.col("missing")).withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("repeats").cast("int"), F.lit(1)) - 1)))
     name = F.concat("sha256", F.when(F.col("i") > 0, F.concat(F.lit("_"), F.col("i").cast("string"))).otherwise(F.lit("")), F.lit("."), F.col("file_extension"))
-    return rows.select("media_id", name.alias("file"), "caption")
+    return rows.groupBy(name.alias("file")).agg(F.min("media_id").alias("media_id"), F.min_by("caption", "media_id").alias("caption")).select("media_id", "file", "caption")
 
 
 def difference(wanted: DataFrame, present: DataFrame) -> DataFrame:

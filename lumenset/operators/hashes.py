@@ -75,8 +75,11 @@ def lookalike_groups(hashes: DataFrame, most: int, rank: DataFrame | None = None
 
     ``rank`` (id, score, area) chooses the representative: best score, then area, then least id.
     """
-    pairs = lookalike_pairs(hashes, most)
-    roots = components(pairs.select("a", "b")).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
+    hash_ = ["p_hi", "p_lo", "d_hi", "d_lo"]
+    alike = hashes.groupBy(*hash_).agg(F.min("id").alias("id"))  # equal hashes are one row among the pairs, and a star
+    same = hashes.join(alike.withColumnRenamed("id", "b"), hash_).filter("id <> b").select(F.col("id").alias("a"), "b")
+    links = lookalike_pairs(alike, most).select("a", "b").unionByName(same)
+    roots = components(links).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
     own = roots.join(hashes, "id")
     own = own.join(rank, "id", "left") if rank is not None else own.withColumns({"score": F.lit(None).cast("double"), "area": F.lit(None).cast("long")})
     best = own.groupBy("group_id").agg(
@@ -94,6 +97,13 @@ def keep_best(groups: DataFrame) -> DataFrame:
     return groups.filter(F.col("id") != F.col("representative")).select("id", "group_id")
 
 
+def uniqueness(groups: DataFrame, hashes: DataFrame) -> DataFrame:
+    """One row: the share of hashed media, in percent, that would stay if each group kept one; null for fewer than two."""
+    extra = groups.filter(F.col("id") != F.col("group_id")).agg(F.count("*").alias("extra"))
+    every = hashes.agg(F.count("*").alias("n"))
+    return every.join(F.broadcast(extra), F.lit(True)).select(F.when(F.col("n") > 1, 100 * (1 - F.col("extra") / F.col("n"))).alias("uniqueness"), "extra", "n")
+
+
 def exact_duplicates(media: DataFrame, key: str = "sha256") -> DataFrame:
     """Rows whose content an earlier row (by id) has."""
     first = media.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("first"))

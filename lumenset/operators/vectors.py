@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenset.operators.scores import global_place
+
 #: Spread window, neighbours, sigma of outliers, gain radius, map and grid sizes.
 SPREAD, NEIGHBOURS, SIGMA, RADIUS, SIZE, GRID = (0.10, 0.55), 3, 2.5, 0.55, (100.0, 74.0), (6, 4)
 
@@ -23,7 +25,11 @@ def cosine(a: str, b: str) -> Column:
 
 
 def _blocks(vectors: DataFrame, block: int, n: int | None = None) -> DataFrame:
-    """Each row once for every pair of blocks (i <= j) that its block is in; a block is a hash class of about ``block`` rows."""
+    """Each row once for every pair of blocks (i <= j) that its block is in; a block is a hash class of about ``block`` rows.
+
+    Rows without a vector are left out.
+    """
+    vectors = vectors.filter(F.col("vector").isNotNull())
     n = n or max(1, -(-vectors.count() // block))
     b = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.least(i, b).alias("i"), F.greatest(i, b).alias("j")))
@@ -87,30 +93,60 @@ def spread(vectors: DataFrame, window: tuple[float, float] = SPREAD) -> DataFram
     return row.select("n", mean.alias("mean_distance"), score.alias("spread"))
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(id, other, cosine) of the k vectors with the greatest cosine to each query, its own id apart; ties: the least id.
+
+    Blocks of queries meet blocks of vectors as matrices: the best k of each two, then the best of those. Rows without a
+    vector are left out; no queries or no vectors give no rows.
+    """
+    queries, vectors = (df.filter(F.col("vector").isNotNull()) for df in (queries, vectors))
+    m, n = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    part = lambda size: F.pmod(F.xxhash64("id"), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    own = queries.select("id", unit().alias("u"), F.lit(True).alias("asks"), part(m).alias("i"), every(n).alias("j"))
+    dealt = own.unionByName(vectors.select("id", unit().alias("u"), F.lit(False).alias("asks"), every(m).alias("i"), part(n).alias("j")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
+        c, ids, others = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T, x["id"].to_numpy(), y["id"].to_numpy()
+        c = np.where(ids[:, None] == others[None, :], -np.inf, c)
+        best = np.argsort(-c, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "other": others[best].ravel(), "cosine": np.take_along_axis(c, best, 1).ravel()})
+        return out[np.isfinite(out["cosine"])]
+
+    found = dealt.groupBy("i", "j").applyInPandas(run, "id long, other long, cosine double")
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k)
+    best = found.groupBy("id").agg(top.alias("top"))  # k rows from each block of vectors
+    return best.select("id", F.explode("top").alias("t")).select("id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("cosine"))
+
+
 def best_reference(vectors: DataFrame, references: DataFrame) -> DataFrame:
-    """(id, cosine): the greatest cosine to a reference, for all vectors. References are few, as a selection is."""
-    r = references.select(F.col("id").alias("ref"), unit().alias("r"))
-    both = vectors.select("id", unit().alias("u")).join(r, F.col("id") != F.col("ref"))
-    return both.groupBy("id").agg(F.max(cosine("u", "r")).alias("cosine"))
+    """(id, cosine): the greatest cosine to a reference, for all vectors; a reference isn't its own."""
+    return nearest(vectors, references, 1).select("id", "cosine")
 
 
 def diversity_gain(vectors: DataFrame, references: DataFrame, radius: float = RADIUS) -> DataFrame:
+    """(id, gain): what a vector adds to the references, from 0 to 1; only where there is something to compare."""
     gain = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 - F.col("cosine")) / radius))
     return best_reference(vectors, references).select("id", gain.alias("gain"))
 
 
-def nearest_to(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k vectors with the greatest cosine to a query vector; ties: the least id."""
-    q = np.array(query, dtype=float)
-    q = q / (np.linalg.norm(q) or 1.0)
-    own = vectors.select("id", unit().alias("u"), F.array(*[F.lit(float(x)) for x in q]).alias("q"))
-    return own.select("id", cosine("u", "q").alias("cosine")).orderBy(F.col("cosine").desc(), "id").limit(k)
-
-
 def top_share(relevance: DataFrame, share: float = 0.15) -> DataFrame:
-    """The best ceil(share * n) rows by cosine, one at least."""
+    """The best ceil(share * n) rows by cosine, one at least; ties: the least id. Places come from ranges, not from one task."""
     n = relevance.count()
-    return relevance.orderBy(F.col("cosine").desc(), "id").limit(max(1, int(np.ceil(share * n - 1e-9)))) if n else relevance
+    placed = global_place(relevance, [F.col("cosine").desc(), F.col("id").asc()])
+    return placed.filter(F.col("place") < max(1, int(np.ceil(share * n - 1e-9)))).drop("place")
+
+
+def near_duplicates(vectors: DataFrame, references: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(id, other, kind): for a vector, the least reference in its group of lookalikes, else the nearest one from ``least`` on."""
+    member = groups.select("group_id", "id")
+    twins = member.join(references.select("id"), "id", "left_semi").select("group_id", F.col("id").alias("twin"))
+    twin = member.join(twins, "group_id").filter(F.col("id") != F.col("twin")).groupBy("id").agg(F.min("twin").alias("twin"))
+    own = nearest(vectors, references, 1).join(twin, "id", "left").filter(F.col("twin").isNotNull() | (F.col("cosine") >= least))
+    return own.select("id", F.coalesce("twin", "other").alias("other"), F.when(F.col("twin").isNull(), "cosine").otherwise("hash").alias("kind"))
 
 
 def proximity_edges(first: DataFrame, second: DataFrame, floor: float, weight: float = 0.95) -> DataFrame:
@@ -122,11 +158,13 @@ def proximity_edges(first: DataFrame, second: DataFrame, floor: float, weight: f
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 20240517, rounds: int = 40) -> DataFrame:
-    """(id, cluster): clusters numbered by size, then least id."""
+    """(id, cluster): clusters numbered by size, then least id. Rows without a vector are left out."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select("id", array_to_vector(unit()).alias("features"))
+    rows = vectors.filter(F.col("vector").isNotNull()).select("id", array_to_vector(unit()).alias("features"))
+    if rows.isEmpty():
+        return rows.select("id", F.lit(0).cast("long").alias("cluster"))
     found = KMeans(k=k, distanceMeasure="cosine", maxIter=rounds, seed=seed).fit(rows).transform(rows).select("id", "prediction")
     sizes = found.groupBy("prediction").agg(F.count("*").alias("n"), F.min("id").alias("least")).orderBy(F.col("n").desc(), "least")
     order = {r.prediction: i for i, r in enumerate(sizes.collect())}  # k rows
@@ -143,7 +181,9 @@ def project(vectors: DataFrame) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select("id", array_to_vector(unit()).alias("features"))
+    rows = vectors.filter(F.col("vector").isNotNull()).select("id", array_to_vector(unit()).alias("features"))
+    if rows.isEmpty():
+        return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     model = PCA(k=2, inputCol="features", outputCol="xy").fit(rows)
     pc = model.pc.toArray()
     sign = [float(np.sign(pc[np.abs(pc[:, c]).argmax(), c])) for c in range(2)]

@@ -333,16 +333,6 @@ def hamming_pairs(v):
     return hashes.lookalike_pairs(hashes.sign_hashes(v("vector")), 20)
 
 
-@query()
-def lookalike_groups(v):
-    return hashes.lookalike_groups(hashes.sign_hashes(v("vector")), 20)
-
-
-@query()
-def keep_best(v):
-    return hashes.keep_best(hashes.lookalike_groups(hashes.sign_hashes(v("vector")), 20))
-
-
 @query("SELECT m.id, f.first FROM {media} AS m JOIN (SELECT sha256, min(id) AS first FROM {media} GROUP BY sha256) AS f ON m.sha256 = f.sha256 WHERE m.id <> f.first")
 def exact_duplicates(v):
     return hashes.exact_duplicates(v("media"))
@@ -382,16 +372,17 @@ def diversity_gain(v):
     return V.diversity_gain(v("vector"), v("vector").filter("label = 3")).select("id", F.round("gain", 4).alias("gain"))
 
 
-@query(f"SELECT a.id, round({AB}, 4) AS cosine FROM {{vector}} AS a JOIN {{vector}} AS b ON b.id = 7 ORDER BY {AB} DESC, a.id LIMIT 25")
+@query(f"""SELECT query, id, cosine FROM (SELECT b.id AS query, a.id, round({AB}, 4) AS cosine, row_number() OVER (PARTITION BY b.id ORDER BY {AB} DESC, a.id) AS n
+    FROM {{vector}} AS a JOIN {{vector}} AS b ON a.id <> b.id AND b.id % 50 = 0) AS t WHERE n <= 25""")
 def semantic_topk(v):
-    q = v("vector").filter("id = 7").first()
-    return V.nearest_to(v("vector"), [float(x) for x in q.vector], 25).select("id", F.round("cosine", 4).alias("cosine"))
+    found = V.nearest(v("vector").filter("id % 50 = 0"), v("vector"), 25)
+    return found.select(F.col("id").alias("query"), F.col("other").alias("id"), F.round("cosine", 4).alias("cosine"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT a.id, max({AB}) AS cosine FROM {{vector}} AS a JOIN {{vector}} AS b ON a.id <> b.id AND b.id % 50 = 0 GROUP BY a.id)
+    SELECT id, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (ORDER BY cosine DESC, id) AS n FROM c) AS t WHERE n <= greatest(1, ceil(0.15 * (SELECT count(*) FROM c) - 1e-9))""")
 def semantic_keep(v):
-    q = v("vector").filter("id = 7").first()
-    own = V.nearest_to(v("vector"), [float(x) for x in q.vector], v("vector").count())
+    own = V.best_reference(v("vector"), v("vector").filter("id % 50 = 0"))
     return V.top_share(own).select("id", F.round("cosine", 4).alias("cosine"))
 
 
@@ -486,8 +477,9 @@ def _items(v):
     return m.select(F.col("id").alias("media_id"), "sha256", "file_extension", "hidden", (F.col("id") % 41 == 0).alias("missing"), (1 + F.col("id") % 3).alias("repeats"), F.col("name").alias("caption"))
 
 
-WANTED = """SELECT id AS media_id, sha256 || CASE WHEN i > 0 THEN '_' || CAST(i AS VARCHAR(20)) ELSE '' END || '.' || file_extension AS file, name AS caption
-    FROM {media}, (SELECT unnest(range(3)) AS i) AS r WHERE NOT hidden AND id % 41 <> 0 AND i < 1 + id % 3"""
+WANTED = """SELECT min(media_id) AS media_id, file, min_by(caption, media_id) AS caption FROM
+    (SELECT id AS media_id, sha256 || CASE WHEN i > 0 THEN '_' || CAST(i AS VARCHAR(20)) ELSE '' END || '.' || file_extension AS file, name AS caption
+    FROM {media}, (SELECT unnest(range(3)) AS i) AS r WHERE NOT hidden AND id % 41 <> 0 AND i < 1 + id % 3) AS f GROUP BY file"""
 PRESENT = "SELECT file, CASE WHEN media_id % 5 = 0 THEN '' ELSE caption END AS p FROM w WHERE media_id % 4 <> 0"
 
 
@@ -495,16 +487,16 @@ def _present(wanted):
     return wanted.filter("media_id % 4 <> 0").select("file", F.when(F.col("media_id") % 5 == 0, "").otherwise(F.col("caption")).alias("caption"))
 
 
-@query(f"WITH w AS (SELECT * FROM ({WANTED}) AS t WHERE media_id % 29 > 1), p AS ({PRESENT}) SELECT w.file, CASE WHEN p.file IS NULL THEN 'write' ELSE 'rewrite' END AS action FROM w LEFT JOIN p ON w.file = p.file WHERE p.file IS NULL OR p.p <> w.caption")
+@query(f"WITH w AS ({WANTED}), p AS ({PRESENT}) SELECT w.file, CASE WHEN p.file IS NULL THEN 'write' ELSE 'rewrite' END AS action FROM w LEFT JOIN p ON w.file = p.file WHERE p.file IS NULL OR p.p <> w.caption")
 def deploy_manifest_diff(v):
-    wanted = deploy.manifest(_items(v)).filter("media_id % 29 > 1")
+    wanted = deploy.manifest(_items(v))
     return deploy.difference(wanted, _present(wanted))
 
 
-@query(f"""WITH w AS (SELECT * FROM ({WANTED}) AS t WHERE media_id % 29 > 1), p AS ({PRESENT}), b AS (SELECT w.media_id, p.file IS NOT NULL AS there, coalesce(p.p = w.caption, false) AS fine FROM w LEFT JOIN p ON w.file = p.file)
+@query(f"""WITH w AS ({WANTED}), p AS ({PRESENT}), b AS (SELECT w.media_id, p.file IS NOT NULL AS there, coalesce(p.p = w.caption, false) AS fine FROM w LEFT JOIN p ON w.file = p.file)
     SELECT media_id, CASE WHEN bool_and(fine) THEN 'GREEN' WHEN bool_or(there) THEN 'ORANGE' ELSE 'RED' END AS status FROM b GROUP BY media_id""")
 def deploy_status(v):
-    wanted = deploy.manifest(_items(v)).filter("media_id % 29 > 1")
+    wanted = deploy.manifest(_items(v))
     return deploy.status(wanted, _present(wanted))
 
 

@@ -44,7 +44,7 @@ VIEWS = {
         CAST(10 + l_quantity AS DOUBLE) AS w, CAST(10 + l_quantity AS DOUBLE) AS h, CAST(l_discount * 1000 + l_linenumber AS DOUBLE) AS score FROM {lineitem}""",
     "zone": """SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS zone_id, CAST(l_partkey AS BIGINT) AS media_id, CAST((l_partkey * 7) % 100 AS DOUBLE) / 100 AS x, CAST((l_suppkey * 11) % 100 AS DOUBLE) / 100 AS y,
         CAST((l_orderkey * 3) % 64 AS DOUBLE) / 64 AS w, CAST(l_linenumber AS DOUBLE) / 8 AS h, CASE WHEN l_orderkey % 3 = 0 THEN 'detected' ELSE 'patched' END AS status,
-        CAST(4 + l_linenumber AS BIGINT) AS dilate_px, 'patch' || CAST(l_orderkey AS VARCHAR(20)) AS patch_sha FROM {lineitem} WHERE l_orderkey % 4 = 0""",
+        CAST(4 + l_linenumber AS BIGINT) AS dilate_px, 'patch' || CAST(l_orderkey AS VARCHAR(20)) AS patch_sha FROM {lineitem}""",
     "review": "SELECT caption_id, revision_id, CASE WHEN (caption_id + revision_id) % 4 = 0 THEN 'integrity' ELSE 'ok' END AS status FROM {revision} WHERE (caption_id + revision_id) % 5 <> 0",
     "finding": "SELECT CAST(event_id AS BIGINT) AS finding_id, CAST(user_id % 50 AS BIGINT) AS dataset_id, CASE event_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM {events}",
 }
