@@ -356,27 +356,29 @@ def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int,
     nodes = materialize(nodes, "texts")
     members = nodes.select("hash", "fp", "odd", F.posexplode("least").alias("mask", "part"))
     roots = edges = done = None
-    most = 2
+    most = 1
     while True:
         if roots is None:
-            found = _first_pairs(members, radius).withColumn("more", F.lit(True))
+            found = new = materialize(_first_pairs(members, radius).withColumn("more", F.lit(True)), "pairs")
         else:
             own = members.join(roots.withColumnRenamed("node", "hash"), "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-            found = _other_pairs(own, radius, similarity, most)
-        found = materialize(found, "pairs")
-        new = found.select("a", "b") if done is None else found.select("a", "b").join(done, ["a", "b"], "left_anti")
+            found = materialize(_other_pairs(own, radius, similarity, most), "pairs")
+            new = materialize(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "new-pairs")
+            most *= 8
         wanted = nodes.join(new.select("a").union(new.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
         texts = materialize(kept.select(F.col(uid).alias("key"), utf8(text_col).alias("words")).join(wanted, "key").select("hash", "words"), "wanted")
-        links = materialize(alike(new, texts, similarity, width, square=roots is not None), "alike")
+        links = materialize(alike(new.select("a", "b"), texts, similarity, width, square=roots is not None), "alike")
         discard(texts)
-        if roots is not None:
-            discard(roots)
+        if roots is None:  # a min-hash that one text has links nothing
+            shared = members.groupBy("mask", "part").agg(F.count("*").alias("n")).filter("n > 1").select("mask", "part")
+            members = materialize(members.join(shared, ["mask", "part"], "left_semi"), "shared")
+        else:
+            discard(roots, new)
         done = found.select("a", "b") if done is None else done.unionByName(found.select("a", "b"))
         edges = links if edges is None else edges.unionByName(links)
         roots = materialize(components(edges), "roots")
         if found.filter("more").isEmpty():
             break
-        most *= 4
     return rows.join(roots.withColumnRenamed("node", "hash"), "hash", "left").select("key", F.coalesce("root", "hash").alias("component_id"))
 
 
