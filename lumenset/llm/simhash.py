@@ -102,21 +102,22 @@ def _signed(x: int) -> int:
 def _tiled(dealt: DataFrame, salted: str, radius: int, tile: int) -> DataFrame:
     """Rows (mask, part, pop, ...) dealt to pairs of tiles: with lo and hi, the tiles' codes, and whether a row is of the second.
 
-    What agrees on a mask and its part, in more than ``tile`` rows, lies in tiles by population count and a hash of
-    ``salted``; a tile meets those whose counts are within ``radius``. Smaller groups stay one tile.
+    What agrees on a mask and its part, in more than ``tile`` rows, lies in tiles by bands of ``radius + 1`` population counts
+    and a hash of ``salted``; a tile meets those of its band and the two beside it, as others differ too much. Smaller groups stay one tile.
     """
-    each = dealt.groupBy("mask", "part", "pop").agg(F.count("*").alias("n"))
+    dealt = dealt.withColumn("band", F.floor(F.col("pop") / (radius + 1)).cast("int"))
+    each = dealt.groupBy("mask", "part", "band").agg(F.count("*").alias("n"))
     hot = (
         each.groupBy("mask", "part")
-        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / tile).cast("int")))).alias("salts"))
+        .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("n") / tile).cast("int")))).alias("salts"))
         .filter(F.col("n") > tile)
         .drop("n")
     )
-    salt = F.pmod(F.xxhash64(salted), F.col("salts")[F.col("pop")]).cast("long")
-    code: Column = F.col("pop").cast("long") * (1 << 32) + salt
+    salt = F.pmod(F.xxhash64(salted), F.col("salts")[F.col("band")]).cast("long")
+    code: Column = F.col("band").cast("long") * (1 << 32) + salt
     reach = F.flatten(
         F.transform(
-            F.filter(F.map_keys("salts"), lambda q: F.abs(q - F.col("pop")) <= radius),
+            F.filter(F.map_keys("salts"), lambda q: F.abs(q - F.col("band")) <= 1),
             lambda q: F.transform(F.sequence(F.lit(0), F.col("salts")[q] - 1), lambda s: q.cast("long") * (1 << 32) + s),
         )
     )
@@ -124,7 +125,7 @@ def _tiled(dealt: DataFrame, salted: str, radius: int, tile: int) -> DataFrame:
     cold = F.array(F.struct(none.alias("lo"), none.alias("hi"), F.lit(False).alias("second")))
     pairs = F.transform(reach, lambda u: F.struct(F.least(u, code).alias("lo"), F.greatest(u, code).alias("hi"), (code > u).alias("second")))
     tiles = F.explode(F.when(F.col("salts").isNull(), cold).otherwise(pairs)).alias("t")
-    return dealt.join(hot, ["mask", "part"], "left").select(*dealt.columns, tiles).select(*dealt.columns, "t.*")
+    return dealt.join(hot, ["mask", "part"], "left").select(*dealt.columns, tiles).select(*dealt.columns, "t.*").drop("band")
 
 
 def links(words: DataFrame, radius: int = 3, tile: int = 2048, col: str = "fp") -> DataFrame:
