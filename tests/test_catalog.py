@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lumenset.plans import catalog, curation, records  # noqa: F401 (the others add their queries to the catalog)
+from lumenset.plans import catalog, curation, records, studio  # noqa: F401 (the others add their queries to the catalog)
 from lumenset.sources.views import TABLES
 
 SF = "/root/testdata/sf0.01"
