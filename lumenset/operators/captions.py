@@ -133,30 +133,87 @@ def rewrite_ratio(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([_ratio(a or "", b or "") for a, b in zip(before, after, strict=True)])
 
 
-def merged(base: str, current: str, incoming: str) -> str:
-    """Three-way merge by words; where both sides changed the same words, the incoming ones stand."""
-    o, a, b = base.split(), current.split(), incoming.split()
-    if a == o or a == b:
-        return incoming
-    if b == o:
-        return current
-
-    def edits(x: list[str]) -> list[tuple[int, int, list[str]]]:
-        ops = difflib.SequenceMatcher(None, o, x, autojunk=False).get_opcodes()
-        return [(i, j, x[k:m]) for tag, i, j, k, m in ops if tag != "equal"]
-
-    theirs = edits(b)
-    ours = [e for e in edits(a) if not any(e[0] < f[1] and f[0] < e[1] or e[0] == f[0] for f in theirs)]
-    out, at = [], 0
-    for i, j, new in sorted(ours + theirs, key=lambda e: e[:2]):
-        out += o[at:i] + new
-        at = max(at, j)
-    return " ".join(out + o[at:])
-
-
-@F.pandas_udf(T.StringType())
-def three_way_merge(base: pd.Series, current: pd.Series, incoming: pd.Series) -> pd.Series:
-    return pd.Series([merged(x or "", y or "", z or "") for x, y, z in zip(base, current, incoming, strict=True)])
+#: The marks that end a sentence, a clause or a tag.
+SEGMENT_MARKS = (".", "!", "?", ";", ",")
+
+
+def merged(base: str, current: str, incoming: str) -> tuple[str, bool]:
+    """A fix (base to incoming) on a text that went from base to current, and whether the two collide.
+
+    Both sides' edits are kept where they don't meet. A segment (sentence, clause, tag) in which they meet is taken as the fix
+    has it, whole. White space stays as it is. A fix that changes nothing leaves the current text.
+    """
+    if incoming == base:
+        return current, False
+    if current in (base, incoming):
+        return incoming, False
+    split = lambda text: re.findall(r"\S+|\s+", text)
+    old = split(base)
+
+    def edits(text: str) -> list[tuple[int, int, str]]:
+        new = split(text)
+        return [(i, j, "".join(new[k:m])) for tag, i, j, k, m in difflib.SequenceMatcher(None, old, new).get_opcodes() if tag != "equal"]
+
+    ours, theirs = edits(current), edits(incoming)
+    ends = [i + 1 for i, word in enumerate(old) if word.endswith(SEGMENT_MARKS)]
+    cuts = {min(len(old), i + 1) if i < len(old) and old[i].isspace() else i for i in ends} | {0, len(old)}
+    for i, j, _ in ours + theirs:
+        cuts -= set(range(i + 1, j))  # what one edit spans is one segment
+    edges, out, conflict = sorted(cuts), [], False
+    for lo, hi in zip(edges, edges[1:] or edges, strict=False):
+        own = lambda side: [e for e in side if lo <= e[0] < hi or e[0] == hi == len(old)]  # noqa: B023, E731
+        a, b = own(ours), own(theirs)
+        meet = any(x[:2] == y[:2] or x[0] < y[1] and y[0] < x[1] for x in a for y in b)
+        conflict |= meet
+        at = lo
+        for i, j, text in sorted(b if meet else a + b, key=lambda e: e[:2]):
+            out += [*old[at:i], text]
+            at = j
+        out += old[at:hi]
+    return "".join(out), conflict
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("conflict", T.BooleanType())]))
+def three_way_merge(base: pd.Series, current: pd.Series, incoming: pd.Series) -> pd.DataFrame:
+    """(text, conflict) of ``merged``; null texts count as empty."""
+    rows = [merged(x or "", y or "", z or "") for x, y, z in zip(base, current, incoming, strict=True)]
+    return pd.DataFrame(rows, columns=["text", "conflict"])
+
+
+def resolved_findings(findings: DataFrame) -> DataFrame:
+    """Findings (status, before, after, current) with what a decision would write.
+
+    ``shown``: for pending ones the fix merged into the current text, else the fix as it was; ``conflict``: the current text
+    collides with it; ``stale``: nothing is left to apply. Both are false where it isn't pending. Null texts count as empty.
+    """
+    pending = F.coalesce(F.col("status") == "pending", F.lit(False))
+    text, now = F.col("_m.text"), F.coalesce("current", F.lit(""))
+    return findings.withColumn("_m", three_way_merge("before", "current", "after")).select(
+        *findings.columns,
+        F.when(pending, text).otherwise(F.col("after")).alias("shown"),
+        (pending & F.col("_m.conflict")).alias("conflict"),
+        (pending & (stripped(text) == stripped(now))).alias("stale"),
+    )
+
+
+def decided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Findings after decisions (finding_id, action, and text or null): accept, reject or undo; those without one stay as they are.
+
+    ``findings``: finding_id, status, before, after, current, applied, undo. Accepting writes the given text or the merged
+    fix, and keeps the current one for undoing; undoing an accepted one restores that (else the text before). ``current`` is
+    the caption's text afterwards. A finding has one decision at most.
+    """
+    cols = findings.columns
+    own = resolved_findings(findings).join(decisions.select("finding_id", "action", F.col("text").alias("_text")), "finding_id", "left")
+    accept, undo = F.col("action") == "accept", F.col("action") == "undo"
+    back = undo & (F.col("status") == "accepted")
+    new = {
+        "status": F.when(accept, "accepted").when(F.col("action") == "reject", "rejected").when(undo, "pending").otherwise(F.col("status")),
+        "applied": F.when(accept, F.coalesce("_text", "shown")).when(undo, F.lit(None)).otherwise(F.col("applied")),
+        "undo": F.when(accept, F.col("current")).when(undo, F.lit(None)).otherwise(F.col("undo")),
+        "current": F.when(accept, F.coalesce("_text", "shown")).when(back, F.coalesce("undo", "before")).otherwise(F.col("current")),
+    }
+    return own.select(*[new[c].alias(c) if c in new else F.col(c) for c in cols])
 
 
 def weak_claims(claims: DataFrame, threshold: float) -> DataFrame:

@@ -207,6 +207,37 @@ def review_targets(v):
     return v("caption_text").filter(~C.is_empty(F.col("caption"))).select("media_id", "caption")
 
 
+def _fixes(v):
+    """Fixes out of a caption's revisions: each text, its next one as it is now, and the one after as the fix."""
+    at = lambda n, name: v("revision").select("caption_id", (F.col("revision_id") - n).alias("revision_id"), F.col("content").alias(name))
+    return at(0, "before").join(at(1, "current"), ["caption_id", "revision_id"]).join(at(2, "after"), ["caption_id", "revision_id"]).withColumn("status", F.lit("pending"))
+
+
+@query()
+def findings_resolved(v):
+    return C.resolved_findings(_fixes(v)).select("caption_id", "revision_id", "shown", "conflict", "stale")
+
+
+@query()
+def rewrite_ratios(v):
+    return _fixes(v).select("caption_id", "revision_id", F.round(C.rewrite_ratio("before", "current"), 6).alias("ratio"))
+
+
+#: Findings whose caption hasn't moved since they were made.
+FIX = """SELECT a.caption_id * 100 + a.revision_id AS finding_id, CASE (a.caption_id + a.revision_id) % 3 WHEN 0 THEN 'accepted' ELSE 'pending' END AS status, a.content AS before, b.content AS after,
+    CASE (a.caption_id + a.revision_id) % 3 WHEN 0 THEN b.content ELSE a.content END AS current, CASE (a.caption_id + a.revision_id) % 3 WHEN 0 THEN b.content END AS applied,
+    CASE (a.caption_id + a.revision_id) % 3 WHEN 0 THEN 'kept ' || a.content END AS undo, CASE (a.caption_id + a.revision_id) % 3 WHEN 0 THEN 'undo' WHEN 1 THEN 'accept' ELSE 'reject' END AS action
+    FROM {revision} AS a JOIN {revision} AS b ON b.caption_id = a.caption_id AND b.revision_id = a.revision_id + 1"""
+
+
+@query(f"""WITH f AS ({FIX}) SELECT finding_id, CASE action WHEN 'accept' THEN 'accepted' WHEN 'undo' THEN 'pending' ELSE 'rejected' END AS status,
+    CASE action WHEN 'accept' THEN after WHEN 'undo' THEN undo ELSE current END AS current, CASE action WHEN 'accept' THEN after END AS applied, CASE action WHEN 'accept' THEN before END AS undo FROM f""")
+def findings_decided(v):
+    own = v.spark.sql(FIX, revision=v("revision"))
+    decisions = own.select("finding_id", "action", F.lit(None).cast("string").alias("text"))
+    return C.decided(own.drop("action"), decisions).select("finding_id", "status", "current", "applied", "undo")
+
+
 # rewrites by key
 
 

@@ -72,9 +72,16 @@ def test_rank_of_one_row_is_one(spark):
 
 
 def test_merge_prefers_incoming_words():
-    assert captions.merged("a b c", "a x c", "a b d") == "a x d"
-    assert captions.merged("a b c", "a x c", "a y c") == "a y c"
-    assert captions.merged("a b", "a b", "q") == "q" and captions.merged("a b", "q", "a b") == "q"
+    merged = captions.merged
+    assert merged("a b c", "a x c", "a b d") == ("a x d", False)
+    assert merged("a b c", "a x c", "a y c") == ("a y c", True)
+    assert merged("a b", "a b", "q") == ("q", False) and merged("a b", "q", "a b") == ("q", False) and merged("a", "b", "b") == ("b", False)
+    assert merged("a red ball.", "NEW a red ball.", "a red ball. On grass.") == ("NEW a red ball. On grass.", False)
+    assert merged("a red ball on grass. the sky is blue.", "a pink ball on grass. the sky is very blue.", "a crimson ball on grass. the sky is blue.") == ("a crimson ball on grass. the sky is very blue.", True)
+    base, now, fix = "a red ball near the old tree. mark bottom right.", "a pink ball near the tall tree. mark bottom right.", "a crimson sphere near the old tree. no mark visible."
+    assert merged(base, now, fix) == (fix, True)
+    assert merged("one,\n two", "one,\n  two", "one,\n three") == ("one,\n  three", False)
+    assert merged("", "x", "y") == ("y", True) and merged("a", "", "b") == ("b", True)
 
 
 def test_claims_and_reasoning(spark):

@@ -65,3 +65,26 @@ def test_stale_scores_and_patched_tags(spark):
     assert ids(studio.stale_tag_scores(stored, tags, "m"), "media_id", "stale") == [(1, False), (1, True), (2, True), (3, False)]
     zones = spark.createDataFrame([(2, "patched"), (1, "detected"), (1, "patched")], "media_id long, status string")
     assert ids(studio.without_patched_tags(tags, zones, ["text here", "a"]), "media_id", "name") == [(1, "a"), (1, "b")]
+
+
+def test_findings_resolve_and_are_decided(spark):
+    from lumenset.operators import captions
+
+    cols = "finding_id long, status string, before string, after string, current string, applied string, undo string"
+    rows = [
+        (1, "pending", "a red ball.", "a blue ball.", "NEW a red ball.", None, None),
+        (2, "pending", "a red ball.", "a blue ball.", "a pink ball.", None, None),
+        (3, "pending", "a", "b", "b ", None, None),
+        (4, "accepted", "a", "b", "b", "b", "old"),
+        (5, "pending", None, "b", None, None, None),
+        (6, None, "a", "b", "a", None, None),
+    ]
+    df = spark.createDataFrame(rows, cols)
+    assert ids(captions.resolved_findings(df), "finding_id", "shown", "conflict", "stale") == [
+        (1, "NEW a blue ball.", False, False), (2, "a blue ball.", True, False), (3, "b", True, True), (4, "b", False, False), (5, "b", False, False), (6, "b", False, False),
+    ]
+    actions = spark.createDataFrame([(1, "accept", None), (2, "accept", "mine"), (3, "reject", None), (4, "undo", None)], "finding_id long, action string, text string")
+    out = {r.finding_id: (r.status, r.current, r.applied, r.undo) for r in captions.decided(df, actions).collect()}
+    assert out[1] == ("accepted", "NEW a blue ball.", "NEW a blue ball.", "NEW a red ball.") and out[2] == ("accepted", "mine", "mine", "a pink ball.")
+    assert out[3] == ("rejected", "b ", None, None) and out[4] == ("pending", "old", None, None) and out[5] == ("pending", None, None, None)
+    assert captions.decided(df.filter("false"), actions).count() == 0
