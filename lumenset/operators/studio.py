@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenset.operators.filters import normalized_tag
-from lumenset.operators.vectors import best_reference, cosine_pairs
+from lumenset.operators.vectors import GRID, SIZE, best_reference, cell, cosine_pairs
 
 #: Weights, thresholds and words of the selection and its flags.
 PICK_QUALITY, PICK_SHARPNESS = 0.7, 0.3
@@ -20,7 +20,6 @@ SIMILAR = 0.80
 REBALANCE_WEIGHT, REBALANCE_SHARE, REBALANCE_PICKS = 0.85, 0.22, 4
 SUBJECT_GATE, SUBJECT_MARGIN, QUALITY_MARGIN = 0.24, 0.12, 8
 ZONE_LEAST = 3
-MAP_WIDTH, MAP_HEIGHT, GRID_COLUMNS, GRID_ROWS = 100.0, 74.0, 6, 4
 ZONE_REASONS = {"quality": "under the quality floor", "blur": "excluded as blurry", "subject": "off-subject"}
 ZONE_OPEN = "eligible but not picked — raise the target size"
 COSINE_WINDOWS = {"clip": (0.15, 0.32), "blip": (0.25, 0.55)}
@@ -148,16 +147,16 @@ def uncovered_zones(points: DataFrame, picks: DataFrame) -> DataFrame:
     ``points``: id, x, y, excluded (a reason, empty or null for none); ``picks``: id. A point without a place has no cell.
     ``why`` counts the reasons, by name.
     """
-    cell = lambda c, size, n: F.least(F.lit(n - 1), F.floor(F.col(c) / size * n).cast("int"))
-    own = points.filter("x is not null and y is not null").select("id", F.coalesce("excluded", F.lit("")).alias("excluded"), cell("x", MAP_WIDTH, GRID_COLUMNS).alias("cx"), cell("y", MAP_HEIGHT, GRID_ROWS).alias("cy"))
+    cx, cy = cell(F.col("x"), F.col("y"))
+    own = points.filter("x is not null and y is not null").select("id", F.coalesce("excluded", F.lit("")).alias("excluded"), cx.alias("cx"), cy.alias("cy"))
     own = own.join(picks.select("id").distinct().withColumn("picked", F.lit(1)), "id", "left")
     by = own.groupBy("cx", "cy", "excluded").agg(F.count("*").alias("n"), F.count("picked").alias("picked"))  # at most 24 cells times the reasons
     reason = F.coalesce(F.create_map(*[F.lit(x) for pair in ZONE_REASONS.items() for x in pair])[F.col("excluded")], F.col("excluded"))
     part = F.when(F.col("excluded") != "", F.struct("excluded", F.concat(F.col("n").cast("string"), F.lit(" "), reason).alias("text")))
     cells = by.groupBy("cx", "cy").agg(F.sum("n").alias("n"), F.sum("picked").alias("picked"), F.array_sort(F.collect_list(part)).alias("parts"))
     why = F.when(F.size("parts") > 0, F.array_join(F.transform("parts", lambda p: p["text"]), " · ")).otherwise(ZONE_OPEN)
-    middle = lambda c, size, n: F.round((F.col(c) + 0.5) * (size / n), 2)
-    return cells.filter((F.col("n") >= ZONE_LEAST) & (F.col("picked") == 0)).select(middle("cx", MAP_WIDTH, GRID_COLUMNS).alias("x"), middle("cy", MAP_HEIGHT, GRID_ROWS).alias("y"), "n", why.alias("why"))
+    middle = lambda c, i: F.round((F.col(c) + 0.5) * (SIZE[i] / GRID[i]), 2)
+    return cells.filter((F.col("n") >= ZONE_LEAST) & (F.col("picked") == 0)).select(middle("cx", 0).alias("x"), middle("cy", 1).alias("y"), "n", why.alias("why"))
 
 
 # listings
