@@ -21,6 +21,12 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a whole text (null: empty): h1 and h2, two hashes with different seeds."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it (case aside)."""
     taken = {c.lower() for c in df.columns}

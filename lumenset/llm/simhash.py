@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenset.llm.common import discard, free_name, materialize, mixed, release, shingle_hashes, utf8
+from lumenset.llm.common import discard, free_name, materialize, mixed, release, shingle_hashes, text_key, utf8
 from lumenset.operators.graph import components
 
 SEED = 42
@@ -68,6 +68,7 @@ def _linked(fp: np.ndarray, pop: np.ndarray, radius: int) -> list[tuple[np.ndarr
 
 def _tile_links(fp: np.ndarray, pop: np.ndarray, start: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within groups of rows that begin at ``start``; each group is ordered by population count."""
+    fp = fp.astype(np.uint64)  # bit counts of negative numbers are of their absolute values
     ends = np.append(start[1:], len(fp))
     size, left, right = ends - start, [], []
     for k in np.flatnonzero(size > SHIFTS):
@@ -351,9 +352,9 @@ def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int,
         release()
         return out
 
-    rows = materialize(kept.select(F.col(uid).alias("key"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), sketches(utf8(text_col)).alias("s")), "rows")
-    nodes = rows.groupBy("hash").agg(F.min("key").alias("key"), F.first("s").alias("s"))
-    nodes = nodes.mapInArrow(_unpacked, "hash long, key long, fp long, odd binary, least array<long>")
+    rows = materialize(kept.select(F.col(uid).alias("key"), *text_key(F.col(text_col)), sketches(utf8(text_col)).alias("s")), "rows")
+    nodes = rows.groupBy("h1", "h2").agg(F.min("key").alias("hash"), F.first("s").alias("s"))  # a text goes by the least key of its rows
+    nodes = nodes.mapInArrow(_unpacked, "h1 long, h2 long, hash long, fp long, odd binary, least array<long>")
     nodes = materialize(nodes, "texts")
     members = nodes.select("hash", "fp", "odd", F.posexplode("least").alias("mask", "part"))
     roots = edges = done = None
@@ -366,8 +367,8 @@ def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int,
             found = materialize(_other_pairs(own, radius, similarity, most), "pairs")
             new = materialize(found.select("a", "b").join(done, ["a", "b"], "left_anti"), "new-pairs")
             most *= 8
-        wanted = nodes.join(new.select("a").union(new.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("key", "hash")
-        texts = materialize(kept.select(F.col(uid).alias("key"), utf8(text_col).alias("words")).join(wanted, "key").select("hash", "words"), "wanted")
+        wanted = nodes.join(new.select("a").union(new.select("b")).toDF("hash").distinct(), "hash", "left_semi").select("hash")
+        texts = materialize(kept.select(F.col(uid).alias("hash"), utf8(text_col).alias("words")).join(wanted, "hash").select("hash", "words"), "wanted")
         links = materialize(alike(new.select("a", "b"), texts, similarity, width, square=roots is not None), "alike")
         discard(texts)
         if roots is None:  # a min-hash that one text has links nothing
@@ -380,7 +381,8 @@ def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int,
         roots = materialize(components(edges), "roots")
         if found.filter("more").isEmpty():
             break
-    return rows.join(roots.withColumnRenamed("node", "hash"), "hash", "left").select("key", F.coalesce("root", "hash").alias("component_id"))
+    named = nodes.select("h1", "h2", "hash").join(roots.withColumnRenamed("node", "hash"), "hash", "left").select("h1", "h2", F.coalesce("root", "hash").alias("component_id"))
+    return rows.select("key", "h1", "h2").join(named, ["h1", "h2"]).select("key", "component_id")
 
 
 def _unpacked(batches):
@@ -389,8 +391,8 @@ def _unpacked(batches):
         x = np.frombuffer(b"".join(batch["s"].to_pylist()), dtype=np.int64).reshape(-1, 6 + KEYS)
         odd = [r.tobytes() for r in x[:, 1:6]]
         least = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(x) + 1, KEYS), pa.int32()), pa.array(x[:, 6:].reshape(-1)))
-        cols = [batch["hash"], batch["key"], pa.array(x[:, 0]), pa.array(odd, pa.binary()), least]
-        yield pa.RecordBatch.from_arrays(cols, ["hash", "key", "fp", "odd", "least"])
+        cols = [batch["h1"], batch["h2"], batch["hash"], pa.array(x[:, 0]), pa.array(odd, pa.binary()), least]
+        yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "hash", "fp", "odd", "least"])
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:

@@ -474,7 +474,7 @@ def plain_fingerprint(text):
 
 @pytest.mark.parametrize("tile", [2, 2048])
 def test_components_match_all_pairs(spark, docs, tile):
-    base = [w for w in prose(60).split()]
+    base = list(np.random.default_rng(8).choice(VOCAB, 60))
     rows = every(docs) + [(100 + i, " ".join(base[: 60 - i % 3] + [f"w{i}"])) for i in range(30)] + [(200, "Ab cD ef GH")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     fp = [plain_fingerprint(t) for _, t in rows]
@@ -490,6 +490,28 @@ def test_components_match_all_pairs(spark, docs, tile):
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
 
 
+@pytest.mark.parametrize("copies", [1, 50])
+def test_links_count_the_bits_of_unsigned_words(spark, copies):
+    rng = np.random.default_rng(41)
+    top = [0b111, 1 << 63 | 0b110, (1 << 64) - (1 << 52), 0, 1 << 63, 1 << 63 | 1 << 62 | 1]  # 2 bits apart; 12 bits apart
+    words = top + [int(x) for x in rng.integers(0, 1 << 63, copies, dtype=np.uint64)]
+    words += [w ^ 1 << 63 ^ 1 << int(rng.integers(0, 62)) for w in words[6:]]
+    words = sorted(set(words))
+    df = spark.createDataFrame([(w - (1 << 64) if w >= 1 << 63 else w,) for w in words], "fp long")
+
+    def classes(pairs):
+        root = {w: w for w in words}
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = {w: min(x, y) if r in (x, y) else r for w, r in root.items()}
+        return root
+
+    near = [(a, b) for a in words for b in words if a < b and (a ^ b).bit_count() <= 3]
+    for tile in (4, 2048):
+        got = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(df, tile=tile).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in got) and classes(got) == classes(near)
+
+
 def test_one_row_of_each_component_stays(docs):
     got = simhash.drop_near_duplicates(docs)
     assert got.columns == docs.columns
