@@ -32,6 +32,9 @@ STOPS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 PIECE = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that hold text, where others hold anything.
+PROSE = frozenset("p li dt dd td th pre blockquote caption figcaption summary".split()) | HEADINGS
+ENDS = re.compile(r"[.!?…。！？:;]['\"”’»)\]]*$")
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡")
 
 
@@ -50,6 +53,7 @@ class Path:
 
     linked: bool = False  # within a link
     heading: bool = False  # within a heading
+    prose: bool = False  # its nearest block is one of PROSE
 
 
 @dataclass
@@ -132,7 +136,7 @@ def parse(html: str) -> Page:
         path = numbers.setdefault((els[now].path, tag), len(page.paths))
         if path == len(page.paths):
             above = page.paths[els[now].path]
-            page.paths.append(Path(above.linked or tag == "a", above.heading or tag in HEADINGS))
+            page.paths.append(Path(above.linked or tag == "a", above.heading or tag in HEADINGS, tag in PROSE if tag in BLOCKS else above.prose))
         els.append(Element(tag, now, els[now].out or out, path, named))
         if m[3].rstrip().endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -204,12 +208,41 @@ def leave_out(page: Page, most: float = 0.5) -> None:
         e.out = e.out or page.elements[e.parent].out or e.named and weight.get(x, 0) <= most * weight.get(0, 0)
 
 
-def main_text(html: str | None, share: float = 0.9, fill: int = 2) -> str:
+def _stretches(lines: dict[int, str], good: set[int], heading: set[int], linked: dict[int, bool], prose: set[int]) -> list[int]:
+    """The blocks that stay, in page order: the content blocks, and what belongs to them.
+
+    A stretch between two content blocks, or between the first heading and them, stays whole, however long, unless it is
+    nothing but links. Before and after the content stays what adjoins it: blocks that hold text or end as sentences do, and are no links; headings
+    only if something follows them. Of what goes, the headings right before a content block stay.
+    """
+    order = list(lines)
+    content = [i for i, b in enumerate(order) if b in good]
+    if not content:
+        return []
+    first, last = content[0], content[-1]
+    first = next((i for i in range(first) if order[i] in heading), first)
+    fits = lambda i: not linked[order[i]] and (order[i] in prose or bool(ENDS.search(lines[order[i]])))
+    while first and fits(first - 1):
+        first -= 1
+    end = last + 1
+    while end < len(order) and fits(end):
+        end += 1
+    while end > last + 1 and order[end - 1] in heading:
+        end -= 1
+    out: list[int] = []
+    for is_good, stretch in groupby(range(first, end), lambda i: order[i] in good):
+        few = [order[i] for i in stretch]
+        if not is_good and all(linked[b] for b in few if b not in heading) and any(linked[b] for b in few):
+            few = list(takewhile(heading.__contains__, reversed(few)))[::-1]
+        out += few
+    return out
+
+
+def main_text(html: str | None, share: float = 0.9) -> str:
     """The page's article: the content blocks of the element that holds the content runs.
 
     Runs score by their tag paths; those over half the standard deviation (or the mean, if less) are content, and a block
-    stays with a run that is, or whose path is on the average. So do short paragraphs beside it, ``fill`` blocks in a row
-    at most, unless they are nothing but links, and the headings of what follows. From the root down, the element follows that has ``share`` of the content's characters;
+    stays with a run that is, or whose path is on the average, and with what belongs to it (``_stretches``). From the root down, the element follows that has ``share`` of the content's characters;
     ``article`` and ``main`` end the way unless a deeper one of them has the share, and so does the last element before the
     content parts into paragraphs. What names say isn't content is left out, unless it holds most of the content.
     """
@@ -245,6 +278,7 @@ def main_text(html: str | None, share: float = 0.9, fill: int = 2) -> str:
     blocks: dict[int, list[str]] = defaultdict(list)
     linked: dict[int, bool] = defaultdict(lambda: True)
     heading: set[int] = set()
+    prose: set[int] = set()
     for e, block, t in page.runs:
         if e in inside and not page.elements[e].out:
             blocks[block].append(t)
@@ -252,17 +286,13 @@ def main_text(html: str | None, share: float = 0.9, fill: int = 2) -> str:
             linked[block] &= not t.strip() or path.linked
             if path.heading:
                 heading.add(block)
+            if path.prose and t.strip():
+                prose.add(block)
     lines = {b: line for b, x in sorted(blocks.items()) if (line := " ".join("".join(x).split()))}
     good = {page.runs[k][1] for k in content}
     paths = _content_paths(page, own, score)
     good |= {page.runs[k][1] for k in own if page.elements[page.runs[k][0]].path in paths}
-    out: list[str] = []
-    for is_good, stretch in groupby(lines, good.__contains__):
-        few = list(stretch)
-        if not is_good and (len(few) > fill or all(linked[b] for b in few)):  # but for the headings of what follows
-            few = list(takewhile(heading.__contains__, reversed(few)))[::-1] if few[-1] != next(reversed(lines)) else []
-        out += [lines[b] for b in few]
-    return "\n".join(out)
+    return "\n".join(lines[b] for b in _stretches(lines, good & lines.keys(), heading, linked, prose))
 
 
 def extracted(html_col: str = "html", share: float = 0.9) -> Column:

@@ -574,6 +574,35 @@ def test_main_text_of_odd_pages(spark):
     assert len(html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000)) == 4
 
 
+def plain_article(page):
+    """The article by hand: parts of ``<article>`` in order, its boilerplate by class left out, one line a block."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"<(aside|script|form)\b.*?</\1>|<div class=(?:ad|comments)>.*?</div>|<ul class=menu>.*?</ul>", "", inner, flags=re.S)
+    lines = re.split(r"</?(?:p|li|ul|ol|tr|td|table|pre|div|h2|blockquote)>", inner)
+    return "\n".join(line for x in lines if (line := " ".join(re.sub(r"<[^>]*>", "", x).split())))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["list", "rows", "short", "code", "verse", "quote", "ad", "menu", "head", "form"]), max_size=8), st.integers(1, 40), st.booleans())
+def test_main_text_keeps_lists_tables_and_short_lines_of_any_length(parts, n, ends):
+    long = "<p>The river rose in the night, and by morning, it had reached the mill; nobody, they said, had seen the like.</p>"
+    made = {
+        "list": "<ul>" + "".join(f"<li>Item {i}</li>" for i in range(n)) + "</ul>",
+        "rows": "<table>" + "".join(f"<tr><td>k{i}</td><td>{i}</td></tr>" for i in range(n)) + "</table>",
+        "short": "".join(f"<div>Line {i}</div>" for i in range(n)),
+        "code": "<pre>x = 1\n  y</pre>" * n,
+        "verse": "".join(f"<p>Verse {i}</p>" for i in range(n)),
+        "quote": "<blockquote>So be it</blockquote>",
+        "head": "<h2>Next</h2>",
+        "ad": "<div class=ad>Buy now</div>",
+        "menu": "<ul class=menu>" + "<li><a href=x>Go</a></li>" * n + "</ul>",
+        "form": "<form>Your name</form>",
+    }
+    body = long + "".join(made[x] + (long if i % 2 or x in ("short", "head") else "") for i, x in enumerate(parts)) + (long if ends else "")
+    page = f"<body><nav><a href=x>Home</a></nav><article>{body}</article><footer>Foot</footer></body>"
+    assert html.main_text(page) == plain_article(page)
+
+
 LONG = ["The river rose in the night, and by morning, it had reached the mill.", "Nobody, they said, had seen the like; some left, others stayed to watch."]
 ARTICLE = "<h1>The flood</h1>" + "".join(f"<p>{x}</p>" for x in LONG * 3)
 WANTED = "\n".join(["The flood", *LONG * 3])
