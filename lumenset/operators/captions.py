@@ -11,10 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenset.functions.layout import spread
+
 #: Fixed values of the integrity checks.
 MIN_CHARS, NGRAM, TIMES, GARBAGE = 3, 3, 3, 0.15
 SPACE = r"[\x20\x09-\x0D]+"
 WRAPPERS = r"[\x20\t\r\n\"')\]}»”’]+$"
+#: White space, and what is neither printable nor white space (but for unassigned code points).
+BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0" + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNREADABLE = r"\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F" + "\ufffd" + r"\p{Cf}\p{Co}"
 RESIDUE = r"(?i)(</?think>|<\|?\s*channel\s*\|?>|<\|?\s*(?:start|end|return|message|assistant|user|system)\s*\|?>)"
 
 
@@ -52,32 +57,42 @@ def words(text: Column) -> Column:
 def repeated_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     """The phrase of three words that is most frequent in a text, where it occurs three times or more; ties: the first.
 
-    Texts without two repeats of a phrase are left out first. Phrases become rows before they are counted, so a long
-    text's phrases are spread out and combined in parts. Null and empty texts have none.
+    Nothing is shuffled: a text's words are zipped with themselves, and hashes tell whether a phrase may occur three times.
+    If so, the phrases are sorted and counted as runs in one fold, so the work is n log n in its words. Null and empty texts have none.
     """
-    own = df.select(key, words(F.col(text)).alias("w")).filter(F.size("w") >= NGRAM)
-    gram = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - NGRAM + 1)), lambda i: F.concat_ws(" ", F.slice("w", i, NGRAM)))
-    own = own.withColumn("g", gram).filter(F.size("g") - F.size(F.array_distinct("g")) >= TIMES - 1)
-    rows = own.select(key, F.posexplode("g").alias("pos", "phrase"))
-    counts = rows.groupBy(key, "phrase").agg(F.count("*").alias("times"), F.min("pos").alias("pos")).filter(F.col("times") >= TIMES)
-    best = counts.groupBy(key).agg(F.max_by(F.struct("phrase", "times"), F.struct("times", -F.col("pos"))).alias("b"))
-    return best.select(key, "b.phrase", "b.times")
+    w = F.split(stripped(F.lower(F.col(text))), SPACE)
+    later = lambda n: F.slice("w", n, F.size("w"))
+    joined = lambda x, y: F.concat(x, F.lit(" "), y)  # noqa: E731  null past the end
+    grams = F.filter(F.zip_with(F.zip_with("w", later(2), joined), later(3), joined), lambda g: g.isNotNull())
+    order = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("phrase"), i.cast("long").alias("pos"))))
+
+    def step(a: Column, x: Column) -> Column:
+        same = a["phrase"].eqNullSafe(x["phrase"])
+        times, first = F.when(same, a["times"] + 1).otherwise(F.lit(1).cast("long")), F.when(same, a["first"]).otherwise(x["pos"])
+        ahead = (times > a["best"]["times"]) | ((times == a["best"]["times"]) & (first < a["best"]["first"]))
+        best = F.when(ahead, F.struct(x["phrase"].alias("phrase"), times.alias("times"), first.alias("first"))).otherwise(a["best"])
+        return F.struct(x["phrase"].alias("phrase"), times.alias("times"), first.alias("first"), best.alias("best"))
+
+    none = [F.lit(None).cast("string").alias("phrase"), F.lit(0).cast("long").alias("times"), F.lit(0).cast("long").alias("first")]
+    best = F.aggregate(order, F.struct(*none, F.struct(*none).alias("best")), step)["best"]
+    own = spread(df.filter(F.col(text).isNotNull()).select(key, text)).select(key, w.alias("w"))
+    hashes = F.transform(F.arrays_zip(F.col("w"), later(2).alias("x"), later(3).alias("y")), lambda z: F.xxhash64(z))
+    thrice = lambda s: F.exists(F.arrays_zip(s.alias("a"), F.slice(s, TIMES, F.size(s)).alias("b")), lambda x: x["a"].eqNullSafe(x["b"]))
+    repeats = (F.size(hashes) - F.size(F.array_distinct(hashes)) >= TIMES - 1) & F.exists(F.array(F.sort_array(hashes)), thrice)
+    found = own.select(key, F.explode_outer(F.when(repeats, F.filter(F.array(best), lambda b: b["times"] >= TIMES))).alias("b"))  # a filter on the phrases would be pushed under w
+    return found.filter(F.col("b").isNotNull()).select(key, "b.phrase", "b.times")
 
 
 def has_residue(text: Column) -> Column:
     return text.rlike(RESIDUE)
 
 
-@F.pandas_udf(T.BooleanType())
-def is_garbage(texts: pd.Series) -> pd.Series:
-    """At least 15 % of the characters are replacement characters, or neither printable nor white space."""
-
-    def bad(t: str | None) -> bool:
-        t = (t or "").strip()
-        n = sum(c == "�" or not (c.isspace() or c.isprintable()) for c in t)
-        return bool(t) and n >= GARBAGE * len(t)
-
-    return texts.map(bad)
+def is_garbage(text: Column) -> Column:
+    """At least 15 % of the characters are replacement characters, or neither printable nor white space; the white space around the text doesn't count."""
+    unreadable = rf"[{UNREADABLE}\p{{Cs}}\p{{Cn}}]"
+    core = F.regexp_replace(F.regexp_replace(text, rf"^[{BLANK}]+", ""), rf"[{BLANK}]+$", "")
+    bad = F.length(core) - F.length(F.regexp_replace(core, unreadable, ""))
+    return F.when(text.rlike(unreadable), bad >= GARBAGE * F.length(core)).otherwise(False)
 
 
 def integrity(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -86,7 +101,7 @@ def integrity(df: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     flags = [("empty", is_empty(t)), ("truncated", is_truncated(t)), ("repetition", F.coalesce("loops", F.lit(False))), ("garbage", is_garbage(t)), ("residue", has_residue(t))]
     codes = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags]), lambda x: x.isNotNull())
-    return df.join(loops, key, "left").select(key, codes.alias("issues"))
+    return spread(df.select(key, text)).join(loops, key, "left").select(key, codes.alias("issues"))
 
 
 def trigger_rule(text: Column, word: str) -> tuple[Column, Column]:

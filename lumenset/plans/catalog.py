@@ -18,13 +18,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a function of the views under its name."""
+def query(sql: str | None = None, **parts: str):
+    """Registers a function of the views under its name. ``parts`` stand in the SQL as <name>."""
 
     def add(f: Callable[[Views], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = with_views(sql)
+            whole = with_views(sql)
+            for name, part in parts.items():
+                whole = whole.replace(f"<{name}>", part)
+            ORACLES[f.__name__] = whole
         return f
 
     return add
@@ -223,7 +226,15 @@ def integrity_repetition(v):
     return C.repeated_phrases(v("caption_text"), "media_id", "caption")
 
 
-@query()
+PHRASES = ORACLES["integrity_repetition"]
+
+
+@query(r"""WITH t AS (SELECT media_id, caption, regexp_replace(regexp_replace(caption, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') AS s,
+      regexp_replace(regexp_replace(caption, '^[<blank>]+', ''), '[<blank>]+$', '') AS g FROM {caption_text}),
+    x AS (SELECT *, regexp_replace(s, '[\x20\t\r\n"'')\]<close>»”’]+$', '') AS core, length(g) - length(regexp_replace(g, '[<unreadable>]', '', 'g')) AS bad FROM t),
+    c AS (SELECT media_id, concat_ws(',', CASE WHEN length(s) < 3 THEN 'empty' END, CASE WHEN length(core) >= 3 AND right(core, 1) NOT IN ('.', '!', '?', '…') THEN 'truncated' END,
+      CASE WHEN media_id IN (SELECT media_id FROM (<phrases>) AS p) THEN 'repetition' END, CASE WHEN g <> '' AND bad >= 0.15 * length(g) THEN 'garbage' END,
+      CASE WHEN regexp_matches(caption, '<residue>') THEN 'residue' END) AS issues FROM x) SELECT media_id, issues FROM c WHERE issues <> ''""", phrases=PHRASES, close="}", blank=C.BLANK, unreadable=C.UNREADABLE, residue=C.RESIDUE)
 def integrity_codes(v):
     return C.integrity(v("caption_text"), "media_id", "caption").filter(F.size("issues") > 0).select("media_id", F.array_join("issues", ",").alias("issues"))
 
