@@ -6,7 +6,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenset.llm import chat, html, idfiles, minhash, mixing, packing, passages, pii, quality, simhash
+from lumenset.llm import chat, html, idfiles, minhash, mixing, negatives, packing, passages, permutation, pii, quality, repair, simhash
+from lumenset.llm.blocks import usable
+from lumenset.llm.common import materialize
 from lumenset.llm.vocabulary import BYTE_BPE, vocabulary_path
 
 
@@ -87,8 +89,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").filter(usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    return negatives.mine(rows.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("id") % 50 == 0)
+
+
+def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialize(permutation.build_index(_read(spark, sf_dir, "embeddings")), "index")
+    return permutation.search(index, F.col("id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_packing, op3_id_files, op4_chat_rotation, op5_pii, op6_minhash, op7_passages, op8_simhash, op9_mixing, op10_main_text)
+    for f in (op1_quality_rules, op2_packing, op3_id_files, op4_chat_rotation, op5_pii, op6_minhash, op7_passages, op8_simhash, op9_mixing, op10_main_text, op11_structure_repair, op12_hard_negatives, op13_permutation_index)
 } | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op4_chat_rotation": OP4_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
