@@ -1,4 +1,4 @@
-"""Quotas, greedy diverse selection, box suppression, pairing."""
+"""Quotas, box suppression, pairing."""
 
 from __future__ import annotations
 
@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumenset.functions.storage import materialize
-from lumenset.operators.vectors import unit
-
 
 def quotas(size: int, weights: dict[str, float]) -> dict[str, int]:
     """``size`` shared by weight, whole numbers by largest remainder; ties go to the one declared first."""
@@ -27,53 +24,6 @@ def quotas(size: int, weights: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def pick_diverse(candidates: DataFrame, size: int, weights: dict[str, float], diversity: float = 0.7, quality: float = 0.3) -> DataFrame:
-    """Farthest-point selection: (id, bucket, place).
-
-    ``candidates``: id, bucket, favorite, score (0 to 100, or null), vector. For each bucket of ``weights`` (``any``: all)
-    its favourites by least id, up to the quota; then, one after another, the candidate with the greatest
-    diversity * (1 - cosine to the nearest pick) / 2 + quality * score / 100 (no vector: no distance; ties: score, least
-    id); what buckets leave open goes to all that are eligible. Each pick is one pass over the written pool; only the winner
-    comes to the driver, so the pool may be of any size.
-    """
-    wanted = quotas(size, weights)
-    pool = candidates.select("id", "bucket", "favorite", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("score").isNotNull().alias("scored"), F.when(F.col("vector").isNotNull(), unit()).alias("u"))
-    pool = materialize(pool, "pool").cache()
-    spark, picks, vectors = candidates.sparkSession, [], []
-    in_bucket = lambda k: F.lit(True) if k == "any" else F.col("bucket") == k
-
-    def take(scope: Column) -> bool:
-        u = F.col("u")
-        dots = [F.aggregate(F.zip_with(u, F.array(*[F.lit(float(x)) for x in v]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) for v in vectors]
-        far = F.when(u.isNull(), 0.0).otherwise((1 - F.greatest(*dots, F.lit(-1.0))) / 2 if dots else F.lit(1.0))
-        value = F.round(diversity * far + quality * F.col("score") / 100, 9)
-        rest = pool.filter(scope & ~F.col("id").isin([p[0] for p in picks]))
-        best = rest.select("id", "bucket", "u", value.alias("v"), "scored", "score").orderBy(F.col("v").desc(), F.col("scored").desc(), F.col("score").desc(), "id").first()
-        return add(best)
-
-    def add(row) -> bool:
-        if row is None:
-            return False
-        picks.append((row.id, row.bucket))
-        if row.u is not None:
-            vectors.append(row.u)
-        return True
-
-    for bucket, quota in wanted.items():
-        n0 = len(picks)
-        for row in pool.filter(in_bucket(bucket) & F.col("favorite") & ~F.col("id").isin([p[0] for p in picks])).orderBy("id").limit(quota).collect():
-            add(row)
-        while len(picks) - n0 < quota and take(in_bucket(bucket)):
-            pass
-    every = F.lit(False)
-    for bucket in wanted:
-        every = every | in_bucket(bucket)
-    while len(picks) < size and wanted and take(every):
-        pass
-    pool.unpersist()
-    return spark.createDataFrame([(i, b, n) for n, (i, b) in enumerate(picks)], "id long, bucket string, place long")
-
-
 def iou(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:
     """Intersection over union of two boxes (x, y, w, h), and the share of the first inside the second."""
     zero = F.lit(0.0)

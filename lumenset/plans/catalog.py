@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenset.operators import captions as C
-from lumenset.operators import deploy, filters, hashes, rules, scores, selection
+from lumenset.operators import deploy, filters, greedy, hashes, rules, scores, selection
 from lumenset.operators import vectors as V
 from lumenset.sources import console
 from lumenset.sources.views import Views, with_views
@@ -422,9 +422,41 @@ def _candidates(v):
     return own.select("id", F.concat(F.lit("b"), (F.col("label") % 3).cast("string")).alias("bucket"), "favorite", "score", "vector")
 
 
+POOL = f"""SELECT m.id, m.favorite, m.sha256, coalesce(m.width, 0) * coalesce(m.height, 0) AS area, round(a.score, 2) AS score, 'b' || CAST(v.label % 3 AS VARCHAR(20)) AS bucket
+    FROM {{live_media}} AS m JOIN {{vector}} AS v ON v.id = m.id LEFT JOIN ({AVG}) AS a ON a.media_id = m.id"""
+
+
+@query(f"""WITH p AS ({POOL}), k AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY favorite DESC, score DESC, area DESC, id) AS n FROM p WHERE score >= 20)
+    SELECT id, favorite, score, bucket FROM k WHERE n = 1""")
+def builder_candidates(v):
+    own = _candidates(v)
+    media = own.drop("bucket").join(v("media").select("id", "width", "height"), "id")
+    pool, _ = greedy.prepared(media, v("media").select(F.xxhash64("sha256").alias("group_id"), "id"), own.select("id", "bucket"), 20.0)
+    return pool.select("id", "favorite", "score", "bucket")
+
+
+@query(f"""WITH p AS ({POOL}), k AS (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY favorite DESC, score DESC, area DESC, id) AS n FROM p WHERE score >= 20)
+    SELECT count(*) FILTER (WHERE n = 1) AS pool_size, (SELECT count(*) FROM p WHERE score < 20) AS quality_dropped, (SELECT count(*) FROM p WHERE score IS NULL) AS unscored_dropped,
+    count(*) FILTER (WHERE n > 1) AS duplicates_dropped, count(*) FILTER (WHERE n = 1 AND bucket = 'unknown') AS unknown_count FROM k""")
+def builder_counters(v):
+    own = _candidates(v)
+    media = own.drop("bucket").join(v("media").select("id", "width", "height"), "id")
+    return greedy.prepared(media, v("media").select(F.xxhash64("sha256").alias("group_id"), "id"), own.select("id", "bucket"), 20.0)[1]
+
+
 @query()
 def builder_select(v):
-    return selection.pick_diverse(_candidates(v), 12, {"b0": 40, "b1": 35, "b2": 25})
+    own = _candidates(v)
+    media = own.drop("bucket").join(v("media").select("id", "width", "height"), "id")
+    pool, _ = greedy.prepared(media, v("media").select(F.xxhash64("sha256").alias("group_id"), "id"), own.select("id", "bucket"), 20.0)
+    return greedy.pick_diverse(pool, 12, {"b0": 40, "b1": 35, "b2": 25})
+
+
+@query()
+def studio_select(v):
+    own = _candidates(v).join(v("media").select("id", "sharpness", F.xxhash64("sha256").alias("group_id")), "id")
+    passes = (F.coalesce("score", F.lit(50.0)) >= 20) & F.coalesce(F.col("sharpness") >= 35, F.lit(True))
+    return greedy.studio_select(own.withColumn("eligible", passes), 60, {"b0": 40, "b1": 35, "b2": 25}, forced=[4, 8], dropped=[12])
 
 
 @query("""WITH w AS (SELECT o_orderpriority AS bucket, count(*) AS weight FROM orders GROUP BY 1), s AS (SELECT bucket, 100.0 * weight / sum(weight) OVER () AS share FROM w),

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lumenset.operators import selection, vectors
+from lumenset.operators import greedy, selection, vectors
 
 
 def test_suppression_equals_a_plain_loop(spark):
@@ -43,7 +43,7 @@ def test_diverse_picks_equal_a_plain_loop(spark):
             best = min((r for r in own if r[0] not in picks), key=value)
             mine.append(best[0])
             picks.append(best[0])
-    out = selection.pick_diverse(df, 8, {"a": 1, "b": 1}).orderBy("place").collect()
+    out = greedy.pick_diverse(df, 8, {"a": 1, "b": 1}).orderBy("place").collect()
     assert [r.id for r in out] == picks
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenset.operators import captions, hashes, rules, scores, selection, vectors
+from lumenset.operators import captions, greedy, hashes, rules, scores, selection, vectors
 from lumenset.operators.graph import components
 from lumenset.sources import console
 from lumenset.streaming import jobs
@@ -57,7 +57,7 @@ def test_quotas():
 def test_greedy_takes_favourites_then_far_vectors(spark):
     rows = [(1, "x", False, 10.0, [1.0, 0.0]), (2, "x", True, 0.0, [0.9, 0.1]), (3, "x", False, 10.0, [-1.0, 0.0]), (4, "x", False, None, None)]
     df = spark.createDataFrame(rows, "id long, bucket string, favorite boolean, score double, vector array<float>")
-    assert [r.id for r in selection.pick_diverse(df, 3, {"any": 1}).orderBy("place").collect()] == [2, 3, 1]
+    assert [r.id for r in greedy.pick_diverse(df, 3, {"any": 1}).orderBy("place").collect()] == [2, 3, 1]
 
 
 def test_suppression_keeps_the_best_box(spark):
