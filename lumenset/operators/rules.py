@@ -49,9 +49,40 @@ def resolved(folders: DataFrame, rules: DataFrame, auto_depth: int = 0) -> DataF
     return rows.select("folder", "excluded", F.when(~F.col("excluded"), F.col("owner")).alias("owner"), tags.alias("tags"))
 
 
-def merged_names(files: DataFrame) -> DataFrame:
-    """Files of merged libraries: the second and later of a stem get _2, _3 and so on, by path."""
-    from pyspark.sql import Window as W
+def closure(folders: DataFrame) -> DataFrame:
+    """(ancestor, descendant, depth): every folder with itself and all above it, the root '' at depth 0."""
+    own = folders.select(F.col("folder").alias("descendant")).distinct()
+    return own.select("descendant", F.posexplode(F.concat(F.array(F.lit("")), chain(F.col("descendant")))).alias("depth", "ancestor"))
+
+
+def owners(tree: DataFrame, rules: DataFrame) -> DataFrame:
+    """(folder, owner): the deepest folder on the way that ``rules`` (rel_path, mode) make a sub-library; null for the library itself, and for what is excluded."""
+    own = tree.join(rules.select(F.col("rel_path").alias("ancestor"), "mode"), "ancestor", "left")
+    found = own.groupBy(F.col("descendant").alias("folder")).agg(
+        F.max_by(F.when(F.col("mode") == "sublib", F.col("ancestor")), F.when(F.col("mode") == "sublib", F.col("depth"))).alias("owner"),
+        F.coalesce(F.bool_or((F.col("mode") == "exclude") & (F.col("depth") > 0)), F.lit(False)).alias("excluded"),
+    )
+    return found.select("folder", F.when(~F.col("excluded"), F.col("owner")).alias("owner"), "excluded")
+
+
+def rerouted(folders: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(folder, was, now, was_excluded, now_excluded) of the folders that change hands when the rules of a library go from ``before`` to ``after``."""
+    tree = closure(folders)
+    both = owners(tree, before).select("folder", F.col("owner").alias("was"), F.col("excluded").alias("was_excluded")).join(owners(tree, after).select("folder", F.col("owner").alias("now"), F.col("excluded").alias("now_excluded")), "folder")
+    return both.filter(~F.col("was").eqNullSafe(F.col("now")) | (F.col("was_excluded") != F.col("now_excluded"))).select("folder", "was", "now", "was_excluded", "now_excluded")
 
-    n = F.row_number().over(W.partitionBy("stem").orderBy("path"))
-    return files.withColumn("n", n).select("path", F.when(F.col("n") > 1, F.concat_ws("_", "stem", F.col("n").cast("string"))).otherwise(F.col("stem")).alias("name"))
+
+def applied_mapping(files: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """What applying a mapping does to sub-libraries: rel_path, action (create, keep, prune), files before and after.
+
+    ``files``: folder, a row for each file; rules: rel_path, mode. A folder of ``after`` that is a sub-library is created unless it was
+    one; one that no longer is goes, and its files fall to what is above it. Files are counted by folder first, so the tree is as large as the folders are.
+    """
+    counts = files.groupBy("folder").agg(F.count("*").alias("n"))
+    tree = closure(counts)
+    held = lambda rules, name: owners(tree, rules).join(counts, "folder").groupBy(F.col("owner").alias("rel_path")).agg(F.sum("n").alias(name)).filter("rel_path is not null")
+    subs = lambda rules, name: rules.filter("mode = 'sublib'").select("rel_path", F.lit(True).alias(name)).distinct()
+    both = subs(before, "was").join(subs(after, "now"), "rel_path", "full")
+    action = F.when(F.col("was").isNull(), "create").when(F.col("now").isNull(), "prune").otherwise("keep")
+    rows = both.join(held(before, "files_before"), "rel_path", "left").join(held(after, "files_after"), "rel_path", "left")
+    return rows.select("rel_path", action.alias("action"), F.coalesce("files_before", F.lit(0)).alias("files_before"), F.coalesce("files_after", F.lit(0)).alias("files_after"))

@@ -79,6 +79,12 @@ def rank_normalized(df: DataFrame, col: str, *ties: str) -> DataFrame:
     return placed.withColumn("rank", F.lit(1.0) if n <= 1 else F.col("place") / F.lit(float(n - 1))).drop("place")
 
 
+def best_of(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The ``most`` rows of each key with the best scores, ties by id, with their ``place`` from 1; each task cuts to as many first."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), F.col("id").asc()))
+    return rows.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def global_place(df: DataFrame, order: list[Column]) -> DataFrame:
     """``place`` (from 0) in a global order, without one task for all rows."""
     from lumenset.functions.storage import materialize

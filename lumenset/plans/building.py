@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenset.operators import compose, scores
+from lumenset.operators import compose, hashes, issues, rules, scores, snapshots, sweeps
 from lumenset.operators import vectors as V
-from lumenset.plans.catalog import AB, AVG, query, r6
+from lumenset.functions.storage import materialize
+from lumenset.plans.catalog import AB, AVG, NEAR, query, r6
 
 # the composer's preview
 
@@ -56,3 +57,138 @@ def compose_framing(v):
     media, base, proposals = _composed(v)
     buckets = v("vector").select("id", F.concat(F.lit("f"), F.col("label").cast("string")).alias("bucket"))
     return compose.framing(media, base, proposals, buckets).withColumn("share", F.round("share", 4))
+
+
+# folder mappings
+
+FOLDERS = r"SELECT regexp_replace(regexp_replace(rel_path, '[^/]*$', ''), '/$', '') AS folder FROM {folder}"
+#: The rules before and after a mapping is applied: what a folder's name and its number of files make of it.
+MAPPED = rf"""files AS ({FOLDERS}), sizes AS (SELECT folder, count(*) AS n FROM files GROUP BY folder),
+    climb AS (SELECT folder AS descendant, folder AS ancestor FROM sizes UNION SELECT descendant, CASE WHEN contains(ancestor, '/') THEN regexp_replace(ancestor, '/[^/]*$', '') ELSE '' END FROM climb WHERE ancestor <> ''),
+    tree AS (SELECT descendant, ancestor, CASE WHEN ancestor = '' THEN 0 ELSE 1 + length(ancestor) - length(replace(ancestor, '/', '')) END AS depth FROM climb),
+    node AS (SELECT DISTINCT ancestor AS rel_path FROM tree WHERE ancestor <> ''),
+    before_ AS (SELECT rel_path, CASE WHEN contains(rel_path, '.example.net') THEN 'sublib' WHEN contains(rel_path, '.example.org/de') THEN 'exclude' ELSE 'keep' END AS mode FROM node),
+    after_ AS (SELECT rel_path, CASE WHEN contains(rel_path, '.example.net/') OR ends_with(rel_path, '.example.com') THEN 'sublib' WHEN ends_with(rel_path, '/fr') THEN 'exclude' ELSE 'keep' END AS mode FROM node),
+    o1 AS (SELECT descendant AS folder, arg_max(ancestor, depth) FILTER (WHERE mode = 'sublib') AS owner, coalesce(bool_or(mode = 'exclude'), false) AS excluded FROM tree LEFT JOIN before_ ON rel_path = ancestor GROUP BY descendant),
+    o2 AS (SELECT descendant AS folder, arg_max(ancestor, depth) FILTER (WHERE mode = 'sublib') AS owner, coalesce(bool_or(mode = 'exclude'), false) AS excluded FROM tree LEFT JOIN after_ ON rel_path = ancestor GROUP BY descendant)"""
+
+
+def _mapping(v):
+    files = v("folder").select(rules.folder_of(F.col("rel_path")).alias("folder"))
+    node = rules.closure(files).select(F.col("ancestor").alias("rel_path")).filter("rel_path <> ''").distinct()
+    p = F.col("rel_path")
+    before = F.when(p.contains(".example.net"), "sublib").when(p.contains(".example.org/de"), "exclude").otherwise("keep")
+    after = F.when(p.contains(".example.net/") | p.endswith(".example.com"), "sublib").when(p.endswith("/fr"), "exclude").otherwise("keep")
+    return files, node.select("rel_path", before.alias("mode")), node.select("rel_path", after.alias("mode"))
+
+
+@query(f"WITH RECURSIVE {MAPPED} SELECT ancestor, descendant, depth FROM tree")
+def folder_closure(v):
+    return rules.closure(_mapping(v)[0]).select("ancestor", "descendant", "depth")
+
+
+@query(f"""WITH RECURSIVE {MAPPED}, h1 AS (SELECT owner, CAST(sum(n) AS BIGINT) AS n FROM o1 JOIN sizes ON sizes.folder = o1.folder WHERE NOT excluded GROUP BY owner), h2 AS (SELECT owner, CAST(sum(n) AS BIGINT) AS n FROM o2 JOIN sizes ON sizes.folder = o2.folder WHERE NOT excluded GROUP BY owner),
+    s AS (SELECT rel_path, b.mode = 'sublib' AS was, a.mode = 'sublib' AS now FROM before_ AS b JOIN after_ AS a USING (rel_path))
+    SELECT rel_path, CASE WHEN NOT was THEN 'create' WHEN NOT now THEN 'prune' ELSE 'keep' END AS action, coalesce(h1.n, 0) AS files_before, coalesce(h2.n, 0) AS files_after FROM s LEFT JOIN h1 ON h1.owner = rel_path LEFT JOIN h2 ON h2.owner = rel_path WHERE was OR now""")
+def mapping_applied(v):
+    return rules.applied_mapping(*_mapping(v))
+
+
+@query(f"""WITH RECURSIVE {MAPPED} SELECT o1.folder, CASE WHEN NOT o1.excluded THEN o1.owner END AS was, CASE WHEN NOT o2.excluded THEN o2.owner END AS now, o1.excluded AS was_excluded, o2.excluded AS now_excluded FROM o1 JOIN o2 ON o1.folder = o2.folder
+    WHERE CASE WHEN NOT o1.excluded THEN o1.owner END IS DISTINCT FROM CASE WHEN NOT o2.excluded THEN o2.owner END OR o1.excluded <> o2.excluded""")
+def mapping_rerouted(v):
+    files, before, after = _mapping(v)
+    return rules.rerouted(files, before, after)
+
+
+# sweeps
+
+CLEANED = """t AS (SELECT caption_id AS media_id, revision_id, coalesce(content, '') AS content FROM {revision}), m AS (SELECT id FROM {media} UNION SELECT DISTINCT caption_id FROM {revision}),
+    gone AS (SELECT 'media' AS category, id AS a, 0 AS b, 0 AS bytes FROM m WHERE id NOT IN (SELECT media_id FROM {media_file}) AND id NOT IN (SELECT media_id FROM {dataset_media})
+      UNION ALL SELECT 'dataset_captions', media_id, 0, sum(octet_length(encode(content))) FROM t WHERE media_id NOT IN (SELECT media_id FROM {dataset_media}) GROUP BY media_id
+      UNION ALL SELECT 'captions', media_id, revision_id, octet_length(encode(content)) FROM t WHERE (media_id, revision_id) NOT IN (SELECT caption_id, head FROM {caption} UNION SELECT caption_id, revision_id FROM {pin}))"""
+
+
+def _marks(v):
+    revisions = v("revision").select(F.col("caption_id").alias("media_id"), "revision_id", F.coalesce("content", F.lit("")).alias("content"))
+    media = v("media").select("id").union(revisions.select("media_id")).distinct()
+    heads = v("caption").select(F.col("caption_id").alias("media_id"), F.col("head").alias("revision_id"))
+    return sweeps.marked(media, v("media_file"), v("dataset_media"), revisions, heads, v("pin").select(F.col("caption_id").alias("media_id"), "revision_id"))
+
+
+@query(f"""WITH {CLEANED}, w AS (SELECT 'quality' AS category, count(*) AS n, 8 * count(*) AS bytes FROM {{score}} UNION ALL SELECT 'embeddings', count(*), sum(4 * len(vector)) FROM {{vector}} UNION ALL SELECT 'claims', count(*), 8 * count(*) FROM {{claim}}),
+    s AS (SELECT c.category, count(a) AS n, coalesce(sum(bytes), 0) AS bytes FROM (SELECT unnest(['media', 'captions', 'dataset_captions']) AS category) AS c LEFT JOIN gone AS g ON g.category = c.category GROUP BY c.category)
+    SELECT category, CAST(n AS BIGINT) AS n, CAST(bytes AS BIGINT) AS bytes, true AS vacuumed FROM (SELECT * FROM s UNION ALL SELECT * FROM w) AS x""")
+def cleanup_report(v):
+    whole = {"quality": (v("score"), F.lit(8)), "embeddings": (v("vector"), 4 * F.size("vector")), "claims": (v("claim"), F.lit(8))}
+    return sweeps.cleanup_report(_marks(v), whole)
+
+
+@query(f"""WITH {CLEANED} SELECT media_id, revision_id, content FROM t WHERE (media_id, revision_id) NOT IN (SELECT a, b FROM gone WHERE category = 'captions') AND media_id NOT IN (SELECT a FROM gone WHERE category = 'dataset_captions')""")
+def cleanup_purge(v):
+    gone = sweeps.swept(_marks(v))
+    revisions = v("revision").select(F.col("caption_id").alias("media_id"), "revision_id", F.coalesce("content", F.lit("")).alias("content"))
+    return sweeps.purged(sweeps.purged(revisions, gone, "captions", b="revision_id"), gone, "dataset_captions")
+
+
+# replays
+
+#: The library as it was before the last days, and now: each part's lines.
+LINES = "SELECT CAST(l_partkey AS BIGINT) AS id, l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem"
+REPLAYED = """SELECT i.id, p_brand AS bucket, i.n, round(i.score, 4) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY i.score DESC, i.id) AS place
+    FROM (SELECT CAST(l_partkey AS BIGINT) AS id, count(*) AS n, 2 * avg(l_quantity) AS score FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_shipdate >= '2001-10-28') GROUP BY l_partkey) AS i JOIN part ON p_partkey = i.id"""
+
+
+@query(f"SELECT id, bucket, n, score, place FROM ({REPLAYED}) AS r WHERE place <= 5")
+def recipe_replay(v):
+    """The five best parts of each brand after lines came and went: only changed parts are scored anew, and only their brands picked anew."""
+    line = v("lineitem").select(F.col("l_partkey").cast("long").alias("id"), "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+    late = F.col("l_shipdate") >= F.lit("2001-10-28").cast("timestamp_ntz")
+    old, new = line.filter(~late | (F.col("l_returnflag") == "R")), line.filter(~(late & (F.col("l_returnflag") == "R")))
+    brands = v("part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_brand").alias("bucket"))
+    scored = lambda lines: lines.groupBy("id").agg(F.count("*").alias("n"), (2 * F.avg("l_quantity")).alias("score"))
+    best = lambda index: scores.best_of(index.join(brands, "id"), "bucket", 5).select("id", "bucket", "n", "score", "place")
+    index = materialize(scored(old), "index")
+    picks = materialize(best(index), "picks")
+    changed = materialize(snapshots.difference(old, new, ["id"]), "changed")
+    index = snapshots.refreshed(index, changed, ["id"], lambda keys: scored(new.join(keys, "id", "left_semi")), "index")
+    touched = snapshots.dependants(changed, brands, ["id"], ["bucket"])
+    again = lambda keys: best(index.join(brands.join(keys, "bucket", "left_semi").select("id"), "id", "left_semi"))
+    return snapshots.refreshed(picks, touched, ["bucket"], again, "picks").select("id", "bucket", "n", F.round("score", 4).alias("score"), "place")
+
+
+# issues
+
+ISSUES = f"""SELECT 'dup:' || CAST(p.a AS VARCHAR(20)) || ':' || CAST(p.b AS VARCHAR(20)) AS key, p.c AS value, 90 + greatest(0, (c - 0.35) * 100) AS impact, p.a, p.b
+    FROM (SELECT a.id AS a, b.id AS b, {AB} AS c FROM {{vector}} AS a JOIN {{vector}} AS b ON a.id < b.id) AS p WHERE c >= 0.35"""
+
+
+def _pair_issues(v):
+    q = scores.average_scores(v("score"), v("metric")).select(F.col("media_id").alias("id"), r6("score"))
+    known = v("vector").select("id").join(q, "id", "left").withColumn("area", F.lit(None).cast("long"))
+    none = v.spark.createDataFrame([], "id long, representative long, similarity long")
+    return issues.near_duplicate_issues(V.cosine_pairs(v("vector"), 0.35), none, known, 0.35)
+
+
+@query(f"""WITH i AS ({ISSUES}), q AS ({AVG}) SELECT key, round(value, 4) AS value, round(impact, 3) AS impact, CASE WHEN coalesce(x.score, -1) >= coalesce(y.score, -1) THEN a ELSE b END AS keep FROM i LEFT JOIN q AS x ON x.media_id = a LEFT JOIN q AS y ON y.media_id = b""")
+def pair_issues(v):
+    return _pair_issues(v).select("key", F.round("value", 4).alias("value"), F.round("impact", 3).alias("impact"), F.col("ids")[0].alias("keep"))
+
+
+@query(f"""WITH n AS ({NEAR}), d AS (SELECT id, 1 - avg(cosine) AS distance, string_agg(CAST(other AS VARCHAR(20)), ',' ORDER BY k) AS nearest FROM n WHERE k <= 3 GROUP BY id), l AS (SELECT avg(distance) + 1.5 * stddev_pop(distance) AS bar FROM d)
+    SELECT 'out:' || CAST(id AS VARCHAR(20)) AS key, round(distance, 4) AS value, round(40 + least(20, (distance - bar) * 20), 3) AS impact, nearest FROM d, l WHERE distance > bar""".replace("FROM d, l WHERE distance > bar", "FROM d JOIN l ON distance > bar"))
+def outlier_issues(v):
+    out = issues.outlier_issues(v("vector"), 1.5)
+    return out.select("key", F.round("value", 4).alias("value"), F.round("impact", 3).alias("impact"), F.array_join("nearest", ",").alias("nearest"))
+
+
+#: What people decided in the course of time, as events tell: of a user's pair of numbers, by a digit of the value.
+DECIDED = """SELECT 'u' || CAST(user_id AS VARCHAR(20)) AS key, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR(20)) AS fingerprint, CASE event_type WHEN 'click' THEN NULL ELSE event_type END AS resolution, CAST(event_id AS BIGINT) AS version FROM {events}"""
+REPORTED = """SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR(20)) AS key, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR(20)) AS fingerprint, CAST(event_id AS BIGINT) + 200 AS report FROM {events}"""
+
+
+@query(f"""WITH r AS ({DECIDED}), i AS ({REPORTED}), l AS (SELECT i.key, i.fingerprint, report, max(version) AS version FROM i LEFT JOIN r ON r.key = i.key AND version <= report GROUP BY i.key, i.fingerprint, report)
+    SELECT l.key, l.fingerprint, report, CASE WHEN r.resolution IS NULL THEN 'open' WHEN r.fingerprint IS NOT DISTINCT FROM l.fingerprint THEN 'resolved' ELSE 'changed' END AS state,
+    CASE WHEN r.fingerprint IS NOT DISTINCT FROM l.fingerprint THEN r.resolution END AS resolution, CASE WHEN r.resolution IS NOT NULL THEN l.version END AS version FROM l LEFT JOIN r ON r.key = l.key AND r.version = l.version""")
+def resolutions_in_force(v):
+    return issues.in_force(v.spark.sql(REPORTED, events=v("events")), v.spark.sql(DECIDED, events=v("events")))
