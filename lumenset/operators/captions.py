@@ -117,6 +117,26 @@ def strip_reasoning(text: Column) -> Column:
     return stripped(F.regexp_replace(F.when(final != "", final).otherwise(out), RESIDUE, ""))
 
 
+def judgement(raw: Column) -> Column:
+    """A judge's verdict out of free text: a struct of violates, note and corrected_caption; null where no JSON object begins at the first brace.
+
+    What comes before the object, fences and what follows it don't count; braces in strings don't either. ``violates`` is true for all that
+    isn't false, null, zero or empty; ``note`` is trimmed; a correction that isn't a text is null.
+    """
+    whole = F.get_json_object(F.when(F.instr(raw, "{") > 0, F.substring(raw, F.instr(raw, "{"), F.length(raw))), "$")  # ends with the object
+    own = F.try_parse_json(whole)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(own, path, "variant"))
+    text = lambda path: F.try_variant_get(own, path, "string")
+    said = text("$.violates")
+    empty = F.when(kind("$.violates") == "BOOLEAN", said == "false").when(kind("$.violates") == "VOID", True).otherwise(said.isin("", "[]", "{}") | (said.try_cast("double") == 0).eqNullSafe(True) & (kind("$.violates") != "STRING"))
+    note = F.when(kind("$.note").isin("VOID") | text("$.note").isin("false", "0", "[]", "{}") & (kind("$.note") != "STRING"), "").otherwise(stripped(text("$.note")))
+    fields = [
+        (said.isNotNull() & ~F.coalesce(empty, F.lit(True))).alias("violates"), F.coalesce(note, F.lit("")).alias("note"),
+        F.when(kind("$.corrected_caption") == "STRING", stripped(text("$.corrected_caption"))).alias("corrected_caption"),
+    ]
+    return F.when(own.isNotNull(), F.struct(*fields))
+
+
 def _claims(raw: str | None) -> list[dict]:
     """A JSON array of claims where there is one, else lines; a claim needs a letter."""
     raw = raw or ""

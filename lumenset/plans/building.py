@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenset.operators import compose, hashes, issues, rules, scores, snapshots, sweeps
-from lumenset.operators import vectors as V
 from lumenset.functions.storage import materialize
+from lumenset.operators import captions as C
+from lumenset.operators import compose, filters, issues, lifecycles, rules, scores, snapshots, swaps, sweeps
+from lumenset.operators import vectors as V
 from lumenset.plans.catalog import AB, AVG, NEAR, query, r6
 
 # the composer's preview
@@ -192,3 +193,57 @@ REPORTED = """SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR(20)) AS key, CAST(C
     CASE WHEN r.fingerprint IS NOT DISTINCT FROM l.fingerprint THEN r.resolution END AS resolution, CASE WHEN r.resolution IS NOT NULL THEN l.version END AS version FROM l LEFT JOIN r ON r.key = l.key AND r.version = l.version""")
 def resolutions_in_force(v):
     return issues.in_force(v.spark.sql(REPORTED, events=v("events")), v.spark.sql(DECIDED, events=v("events")))
+
+
+# swaps
+
+#: Members of the first set whose place is asked for, some with a search; newcomers are in no set's first place.
+ASKED = "SELECT DISTINCT d.media_id AS id, CASE WHEN m.favorite THEN m.name END AS q FROM {dataset_media} AS d JOIN {media} AS m ON m.id = d.media_id JOIN {vector} AS v ON v.id = d.media_id WHERE d.dataset_id = 1"
+NEWCOMERS = "SELECT id, name FROM {live_media} WHERE id NOT IN (SELECT media_id FROM {dataset_media} WHERE dataset_id = 1)"
+
+
+@query()
+def swap_candidates(v):
+    asked = v.spark.sql(ASKED, dataset_media=v("dataset_media"), media=v("media"), vector=v("vector"))
+    new = filters.within(filters.live_scope(v("media")), v("dataset_media").filter("dataset_id = 1"), inside=False).select("id", "name")
+    out = swaps.assigned(swaps.swap_lists(asked, new, v("media_tag"), v("vector")))
+    return out.select("id", "other", "points", F.round("cosine", 6).alias("cosine"), "why")
+
+
+@query(f"""WITH a AS ({ASKED}), n AS ({NEWCOMERS}), t AS (SELECT DISTINCT id, unnest(string_split_regex(lower(q), '[^a-z0-9_]+')) AS token FROM a WHERE q IS NOT NULL),
+    g AS (SELECT t.id, n.id AS other, count(DISTINCT token) AS k FROM t JOIN {{media_tag}} AS m ON contains(lower(m.name), token) JOIN n ON n.id = m.media_id WHERE token <> '' GROUP BY t.id, n.id),
+    w AS (SELECT DISTINCT t.id, n.id AS other FROM t JOIN n ON contains(lower(n.name), token) WHERE token <> '')
+    SELECT coalesce(g.id, w.id) AS id, coalesce(g.other, w.other) AS other, CAST(2 * coalesce(k, 0) + CASE WHEN w.id IS NOT NULL THEN 1 ELSE 0 END AS INT) AS points FROM g FULL JOIN w ON w.id = g.id AND w.other = g.other WHERE coalesce(g.id, w.id) <> coalesce(g.other, w.other)""")
+def swap_searches(v):
+    asked = v.spark.sql(ASKED, dataset_media=v("dataset_media"), media=v("media"), vector=v("vector"))
+    new = filters.within(filters.live_scope(v("media")), v("dataset_media").filter("dataset_id = 1"), inside=False).select("id", "name")
+    return swaps.searched(asked.filter("q is not null"), new, v("media_tag")).select("id", "other", F.col("points").cast("int").alias("points"))
+
+
+# lifecycles
+
+#: A user's events as those of a zone: its box and patch follow from the value.
+ZONE_LOG = """SELECT CAST(user_id AS BIGINT) AS zone_id, CAST(user_id AS BIGINT) AS media_id, CAST(event_id AS BIGINT) AS seq, CASE event_type WHEN 'signup' THEN 'detect' WHEN 'view' THEN 'move' WHEN 'purchase' THEN 'patch' WHEN 'error' THEN 'delete' ELSE 'restore' END AS kind,
+    value / 400 AS x, value / 500 AS y, value / 300 AS w, 0.25 AS h, 'p' || CAST(event_id AS VARCHAR(20)) AS patch_sha FROM {events}"""
+
+
+@query(f"""WITH e AS ({ZONE_LOG}), f AS (SELECT zone_id, max(seq) FILTER (WHERE kind IN ('detect', 'move')) AS box, max(seq) FILTER (WHERE kind = 'detect') AS made, coalesce(max(seq) FILTER (WHERE kind = 'patch'), -1) AS patch, coalesce(max(seq) FILTER (WHERE kind = 'restore'), -1) AS restored,
+      coalesce(max(seq) FILTER (WHERE kind = 'delete'), -1) AS deleted, arg_max(x, seq) FILTER (WHERE kind IN ('detect', 'move')) AS x, arg_max(y, seq) FILTER (WHERE kind IN ('detect', 'move')) AS y, arg_max(w, seq) FILTER (WHERE kind IN ('detect', 'move')) AS w, arg_max(patch_sha, seq) FILTER (WHERE kind = 'patch') AS sha FROM e GROUP BY zone_id),
+    s AS (SELECT *, patch > box AND patch > restored AND patch > deleted AS patched, least(1, greatest(0.005, w)) AS w2 FROM f WHERE made > deleted)
+    SELECT zone_id, zone_id AS media_id, round(least(greatest(0, x), 1 - w2), 6) AS x, round(least(greatest(0, y), 0.75), 6) AS y, round(w2, 6) AS w, CAST(0.25 AS DOUBLE) AS h, CASE WHEN patched THEN 'patched' ELSE 'detected' END AS status, CASE WHEN patched THEN sha END AS patch_sha FROM s""")
+def zone_states(v):
+    log = v.spark.sql(ZONE_LOG, events=v("events")).withColumn("h", F.lit(0.25))
+    out = lifecycles.zone_states(lifecycles.zone_facts(log))
+    return out.select("zone_id", "media_id", *[F.round(c, 6).alias(c) for c in "xyw"], "h", "status", "patch_sha")
+
+
+#: Judges' answers: a verdict on each caption's text, in prose and fences.
+ANSWERED = "SELECT caption_id, revision_id, content, length(content) % 3 = 0 AS violates FROM {revision}"
+
+
+@query(f"SELECT caption_id, revision_id, violates, trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS note, CASE WHEN violates THEN trim(content, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS corrected_caption FROM ({ANSWERED}) AS a")
+def judgements(v):
+    a = v.spark.sql(ANSWERED, revision=v("revision"))
+    verdict = F.to_json(F.struct("violates", F.col("content").alias("note"), F.when(F.col("violates"), F.col("content")).alias("corrected_caption")), {"ignoreNullFields": "false"})
+    raw = F.concat(F.lit("Here it is:\n```json\n"), verdict, F.lit("\n```\nas {asked}."))
+    return a.select("caption_id", "revision_id", C.judgement(raw).alias("j")).select("caption_id", "revision_id", "j.*")
