@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from lumenset.llm.common import WORD, free_name, materialize
+from lumenset.llm.common import WORD, discard, free_name, materialize
 from lumenset.operators.scores import global_place
 
 
@@ -42,35 +41,37 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return sources.select("source", "source_size", target.cast("double").alias("target"))
 
 
-#: Draws fall into so many parts; a source's words in each tell where its draws' threshold lies.
-PARTS = 4096
+#: Seeds that a source's draws may have.
+SEEDS = 64
+
+
+def _draw(key: Column, seed: Column) -> Column:
+    """A number from 0 to 1 that a row's hash and a seed give."""
+    return F.pmod(F.xxhash64(key, seed), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
 def mixed_rows(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights=(5, 2, 1), most: float = 3.0) -> DataFrame:
     """``docs`` with one more column (struct ``mix``: size, source_size, target, copies).
 
-    A source's rate is its target over its size; each row is taken floor(rate) times, and once more if a number drawn
-    from its key, text and the seed is under a threshold. That is the rate's fraction, moved to where the words of the
-    source's rows with lesser draws come to that fraction of its size, so that small sources come near their targets too.
-    Reruns agree, and no source is gathered: its words are summed by ``PARTS`` parts of the draws. Repeated rows draw the
+    A source's rate is its target over its size; each row is taken floor(rate) times, and once more with the rate's fraction
+    as its probability: if the number drawn from its key, text and a seed is under it. Each source has the one of ``SEEDS`` seeds
+    whose draws bring its words nearest to its target, so that small sources come near theirs too; for a given seed every
+    row's draw is its own. Reruns agree, and no source is gathered: the words that each seed would take are summed up before the shuffle. Repeated rows draw the
     same number. Null texts have size 0, null sources are a source. The table of sources is joined as Spark sees fit.
     """
     mix = free_name(docs, "mix")
-    size = n_words(F.col(text_col))
-    draw = F.pmod(F.xxhash64(F.col(key_col), F.col(text_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    parts = docs.select(F.col(source_col).alias("source"), F.floor(draw * PARTS).alias("part"), size.alias("size")).groupBy("source", "part").agg(F.sum("size").alias("words"))
-    parts = materialize(parts, "parts")
-    sizes = materialize(parts.groupBy("source").agg(F.sum("words").alias("source_size")), "sizes")
-    targets = source_targets(sizes, weights, most)
+    size, key = n_words(F.col(text_col)), F.xxhash64(F.col(key_col), F.col(text_col), F.lit(seed))
+    rows = materialize(docs.select(F.col(source_col).alias("s"), size.alias("size"), key.alias("key")), "sizes")
+    sizes = materialize(rows.groupBy(F.col("s").alias("source")).agg(F.sum("size").alias("source_size")), "sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    need = (rate - F.floor(rate)) * F.col("source_size")
-    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    reached = parts.withColumn("before", before).withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
-    within = (F.col("part") + F.least(F.lit(1.0), (need - F.col("before")) / F.col("words"))) / PARTS
-    reached = reached.groupBy("source", "source_size", "target").agg(F.max(F.when((F.col("before") < need) & (F.col("words") > 0), within)).alias("under"))
-    reached = materialize(reached.select("source", "source_size", "target", F.floor(rate).alias("whole"), F.coalesce("under", F.lit(0.0)).alias("under")), "targets")
-    own = docs.join(reached.select(F.struct("*").alias(mix)), F.col(source_col).eqNullSafe(F.col(f"{mix}.source")), "left")
-    copies = F.col(f"{mix}.whole") + (draw < F.col(f"{mix}.under")).cast("long")
+    targets = materialize(source_targets(sizes, weights, most).select("source", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part")), "targets")
+    taken = [F.sum(F.when(_draw(F.col("key"), F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"w{k}") for k in range(SEEDS)]
+    sums = rows.join(targets, F.col("s").eqNullSafe(F.col("source"))).groupBy("source", "source_size", "target", "whole", "part").agg(*taken)
+    off = [F.struct(F.abs(F.col(f"w{k}") - F.col("part") * F.col("source_size")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)]
+    chosen = materialize(sums.select("source", "source_size", "target", "whole", "part", F.least(*off)["seed"].alias("seed")), "seeds")
+    own = docs.join(chosen.select(F.struct("*").alias(mix)), F.col(source_col).eqNullSafe(F.col(f"{mix}.source")), "left")
+    copies = F.col(f"{mix}.whole") + (_draw(key, F.col(f"{mix}.seed")) < F.col(f"{mix}.part")).cast("long")
+    discard(rows)
     return own.select(*docs.columns, F.struct(size.alias("size"), F.col(f"{mix}.source_size"), F.col(f"{mix}.target"), copies.alias("copies")).alias(mix))
 
 
