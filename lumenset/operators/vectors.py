@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from lumenset.functions.arrays import matrix
+from lumenset.functions.storage import materialize
 from lumenset.operators.scores import global_place
 
 #: Spread window, neighbours, sigma of outliers, gain radius, map and grid sizes.
@@ -24,57 +28,133 @@ def cosine(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _blocks(vectors: DataFrame, block: int, n: int | None = None) -> DataFrame:
-    """Each row once for every pair of blocks (i <= j) that its block is in; a block is a hash class of about ``block`` rows.
+#: Centres of the tiles, the bounded sample that they are chosen of, and what rounding may do to an angle.
+CENTRES, SAMPLED, SLACK = 32, 2048, 1e-6
 
-    Rows without a vector are left out.
+
+class Tiles:
+    """Unit vectors in tiles around centres, with the widest angle of each centre's vectors.
+
+    By the triangle inequality of angles, no vector of a centre is nearer to another vector than the angle between that one and
+    the centre less the centre's widest, so tiles that can't matter are never compared. Centres are chosen of a bounded sample (the vectors with
+    the least hashes of ids), each the farthest from those before.
     """
-    vectors = vectors.filter(F.col("vector").isNotNull())
-    n = n or max(1, -(-vectors.count() // block))
-    b = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(F.least(i, b).alias("i"), F.greatest(i, b).alias("j")))
-    return vectors.select("id", unit().alias("u"), b.alias("b"), F.explode(pairs).alias("p")).select("id", "u", "b", "p.i", "p.j")
+
+    def __init__(self, vectors: DataFrame, block: int):
+        own = vectors.filter(F.col("vector").isNotNull()).select("id", unit().alias("u"))
+        sample = own.select("u", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLED).toArrow()
+        x, _ = matrix(sample["u"])
+        n = own.count() if len(x) == SAMPLED else len(x)
+        chosen = x[:1]
+        while 0 < len(chosen) < min(CENTRES, 4 * n // block, len(x) // 16):  # a quarter of a block for each, or more
+            far = (x @ chosen.T).max(axis=1)
+            if far.min() > 1 - 1e-9:
+                break
+            chosen = np.vstack([chosen, x[far.argmin()]])
+        centres = self.centres = chosen if len(chosen) else np.zeros((1, 1))
+
+        @F.pandas_udf("array<double>")
+        def angles(u):
+            v, _ = matrix(pa.array(u), centres.shape[1])
+            c = np.pad(centres, ((0, 0), (0, v.shape[1] - centres.shape[1])))
+            return pd.Series(list(np.arccos(np.clip(v @ c.T, -1, 1))), index=u.index)
+
+        own = own.withColumn("angles", angles("u")).withColumn("c", (F.array_position("angles", F.array_min("angles")) - 1).cast("int"))
+        self.rows = materialize(own, "tiles")
+        found = {r.c: (r.n, r.wide) for r in self.rows.groupBy("c").agg(F.count("*").alias("n"), F.max(F.get("angles", F.col("c"))).alias("wide")).collect()}  # a row a centre
+        self.wide = {c: wide + SLACK for c, (_, wide) in sorted(found.items())}
+        self.first, self.size, self.number = {}, {}, 0
+        for c, (n, _) in sorted(found.items()):
+            self.first[c], self.size[c] = self.number, -(-n // block)
+            self.number += self.size[c]
+        if found:
+            self.rows = self.rows.withColumn("tile", (self.of(self.first) + F.pmod(F.xxhash64("id"), self.of(self.size))).cast("int"))
+        else:
+            self.rows = self.rows.withColumn("tile", F.lit(0))
+
+    def of(self, values: dict) -> Column:
+        """What a row's centre has."""
+        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("c")]
+
+    def tiles_of(self, centres: list[int]) -> list[int]:
+        return [t for c in centres for t in range(self.first[c], self.first[c] + self.size[c])]
+
+    def in_reach(self, angle: float) -> dict[int, list[int]]:
+        """For each centre the tiles that may have a vector within ``angle`` of one of its own."""
+        between = np.arccos(np.clip(self.centres @ self.centres.T, -1, 1))
+        return {c: self.tiles_of([o for o in self.first if o == c or between[c, o] - self.wide[c] - self.wide[o] <= angle + SLACK]) for c in self.first}
+
+
+def _stack(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy())
 
 
 def cosine_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b with cosine of at least ``least``: matrix products of pairs of blocks."""
+    """(a, b, cosine) of all pairs a < b with cosine of at least ``least``: matrix products of pairs of tiles.
+
+    Tiles whose angles rule such a pair out don't meet; each pair of the others does once. Rows without a vector are left out.
+    """
+    tiles = Tiles(vectors, block)
+    if not tiles.number:
+        return tiles.rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("cosine"))
+    reach = tiles.in_reach(float(np.arccos(np.clip(least, -1, 1))))
+    others = F.create_map(*[x for c, t in reach.items() for x in (F.lit(c), F.array(*[F.lit(k) for k in t]))])[F.col("c")]
+    dealt = tiles.rows.select("id", "u", "tile", F.explode(others).alias("o")).select("id", "u", "tile", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        out = []
-        if len(x) and len(y):
-            m = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T
-            r, c = np.nonzero(m >= least)
-            a, b = x["id"].to_numpy()[r], y["id"].to_numpy()[c]
-            keep = (a < b) if i == j else (a != b)
-            out = np.column_stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), m[r, c][keep]
-        return pd.DataFrame({"a": out[0][:, 0], "b": out[0][:, 1], "cosine": out[1]}) if len(out) else pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+        x, y = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+        m = _stack(x["u"]) @ _stack(y["u"]).T
+        r, c = np.nonzero(m >= least)
+        a, b = x["id"].to_numpy()[r], y["id"].to_numpy()[c]
+        keep = (a < b) if i == j else (a != b)
+        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": m[r, c][keep]})
+
+    return dealt.groupBy("i", "j").applyInPandas(run, "a long, b long, cosine double")
 
-    return _blocks(vectors, block).groupBy("i", "j").applyInPandas(run, "a long, b long, cosine double")
+
+def _best_of(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, block: int = 2048) -> DataFrame:
-    """(id, other, cosine, rank) of the k nearest others: the best k of each pair of blocks, then the best of those."""
+    """(id, other, cosine, rank) of the k nearest others, ties by id.
+
+    First each vector's nearest of its own tile; then it goes to those tiles alone in which, by their centre's angle and width, something may
+    be as near as the k-th of these. A tile that many ask meets them in groups.
+    """
+    tiles = Tiles(vectors, block)
+    if not tiles.number:
+        return tiles.rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cosine"), F.lit(0).cast("long").alias("rank"))
+    schema = "id long, other long, cosine double"
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.sort_values("id")
+        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
+        m = _stack(x["u"]) @ _stack(y["u"]).T
+        m = np.where(ids[:, None] == others[None, :], -np.inf, m)
+        top = np.argsort(-m, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"id": np.repeat(ids, top.shape[1]), "other": others[top].ravel(), "cosine": np.take_along_axis(m, top, 1).ravel()})
+        return out[np.isfinite(out["cosine"])]
+
+    own = materialize(tiles.rows.groupBy("tile").applyInPandas(lambda pdf: best(pdf, pdf), schema), "own-tile")
+    kth = own.groupBy("id").agg(F.when(F.count("*") >= k, F.min("cosine")).otherwise(-2.0).alias("kth"))
+    able = [F.when(F.cos(F.greatest(F.lit(0.0), F.get("angles", F.lit(c)) - w)) >= F.col("kth") - SLACK, F.array(*[F.lit(t) for t in tiles.tiles_of([c])])).otherwise(F.array().cast("array<int>")) for c, w in tiles.wide.items()]
+    asked = tiles.rows.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0))).select("id", "u", "tile", F.explode(F.flatten(F.array(*able))).alias("at")).filter("at <> tile").select("id", "u", "at")
+    asked = materialize(asked, "asked")
+    groups = asked.groupBy("at").agg(F.ceil(F.count("*") / block).cast("int").alias("groups"))  # a row a tile
+    asks = asked.join(groups, "at").select("id", "u", "at", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("g"), F.lit(True).alias("asks"))
+    held = tiles.rows.withColumnRenamed("tile", "at").join(groups, "at").select("id", "u", "at", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(False).alias("asks"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        sides, rows = {b: pdf[pdf["b"] == b].sort_values("id") for b in (i, j)}, []
-        for own, other in {(i, j), (j, i)}:
-            x, y = sides[own], sides[other]
-            if not len(x) or not len(y):
-                continue
-            m, ids, others = np.stack(x["u"].to_numpy()) @ np.stack(y["u"].to_numpy()).T, x["id"].to_numpy(), y["id"].to_numpy()
-            m = np.where(ids[:, None] == others[None, :], -np.inf, m)
-            best = np.argsort(-m, axis=1, kind="stable")[:, :k]
-            rows.append(pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "other": others[best].ravel(), "cosine": np.take_along_axis(m, best, 1).ravel()}))
-        out = pd.concat(rows) if rows else pd.DataFrame({"id": [], "other": [], "cosine": []})
-        return out[np.isfinite(out["cosine"])].astype({"id": "int64", "other": "int64", "cosine": "float64"})
-
-    found = _blocks(vectors, block).groupBy("i", "j").applyInPandas(run, "id long, other long, cosine double")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k)
-    best = found.groupBy("id").agg(top.alias("top"))  # k rows from each pair of blocks
-    return best.select("id", F.posexplode("top").alias("rank", "t")).select("id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("cosine"), (F.col("rank") + 1).cast("long").alias("rank"))
+        x, y = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        return best(x, y) if len(x) and len(y) else pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
+
+    found = own.unionByName(asks.unionByName(held).groupBy("at", "g").applyInPandas(run, schema))
+    return _best_of(found, k).select("id", "other", "cosine", F.col("rank").cast("long").alias("rank"))
 
 
 def outliers(vectors: DataFrame, sigma: float = SIGMA, k: int = NEIGHBOURS) -> DataFrame:
@@ -117,9 +197,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -
         return out[np.isfinite(out["cosine"])]
 
     found = dealt.groupBy("i", "j").applyInPandas(run, "id long, other long, cosine double")
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k)
-    best = found.groupBy("id").agg(top.alias("top"))  # k rows from each block of vectors
-    return best.select("id", F.explode("top").alias("t")).select("id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("cosine"))
+    return _best_of(found, k).select("id", "other", "cosine")
 
 
 def best_reference(vectors: DataFrame, references: DataFrame) -> DataFrame:

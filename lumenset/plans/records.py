@@ -183,6 +183,15 @@ def keep_best(v):
     return hashes.keep_best(hashes.lookalike_groups(hashes.sign_hashes(v("vector")), 20))
 
 
+@query(f"""WITH RECURSIVE {GROUPS}, q AS ({AVG}), k AS (SELECT g.id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY coalesce(m.favorite, false) DESC, coalesce(q.score, -1) DESC, coalesce(width * height, 0) DESC, g.id) AS n
+    FROM g LEFT JOIN {{media}} AS m ON m.id = g.id LEFT JOIN q ON q.media_id = g.id) SELECT id, group_id, first_value(id) OVER (PARTITION BY group_id ORDER BY n) AS representative FROM k""")
+def ranked_groups(v):
+    """Groups of lookalikes with the medium to keep: a favourite, else the best."""
+    q = scores.average_scores(v("score"), v("metric")).select(F.col("media_id").alias("id"), F.round("score", 6).alias("score"))
+    rank = v("media").select("id", "favorite", (F.col("width") * F.col("height")).alias("area")).join(q, "id", "left")
+    return hashes.lookalike_groups(hashes.sign_hashes(v("vector")), 20, rank).select("id", "group_id", "representative")
+
+
 @query(f"WITH RECURSIVE {GROUPS} SELECT round(100.0 * (1 - (SELECT count(*) - count(DISTINCT group_id) FROM g) / (SELECT count(*) FROM {{vector}})), 6) AS uniqueness")
 def perceptual_uniqueness(v):
     own = hashes.sign_hashes(v("vector"))
