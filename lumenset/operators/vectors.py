@@ -170,7 +170,7 @@ def spread(vectors: DataFrame, window: tuple[float, float] = SPREAD) -> DataFram
     row = parts.agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("q"), F.max("n").alias("n"))
     mean = F.when(F.col("n") > 1, 1 - (F.col("ss") - F.col("q")) / (F.col("n") * (F.col("n") - 1)))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (mean - window[0]) / (window[1] - window[0])))
-    return row.select("n", mean.alias("mean_distance"), score.alias("spread"))
+    return row.select("n", mean.alias("mean_distance"), F.when(mean.isNotNull(), score).alias("spread"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from lumenset.functions.storage import materialize
 from lumenset.operators import captions as C
-from lumenset.operators import compose, filters, issues, lifecycles, rules, scores, snapshots, swaps, sweeps
+from lumenset.operators import compose, filters, issues, lifecycles, report, rules, scores, snapshots, swaps, sweeps
 from lumenset.operators import vectors as V
-from lumenset.plans.catalog import AB, AVG, NEAR, query, r6
+from lumenset.plans.catalog import AB, AVG, NEAR, ORACLES, query, r6
 
 # the composer's preview
 
@@ -247,3 +247,57 @@ def judgements(v):
     verdict = F.to_json(F.struct("violates", F.col("content").alias("note"), F.when(F.col("violates"), F.col("content")).alias("corrected_caption")), {"ignoreNullFields": "false"})
     raw = F.concat(F.lit("Here it is:\n```json\n"), verdict, F.lit("\n```\nas {asked}."))
     return a.select("caption_id", "revision_id", C.judgement(raw).alias("j")).select("caption_id", "revision_id", "j.*")
+
+
+# the quality report
+
+SECOND = "list_transform(vector[1:8], lambda x: CAST(x AS DOUBLE))"
+REPORT = f"""mem AS (SELECT DISTINCT dataset_id, media_id AS id FROM {{dataset_media}}), cap AS (SELECT media_id AS id, caption FROM {{caption_text}}), bad AS (SELECT media_id AS id FROM (<codes>) AS c WHERE issues <> 'empty'),
+    own AS (SELECT mem.dataset_id, m.id, m.sha256, m.width, m.height, q.score, coalesce(trim(c.caption) <> '', false) AS captioned, coalesce(trim(c.caption) <> '', false) AND b.id IS NOT NULL AS bad
+      FROM mem JOIN {{media}} AS m ON m.id = mem.id LEFT JOIN ({AVG}) AS q ON q.media_id = m.id LEFT JOIN cap AS c ON c.id = m.id LEFT JOIN bad AS b ON b.id = m.id),
+    base AS (SELECT dataset_id, count(*) AS images, avg(score) AS quality, avg(score) FILTER (WHERE score >= 70) AS kept, count(*) FILTER (WHERE score < 70) AS low_quality, count(*) FILTER (WHERE captioned) AS captioned, count(*) FILTER (WHERE bad) AS degenerate,
+      count(sha256) - count(DISTINCT sha256) AS copies, count(DISTINCT sha256) AS kinds, count(*) FILTER (WHERE width IS NOT NULL AND height IS NOT NULL) AS sized, count(*) FILTER (WHERE greatest(width, height) >= 1024 AND width IS NOT NULL AND height IS NOT NULL) AS large FROM own GROUP BY dataset_id),
+    u AS (SELECT id, unnest(range(64)) AS i, unnest(list_transform(vector, lambda x: CAST(x AS DOUBLE))) / sqrt(list_dot_product(list_transform(vector, lambda x: CAST(x AS DOUBLE)), list_transform(vector, lambda x: CAST(x AS DOUBLE)))) AS x FROM {{vector}}),
+    w AS (SELECT id, unnest(range(8)) AS i, unnest({SECOND}) / sqrt(list_dot_product({SECOND}, {SECOND})) AS x FROM {{vector}}),
+    far AS (SELECT dataset_id, 1 - (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) AS far FROM (SELECT dataset_id, i, sum(x) AS s, count(*) AS n FROM own JOIN u ON u.id = own.id GROUP BY dataset_id, i) AS a GROUP BY dataset_id HAVING max(n) > 1),
+    deep AS (SELECT dataset_id, 1 - (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) AS deep FROM (SELECT dataset_id, i, sum(x) AS s, count(*) AS n FROM own JOIN w ON w.id = own.id GROUP BY dataset_id, i) AS a GROUP BY dataset_id HAVING max(n) > 1),
+    near AS (SELECT x.dataset_id, count(*) AS near_pairs FROM (SELECT a.id AS a, b.id AS b FROM {{vector}} AS a JOIN {{vector}} AS b ON a.id < b.id WHERE {AB} >= 0.45) AS p JOIN own AS x ON x.id = p.a JOIN own AS y ON y.id = p.b AND y.dataset_id = x.dataset_id GROUP BY x.dataset_id),
+    pil AS (SELECT b.*, coalesce(near_pairs, 0) AS near_pairs, greatest(0, least(100, 100 * (far - 0.10) / 0.45)) AS spread, CASE WHEN images > 1 THEN 100.0 * kinds / images END AS uniq, greatest(0, least(100, 100 * (deep - 0.05) / 0.40)) AS composition,
+      (100.0 * captioned / images + 100 - 100.0 * degenerate / images + 100 - 100.0 * copies / images + CASE WHEN sized > 0 THEN 100.0 * large / sized ELSE 0 END) / CASE WHEN sized > 0 THEN 4 ELSE 3 END AS hygiene
+      FROM base AS b LEFT JOIN far USING (dataset_id) LEFT JOIN deep USING (dataset_id) LEFT JOIN near USING (dataset_id)),
+    rep AS (SELECT *, 0.75 * spread + 0.25 * uniq AS diversity, (0.35 * quality + 0.30 * (0.75 * spread + 0.25 * uniq) + 0.15 * composition + 0.20 * hygiene) AS overall,
+      CASE WHEN low_quality > 0 AND kept IS NOT NULL THEN 0.35 * kept + 0.30 * (0.75 * spread + 0.25 * uniq) + 0.15 * composition + 0.20 * hygiene END AS projected FROM pil)"""
+RATIOS = {"f0": 20.0, "f1": 30.0, "f2": 10.0, "any": 5.0}
+
+
+def _report(v):
+    q = scores.average_scores(v("score"), v("metric")).select(F.col("media_id").alias("id"), r6("score"))
+    media = v("media").select("id", "sha256", "width", "height").join(q, "id", "left")
+    members = v("dataset_media").select("dataset_id", F.col("media_id").alias("id"))
+    groups = members.distinct().join(v("media").select("id", F.xxhash64("sha256").alias("group_id")), "id")
+    near = V.cosine_pairs(v("vector"), 0.45).select("a", "b")
+    captions = v("caption_text").select(F.col("media_id").alias("id"), "caption")
+    depth = v("vector").select("id", F.slice("vector", 1, 8).alias("vector"))
+    found = report.pillars(members, media, v("vector"), depth, groups, captions, near)
+    buckets = v("vector").select("id", F.concat(F.lit("f"), F.col("label").cast("string")).alias("bucket"))
+    return found, report.framings(members.join(v("media").select("id"), "id", "left_semi"), buckets, RATIOS)
+
+
+@query(f"""WITH {REPORT} SELECT dataset_id, images, round(quality, 4) AS quality, round(spread, 4) AS spread, round(uniq, 4) AS "unique", round(diversity, 4) AS diversity, round(composition, 4) AS composition, round(hygiene, 4) AS hygiene, round(overall, 4) AS overall,
+    CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 83 THEN 'B+' WHEN overall >= 75 THEN 'B' WHEN overall >= 65 THEN 'C' ELSE 'D' END AS grade, CASE WHEN overall >= 80 THEN 'ready' WHEN overall >= 65 THEN 'usable' ELSE 'needs work' END AS verdict, round(projected, 4) AS projected,
+    low_quality, images - captioned AS uncaptioned, degenerate, copies, near_pairs FROM rep""", codes=ORACLES["integrity_codes"])
+def quality_report(v):
+    rounded = ("quality", "spread", "unique", "diversity", "composition", "hygiene", "overall", "projected")
+    found = _report(v)[0]
+    return found.select(*[F.round(c, 4).alias(c) if c in rounded else c for c in found.columns])
+
+
+@query(f"""WITH {REPORT}, t AS (SELECT 'f0' AS bucket, 20.0 / 60 * 100 AS target UNION ALL SELECT 'f1', 50.0 UNION ALL SELECT 'f2', 10.0 / 60 * 100), k AS (SELECT own.dataset_id, coalesce('f' || CAST(v.label AS VARCHAR(20)), 'unknown') AS bucket, count(*) AS n FROM own LEFT JOIN {{vector}} AS v ON v.id = own.id GROUP BY 1, 2),
+    d AS (SELECT b.dataset_id, t.bucket, coalesce(k.n, 0) AS n, 100.0 * coalesce(k.n, 0) / images AS share, target FROM base AS b JOIN t ON TRUE LEFT JOIN k ON k.dataset_id = b.dataset_id AND k.bucket = t.bucket),
+    o AS (SELECT dataset_id, bucket, n, share > target AS over_, row_number() OVER (PARTITION BY dataset_id ORDER BY abs(share - target) DESC, bucket DESC) AS r FROM d WHERE abs(share - target) > 12),
+    c AS (SELECT dataset_id, 0 AS p, 'Break near-dup pairs' AS head, near_pairs AS n, NULL AS detail FROM rep WHERE near_pairs > 0 UNION ALL SELECT dataset_id, 1, 'Prune the floor', low_quality, CAST(CAST(round(projected) AS BIGINT) AS VARCHAR(20)) FROM rep WHERE low_quality > 0
+      UNION ALL SELECT dataset_id, 2, 'Fill the caption gaps', images - captioned + degenerate, NULL FROM rep WHERE images - captioned + degenerate > 0 UNION ALL SELECT dataset_id, 3, 'Rebalance framing', n, bucket || CASE WHEN over_ THEN ' over' ELSE ' under' END FROM o WHERE r = 1
+      UNION ALL SELECT dataset_id, 4, CASE WHEN images < 20 THEN 'Grow the set' ELSE 'Curation beats volume' END, images, NULL FROM rep WHERE images < 20 OR images > 150)
+    SELECT dataset_id, CAST(place AS INT) AS place, head, n, detail FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY p) - 1 AS place FROM c) AS x WHERE place < 5""", codes=ORACLES["integrity_codes"])
+def report_recommendations(v):
+    return report.recommendations(*_report(v))

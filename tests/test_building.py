@@ -114,3 +114,27 @@ def test_resolutions_count_as_of_a_report(spark):
     }
     assert {tuple(r) for r in issues.stale(found.filter("report = 9"), history).collect()} == {("m", 2, "changed"), ("gone", 1, "gone")}
     assert issues.in_force(found, history.limit(0)).filter("state <> 'open'").count() == 0
+
+
+def test_reports_of_small_sets(spark):
+    from lumenset.operators import report
+
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    members = one([(1, 1), (1, 2), (1, 2), (2, 3), (2, 99), (3, 4)], "dataset_id long, id long")
+    media = one([(1, "a", 2000, 10, 90.0), (2, "a", 100, 100, 50.0), (3, "c", None, None, None), (4, "d", 1024, 1, 80.0)], "id long, sha256 string, width int, height int, score double")
+    vectors = one([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "id long, vector array<double>")
+    groups = one([(1, 7, 1), (1, 7, 2), (2, 8, 3), (3, 9, 4)], "dataset_id long, group_id long, id long")
+    captions = one([(1, "A fine caption."), (2, "it goes on and"), (4, None)], "id long, caption string")
+    near = one([(1, 2), (1, 3)], "a long, b long")
+    out = {r.dataset_id: r for r in report.pillars(members, media, vectors, vectors.limit(0), groups, captions, near).collect()}
+    r = out[1]
+    assert (r.images, r.quality, r.spread, r.unique, r.diversity, r.composition, r.hygiene) == (2, 70.0, 100.0, 50.0, 87.5, None, (100 + 50 + 50 + 50) / 4)
+    overall = (0.35 * 70 + 0.30 * 87.5 + 0.20 * 62.5) / 0.85
+    assert r.overall == pytest.approx(overall) and r.projected == pytest.approx(overall + 0.35 * 20 / 0.85) and (r.low_quality, r.degenerate, r.copies, r.near_pairs, r.uncaptioned) == (1, 1, 1, 1, 0)
+    assert (out[2].images, out[2].quality, out[2].diversity, out[2].overall, out[2].hygiene) == (1, None, None, pytest.approx(200 / 3), pytest.approx(200 / 3))
+    assert out[3].projected is None and out[3].uncaptioned == 1
+    rows = report.framings(members, one([(1, "x"), (3, "y")], "id long, bucket string"), {"x": 1, "y": 1, "any": 9})
+    assert {(r.dataset_id, r.bucket): (r.n, r.share, r.target) for r in rows.collect()}[1, "unknown"] == (1, 50.0, None)
+    cards = report.recommendations(report.pillars(members, media, vectors, vectors.limit(0), groups, captions, near), rows, (2, 3)).collect()
+    assert [(c.place, c.head, c.n) for c in sorted(cards, key=lambda c: (c.dataset_id, c.place)) if c.dataset_id == 1] == [(0, "Break near-dup pairs", 1), (1, "Prune the floor", 1), (2, "Fill the caption gaps", 1), (3, "Rebalance framing", 0)]
+    assert report.pillars(members.limit(0), media, vectors, vectors, groups, captions, near).count() == 0
