@@ -417,12 +417,12 @@ def zones_empty(v):
 
 
 def _candidates(v):
-    q = scores.average_scores(v("score"), v("metric")).select(F.col("media_id").alias("id"), F.round("score", 2).alias("score"))
+    q = scores.average_scores(v("score"), v("metric")).select(F.col("media_id").alias("id"), r6("score"))
     own = filters.live_scope(v("media")).join(v("vector").select("id", "vector", "label"), "id").join(q, "id", "left")
     return own.select("id", F.concat(F.lit("b"), (F.col("label") % 3).cast("string")).alias("bucket"), "favorite", "score", "vector")
 
 
-POOL = f"""SELECT m.id, m.favorite, m.sha256, coalesce(m.width, 0) * coalesce(m.height, 0) AS area, round(a.score, 2) AS score, 'b' || CAST(v.label % 3 AS VARCHAR(20)) AS bucket
+POOL = f"""SELECT m.id, m.favorite, m.sha256, coalesce(m.width, 0) * coalesce(m.height, 0) AS area, a.score, 'b' || CAST(v.label % 3 AS VARCHAR(20)) AS bucket
     FROM {{live_media}} AS m JOIN {{vector}} AS v ON v.id = m.id LEFT JOIN ({AVG}) AS a ON a.media_id = m.id"""
 
 
@@ -523,11 +523,11 @@ def _items(v):
 WANTED = """SELECT min(media_id) AS media_id, file, min_by(caption, media_id) AS caption FROM
     (SELECT id AS media_id, sha256 || CASE WHEN i > 0 THEN '_' || CAST(i AS VARCHAR(20)) ELSE '' END || '.' || file_extension AS file, name AS caption
     FROM {media}, (SELECT unnest(range(3)) AS i) AS r WHERE NOT hidden AND id % 41 <> 0 AND i < 1 + id % 3) AS f GROUP BY file"""
-PRESENT = "SELECT file, CASE WHEN media_id % 5 = 0 THEN '' ELSE caption END AS p FROM w WHERE media_id % 4 <> 0"
+PRESENT = "SELECT file, CASE WHEN media_id % 5 = 0 THEN '' ELSE caption END AS p FROM w WHERE caption NOT LIKE '%a%'"
 
 
 def _present(wanted):
-    return wanted.filter("media_id % 4 <> 0").select("file", F.when(F.col("media_id") % 5 == 0, "").otherwise(F.col("caption")).alias("caption"))
+    return wanted.filter("caption not like '%a%'").select("file", F.when(F.col("media_id") % 5 == 0, "").otherwise(F.col("caption")).alias("caption"))
 
 
 @query(f"WITH w AS ({WANTED}), p AS ({PRESENT}) SELECT w.file, CASE WHEN p.file IS NULL THEN 'write' ELSE 'rewrite' END AS action FROM w LEFT JOIN p ON w.file = p.file WHERE p.file IS NULL OR p.p <> w.caption")

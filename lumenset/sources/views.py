@@ -17,9 +17,9 @@ VIEWS = {
         CAST(p_partkey % 19 AS BIGINT) AS library_id, 'sha' || CAST(CASE WHEN p_partkey % 29 = 0 THEN p_partkey - 1 ELSE p_partkey END AS VARCHAR(20)) AS sha256,
         CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST((p_partkey * 7) % 100 AS DOUBLE) END AS sharpness FROM {part}""",
     "live_media": "SELECT * FROM {media} WHERE NOT hidden AND NOT deleted AND NOT discarded",
-    "score": """SELECT CAST(l_partkey AS BIGINT) AS media_id, 'musiq' AS metric_id, round(2 * avg(l_quantity), 6) AS score FROM {lineitem} WHERE l_partkey % 6 <> 0 GROUP BY l_partkey
-        UNION ALL SELECT CAST(l_partkey AS BIGINT), 'topiq_nr', round(10 * avg(l_discount), 6) FROM {lineitem} WHERE l_partkey % 4 <> 0 GROUP BY l_partkey
-        UNION ALL SELECT CAST(l_partkey AS BIGINT), 'laion_aes', round(1 + 9 * avg(l_tax) / 0.08, 6) FROM {lineitem} WHERE l_partkey % 3 <> 0 GROUP BY l_partkey""",
+    "score": """SELECT CAST(l_partkey AS BIGINT) AS media_id, 'musiq' AS metric_id, round(2 * avg(l_quantity), 6) AS score FROM {lineitem} GROUP BY l_partkey HAVING min(l_quantity) <= 3
+        UNION ALL SELECT CAST(l_partkey AS BIGINT), 'topiq_nr', round(10 * avg(l_discount), 6) FROM {lineitem} GROUP BY l_partkey HAVING max(l_quantity) >= 48
+        UNION ALL SELECT CAST(l_partkey AS BIGINT), 'laion_aes', round(1 + 9 * avg(l_tax) / 0.08, 6) FROM {lineitem} GROUP BY l_partkey HAVING count(*) >= 27""",
     "metric": """SELECT 'musiq' AS metric_id, CAST(0 AS DOUBLE) AS lo, CAST(100 AS DOUBLE) AS hi UNION ALL SELECT 'topiq_nr', CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
         UNION ALL SELECT 'laion_aes', CAST(1 AS DOUBLE), CAST(10 AS DOUBLE)""",
     "media_tag": """SELECT DISTINCT media_id, name, source FROM (SELECT CAST(p_partkey AS BIGINT) AS media_id, p_brand AS name, 'library' AS source FROM {part}
@@ -28,15 +28,15 @@ VIEWS = {
     "tag": "SELECT name, CAST(count(*) AS BIGINT) AS usage FROM {media_tag} GROUP BY name",
     "dataset_media": "SELECT DISTINCT CAST(o_custkey % 20 AS BIGINT) AS dataset_id, CAST(l_partkey AS BIGINT) AS media_id, l_partkey % 31 = 0 AS hidden FROM {orders} AS o JOIN {lineitem} AS l ON o_orderkey = l_orderkey WHERE l_linenumber = 1",
     "media_file": """SELECT CAST(p_partkey * 10 + k AS BIGINT) AS file_id, CAST(p_partkey AS BIGINT) AS media_id, 'lib' || CAST(p_partkey % 19 AS VARCHAR(20)) || '/d' || CAST(k AS VARCHAR(20)) || '/' || CAST(p_partkey AS VARCHAR(20)) || '.png' AS path,
-        (p_partkey + k) % 3 <> 0 AS present FROM {part} AS p JOIN (SELECT 0 AS k UNION ALL SELECT 1) AS n ON p_partkey % 37 <> 0""",
+        (p_partkey + k) % 3 <> 0 AS present FROM {part} AS p JOIN (SELECT 0 AS k UNION ALL SELECT 1) AS n ON p_size <> 37""",
     "revision": "SELECT CAST(conv_id AS BIGINT) AS caption_id, CAST(turn AS BIGINT) AS revision_id, text AS content FROM {conversations}",
     "caption": "SELECT caption_id, max(revision_id) AS head FROM {revision} GROUP BY caption_id",
-    "pin": "SELECT caption_id, CASE WHEN caption_id % 6 = 0 THEN 'pinned' ELSE 'follow' END AS mode, min(revision_id) AS revision_id FROM {revision} WHERE caption_id % 3 = 0 GROUP BY caption_id",
+    "pin": "SELECT caption_id, CASE WHEN caption_id % 6 = 0 THEN 'pinned' ELSE 'follow' END AS mode, min(revision_id) AS revision_id FROM {revision} GROUP BY caption_id HAVING count(*) >= 7",
     "caption_text": "SELECT CAST(doc_id AS BIGINT) AS media_id, coalesce(text, '') AS caption FROM {documents}",
     "caption_score": """SELECT CAST(d.doc_id AS BIGINT) AS media_id, CASE WHEN d.doc_id % 2 = 0 THEN 'full' ELSE 'tags' END AS kind, CAST((d.doc_id * 31 + quality * 17) % 100 AS DOUBLE) AS score,
         CASE WHEN d.doc_id % 9 = 0 THEN 'old' ELSE 'siglip' END AS model_id FROM {documents} AS d JOIN {labels} AS l ON d.doc_id = l.doc_id""",
     "claim": """SELECT CAST(doc_id AS BIGINT) AS media_id, k AS claim_no, CAST((doc_id * 13 + k * 41) % 100 AS DOUBLE) AS score, (doc_id + k) % 8 = 0 AS rejected FROM {labels}
-        JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS n ON doc_id % 5 <> k""",
+        JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS n ON quality = 1 OR k < 2""",
     "vector": "SELECT CAST(vec_id AS BIGINT) AS id, embedding AS vector, label FROM {embeddings}",
     "folder": """SELECT CAST(page_id AS BIGINT) AS file_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?].*$', '') AS rel_path FROM {pages}""",
     "job_sample": "SELECT CAST(user_id AS BIGINT) AS job_id, CAST(event_id AS BIGINT) AS event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) * (1 + event_id % 3) AS DOUBLE) AS done, CAST(event_id AS DOUBLE) AS t FROM {events}",
@@ -45,7 +45,7 @@ VIEWS = {
     "zone": """SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS zone_id, CAST(l_partkey AS BIGINT) AS media_id, CAST((l_partkey * 7) % 100 AS DOUBLE) / 100 AS x, CAST((l_suppkey * 11) % 100 AS DOUBLE) / 100 AS y,
         CAST((l_orderkey * 3) % 64 AS DOUBLE) / 64 AS w, CAST(l_linenumber AS DOUBLE) / 8 AS h, CASE WHEN l_orderkey % 3 = 0 THEN 'detected' ELSE 'patched' END AS status,
         CAST(4 + l_linenumber AS BIGINT) AS dilate_px, 'patch' || CAST(l_orderkey AS VARCHAR(20)) AS patch_sha FROM {lineitem}""",
-    "review": "SELECT caption_id, revision_id, CASE WHEN (caption_id + revision_id) % 4 = 0 THEN 'integrity' ELSE 'ok' END AS status FROM {revision} WHERE (caption_id + revision_id) % 5 <> 0",
+    "review": "SELECT caption_id, revision_id, CASE WHEN (caption_id + revision_id) % 4 = 0 THEN 'integrity' ELSE 'ok' END AS status FROM {revision} WHERE length(content) > 100",
     "finding": "SELECT CAST(event_id AS BIGINT) AS finding_id, CAST(user_id % 50 AS BIGINT) AS dataset_id, CASE event_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM {events}",
 }
 
