@@ -100,6 +100,24 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.select("vec_id", label.alias("label"), whole.alias("vector")), F.col("id") % 50 == 0)
 
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.w, b.w) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.k <= 5
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS "rank", negative_id, positive_score, negative_score FROM n WHERE r <= 3
+"""
+
+
 def op13_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialize(permutation.build_index(_read(spark, sf_dir, "embeddings")), "index")
     return permutation.search(index, F.col("id") % 100 == 0)
@@ -109,4 +127,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_rules, op2_packing, op3_id_files, op4_chat_rotation, op5_pii, op6_minhash, op7_passages, op8_simhash, op9_mixing, op10_main_text, op11_structure_repair, op12_hard_negatives, op13_permutation_index)
 } | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op4_chat_rotation": OP4_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES = {"op4_chat_rotation": OP4_SQL, "op12_hard_negatives": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
