@@ -18,7 +18,7 @@ from lumenset.llm.common import release
 
 #: Pivots (of a sample of as many vectors, at most half of all), how many a vector is posted under, the part of a block that is reranked
 #: and how many rows of it at least.
-PIVOTS, POSTED, SHARE, LEAST = 512, 128, 0.3, 256
+PIVOTS, POSTED, SHARE, LEAST = 512, 128, 0.45, 256
 
 
 def pivots_of(vectors: DataFrame, most: int = PIVOTS, seed: int = 7) -> np.ndarray:
