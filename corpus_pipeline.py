@@ -1,4 +1,8 @@
-"""A corpus for training from the table of documents, in five stages: each written as Parquet and read again."""
+"""A corpus for training from the table of documents, in five stages: each written as Parquet and read again.
+
+In every stage null texts count as empty, equal rows are rows of their own unless a stage says otherwise, texts are taken
+whole, columns that the stage doesn't know stay as they are whatever their names, and no documents give none.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,12 @@ from lumenset.llm.vocabulary import BYTE_BPE, vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that neither the base rules nor the learned decision list rejects."""
+    """The documents that neither the base rules nor the learned decision list rejects; those without words go. Labels may be missing, null or repeated."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a five-word similarity of 0.8: that with the least doc_id."""
+    """One document of each component of texts with a five-word similarity of 0.8: that with the least doc_id (null: last; ties: by its columns' hash)."""
     return simhash.drop_near_duplicates(docs, width=5, radius=20, similarity=0.8)
 
 
@@ -27,12 +31,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's repetition rate says."""
+    """Each document as often as its source's repetition rate says; a null source is a source, and reruns agree."""
     return mixing.mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' token ids in sequences of 2048."""
+    """The pieces of the documents' token ids in sequences of 2048; an empty text has its end id alone."""
     return packing.pack(docs, vocabulary_path(BYTE_BPE))
 
 
