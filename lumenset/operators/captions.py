@@ -44,6 +44,11 @@ def is_empty(text: Column) -> Column:
     return F.length(stripped(text)) < MIN_CHARS
 
 
+def has_text(text: Column) -> Column:
+    """Whether a text holds more than blanks (Unicode's space separators); line breaks and tabs count, and so do one or two letters."""
+    return F.coalesce(text.rlike(r"\P{Zs}"), F.lit(False))
+
+
 def is_truncated(text: Column) -> Column:
     """Long enough, and no full stop before the closing quotes and brackets."""
     core = F.regexp_replace(stripped(text), WRAPPERS, "")
