@@ -206,31 +206,67 @@ KEYS = 8
 _SEEDS = mixed(np.arange(1, KEYS + 1, dtype=np.uint64))
 
 
+#: Parities of the smallest and the largest sets.
+FEWEST, MOST = 256, 32768
+
+
 def sketch(text: bytes, width: int) -> bytes:
-    """SimHash of the text's set of shingles, its parities and its ``KEYS`` min-hashes, as 64-bit integers.
+    """SimHash of the text's set of shingles, how many it has, its ``KEYS`` min-hashes and its parities, as 64-bit integers.
 
-    The parities are how many shingles the set has, and for each of 256 parts of all hashes whether it has an odd number
-    there: two sets differ in at least as many shingles as their parities differ in. No words: zeros.
+    The parities are, for each part of all hashes, whether the set has an odd number there: two sets differ in at least as many
+    shingles as their parities differ in. There are as many parts as the set has shingles, or up to twice as many (a power of two,
+    within ``FEWEST`` and ``MOST``); with fewer, the parities of any two large sets differ in half of the parts. No words: zeros.
     """
     own = shingle_set(text, width)
     if not len(own):
-        return bytes(8 * (6 + KEYS))
+        return bytes(8 * (2 + KEYS) + FEWEST // 8)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(own), 4096):
         ones += np.unpackbits(own[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp = np.packbits(2 * ones > len(own), bitorder="little").tobytes()
-    odd = (np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    parts = min(MOST, max(FEWEST, 1 << (len(own) - 1).bit_length()))
+    odd = (np.bincount((own >> np.uint64(32) & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1).astype(np.uint8)
     least = np.array([mixed(own ^ seed).min() for seed in _SEEDS], dtype=np.uint64)
-    return fp + np.uint64(len(own)).tobytes() + np.packbits(odd).tobytes() + least.tobytes()
+    return fp + np.uint64(len(own)).tobytes() + least.tobytes() + np.packbits(odd).tobytes()
+
+
+class _Parities:
+    """Sizes and parities of a tile's sets. Those of a larger set fold to those of fewer parts, so any two sets compare by the smaller's."""
+
+    def __init__(self, odd: list[bytes]):
+        self.size = np.frombuffer(b"".join(o[:8] for o in odd), dtype=np.uint64).astype(np.float64)
+        self.words = np.array([len(o) // 8 - 1 for o in odd], dtype=np.int64)
+        self.at, rows, table, w = {}, np.zeros(0, dtype=np.int64), np.zeros((0, 2 * MOST // 64), dtype=np.uint64), MOST // 64
+        while w >= FEWEST // 64:  # of each number of words: the sets that have as many or more, and where they are
+            own = np.flatnonzero(self.words == w)
+            table = table[:, :w] ^ table[:, w:]
+            table = np.concatenate([table, np.frombuffer(b"".join(odd[k][8:] for k in own), dtype=np.uint64).reshape(-1, w)])
+            rows = np.concatenate([rows, own])
+            place = np.full(len(odd), -1)
+            place[rows] = np.arange(len(rows))
+            self.at[w] = place, table
+            w //= 2
+
+
+def _able(x: _Parities, y: _Parities, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (i of x, j of y) may have the similarity: of sets with Jaccard s, the smaller has s of the larger's size
+    at least, and they differ in ``(1 - s) / (1 + s)`` of the sum of sizes at most."""
+    na, nb = x.size[i], y.size[j]
+    left = np.flatnonzero(np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6)
+    most = (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6
+    words = np.minimum(x.words[i], y.words[j])
 
+    def within(some: np.ndarray, w: int) -> np.ndarray:
+        (p, a), (q, b) = x.at[w], y.at[w]
+        out = [some[:0]]
+        for s in range(0, len(some), step := max(1, (1 << 18) // w)):
+            k = some[s : s + step]
+            differ = np.bitwise_count(a[p[i[k]]] ^ b[q[j[k]]]).sum(axis=1, dtype=np.int64)
+            out.append(k[differ <= most[k]])
+        return np.concatenate(out)
 
-def _able(odd: np.ndarray, odd2: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the parities leave two sets the similarity: of sets with Jaccard s, the smaller has s of the larger's size at
-    least, and they differ in ``(1 - s) / (1 + s)`` of the sum of sizes at most."""
-    na, nb = odd[:, 0].astype(np.float64), odd2[:, 0].astype(np.float64)
-    able = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-6
-    most = (na + nb) * (1 - similarity) / (1 + similarity) + 1e-6
-    return able & (np.bitwise_count(odd[:, 1:] ^ odd2[:, 1:]).sum(axis=1, dtype=np.int64) <= most)
+    left = within(left, FEWEST // 64)
+    return np.sort(np.concatenate([left[words[left] == FEWEST // 64], *[within(left[words[left] == w], w) for w in np.unique(words[left]) if w > FEWEST // 64]]))
 
 
 def _first_pairs(members: DataFrame, radius: int) -> DataFrame:
@@ -243,7 +279,8 @@ def _first_pairs(members: DataFrame, radius: int) -> DataFrame:
 def _other_pairs(members: DataFrame, radius: int, similarity: float, most: int, tile: int = 2048) -> DataFrame:
     """(a, b, more): pairs of texts that have a min-hash in common, words within ``radius`` bits, and no root in common.
 
-    A text gets the ``most`` nearest ones after it in its tile, and ``more`` says that there are others. But for those whose parities show that they can't have the similarity. Texts lie in tiles; a tile is compared, with
+    A text gets the ``most`` nearest ones after it in its tile, but for those whose parities show that they can't have the
+    similarity, and ``more`` says that there are others. Texts lie in tiles; a tile is compared, with
     numpy's exclusive-or and bit counts, to those alone whose population counts are in reach.
     """
     several = members.groupBy("mask", "part").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("mask", "part")
@@ -252,18 +289,22 @@ def _other_pairs(members: DataFrame, radius: int, similarity: float, most: int,
     keys = ["mask", "part", "lo", "hi"]
 
     def run(batches):
-        held, at = {False: [], True: []}, None
+        held, parities, at = {False: [], True: []}, {False: [], True: []}, None
 
         def found():
             one, two = ([np.concatenate(c) for c in zip(*held[k], strict=True)] if held[k] else None for k in (False, True))
             if one is None or two is None and at[2] != at[3]:
                 return
-            fp, h, root, odd = one
-            fp2, h2, root2, odd2 = one if two is None else two
+            fp, h, root = one
+            fp2, h2, root2 = one if two is None else two
+            odd = _Parities(parities[False])
+            odd2 = odd if two is None else _Parities(parities[True])
             for x in range(0, len(fp), 256):
                 i, j = np.nonzero((np.bitwise_count(fp[x : x + 256, None] ^ fp2[None, :]) <= radius) & (root[x : x + 256, None] != root2[None, :]))
                 i += x
-                able = _able(odd[i], odd2[j], similarity) & ((i < j) | (two is not None))
+                if two is None:
+                    i, j = i[i < j], j[i < j]
+                able = _able(odd, odd2, i, j, similarity)
                 i, j = i[able], j[able]
                 by = np.lexsort((np.bitwise_count(fp[i] ^ fp2[j]), i))
                 i, j = i[by], j[by]
@@ -278,14 +319,15 @@ def _other_pairs(members: DataFrame, radius: int, similarity: float, most: int,
                 continue
             fp, h, root = (batch[c].to_numpy() for c in ("fp", "hash", "root"))
             cols = [batch[c].to_numpy() for c in keys]
-            odd = np.frombuffer(b"".join(batch["odd"].to_pylist()), dtype=np.uint64).reshape(-1, 5)
+            odd = batch["odd"].to_pylist()
             second = batch["second"].to_numpy(zero_copy_only=False)
             edge = 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in (*cols, second)], axis=0))
             for s, e in zip([0, *edge], [*edge, len(fp)], strict=True):
                 if at != (now := tuple(c[s] for c in cols)):
                     yield from found() if at else ()
-                    held, at = {False: [], True: []}, now
-                held[bool(second[s])].append((fp[s:e].astype(np.uint64), h[s:e].copy(), root[s:e].copy(), odd[s:e]))  # bit counts of negative numbers are of their absolute values
+                    held, parities, at = {False: [], True: []}, {False: [], True: []}, now
+                parities[bool(second[s])].extend(odd[s:e])
+                held[bool(second[s])].append((fp[s:e].astype(np.uint64), h[s:e].copy(), root[s:e].copy()))  # bit counts of negative numbers are of their absolute values
         if at:
             yield from found()
 
@@ -387,10 +429,12 @@ def _verified(kept: DataFrame, uid: str, text_col: str, radius: int, width: int,
 
 def _unpacked(batches):
     """The parts of sketches."""
+    head = 8 * (2 + KEYS)
     for batch in batches:
-        x = np.frombuffer(b"".join(batch["s"].to_pylist()), dtype=np.int64).reshape(-1, 6 + KEYS)
-        odd = [r.tobytes() for r in x[:, 1:6]]
-        least = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(x) + 1, KEYS), pa.int32()), pa.array(x[:, 6:].reshape(-1)))
+        whole = batch["s"].to_pylist()
+        x = np.frombuffer(b"".join(s[:head] for s in whole), dtype=np.int64).reshape(-1, 2 + KEYS)
+        odd = [s[8:16] + s[head:] for s in whole]
+        least = pa.ListArray.from_arrays(pa.array(np.arange(0, KEYS * len(x) + 1, KEYS), pa.int32()), pa.array(x[:, 2:].reshape(-1)))
         cols = [batch["h1"], batch["h2"], batch["hash"], pa.array(x[:, 0]), pa.array(odd, pa.binary()), least]
         yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "hash", "fp", "odd", "least"])
 

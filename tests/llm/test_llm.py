@@ -695,3 +695,22 @@ def test_verified_components_match_all_pairs(spark, tile, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in simhash.drop_near_duplicates(df, width=5, radius=20, similarity=0.8).collect()}
     assert kept == {min(i for i, x in enumerate(label) if x == k) for k in set(label)}
+
+
+def test_pairs_that_only_share_a_line_are_not_made(spark):
+    rng = np.random.default_rng(23)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    line, base, texts = some(12), some(1500), []
+    for k in range(60):  # texts of many lengths with one line in common: their parities in 256 parts tell nothing
+        texts.append(some(300 + 40 * k) + line)
+    for k in range(3):
+        texts.append(base[:700] + some(10 * k + 1) + base[700:])
+    texts = [" ".join(t) for t in texts]
+    rows = [(0, 0, i, 0, i, simhash.sketch(t.encode(), 5)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "h1 long, h2 long, hash long, mask int, root long, s binary")
+    odd = df.mapInArrow(simhash._unpacked, "h1 long, h2 long, hash long, fp long, odd binary, least array<long>").select("hash", "odd")
+    members = df.select("hash", "mask", "root", F.lit(7).cast("long").alias("part"), F.lit(0).cast("long").alias("fp")).join(odd, "hash")
+    got = sorted((r.a, r.b) for r in simhash._other_pairs(members, 20, 0.8, 100).collect())
+    assert got == [(60, 61), (60, 62), (61, 62)]
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    assert max(len(np.intersect1d(x, y)) for i, x in enumerate(sets[:60]) for y in sets[:i]) == 8  # the line's shingles alone
