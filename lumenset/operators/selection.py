@@ -5,12 +5,16 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Media with up to so many boxes are gone through together.
+FEW = 64
+
+
 def quotas(size: int, weights: dict[str, float]) -> dict[str, int]:
     """``size`` shared by weight, whole numbers by largest remainder; ties go to the one declared first."""
     live = {k: Fraction(str(w)) for k, w in weights.items() if w and w > 0}
@@ -37,42 +41,56 @@ def suppress(boxes: DataFrame, iou_most: float = 0.5, inside_most: float = 0.6)
     """Greedy non-maximum suppression of each medium's boxes: the best score first, what overlaps a kept box goes.
 
     Media are dealt out by id and sorted, best box first, so a task goes through many media's boxes in one stream; it
-    holds one image's detections at a time.
+    holds a batch and one image's detections at a time, and media of a batch with as many boxes are compared in one array.
     """
 
-    def kept(x: np.ndarray) -> list[int]:
+    def over(x: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """Whether a box x overlaps a box o too much; sides along the last axis."""
+        iw = np.clip(np.minimum(x[..., 0] + x[..., 2], o[..., 0] + o[..., 2]) - np.maximum(x[..., 0], o[..., 0]), 0, None)
+        ih = np.clip(np.minimum(x[..., 1] + x[..., 3], o[..., 1] + o[..., 3]) - np.maximum(x[..., 1], o[..., 1]), 0, None)
+        inner, own = iw * ih, x[..., 2] * x[..., 3]
+        return (inner / (own + o[..., 2] * o[..., 3] - inner) > iou_most) | (inner / own > inside_most)
+
+    def kept(x: np.ndarray) -> np.ndarray:
         out: list[int] = []
-        for i, (x0, y0, w, h) in enumerate(x):
-            o = x[out]
-            iw = np.clip(np.minimum(x0 + w, o[:, 0] + o[:, 2]) - np.maximum(x0, o[:, 0]), 0, None)
-            ih = np.clip(np.minimum(y0 + h, o[:, 1] + o[:, 3]) - np.maximum(y0, o[:, 1]), 0, None)
-            inner = iw * ih
-            if not ((inner / (w * h + o[:, 2] * o[:, 3] - inner) > iou_most) | (inner / (w * h) > inside_most)).any():
+        for i in range(len(x)):
+            if not over(x[i], x[out]).any():
                 out.append(i)
-        return out
-
-    def run(frames):
-        held = None
-        for pdf in frames:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            if not len(pdf):
+        return np.array(out, dtype=np.int64)
+
+    def chosen(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The rows that stay, of media that begin at ``start`` (the end comes last): those with few boxes all at once, place by place."""
+        size, rows = np.diff(start), [np.zeros(0, dtype=np.int64)]
+        rows += [start[k] + kept(x[start[k] : start[k + 1]]) for k in np.flatnonzero(size > FEW)]
+        for n in np.unique(size[size <= FEW]):
+            first = start[:-1][size == n]
+            box, stays = x[first[:, None] + np.arange(n)], np.ones((len(first), n), dtype=bool)
+            for i in range(1, n):
+                stays[:, i] = ~(over(box[:, i, None], box[:, :i]) & stays[:, :i]).any(axis=1)
+            k, i = np.nonzero(stays)
+            rows.append(first[k] + i)
+        return np.sort(np.concatenate(rows))
+
+    def run(batches):
+        held, names = None, ["media_id", "box_no", "score"]
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            if not t.num_rows:
                 continue
-            ids = pdf["media_id"].to_numpy()
+            ids = t["media_id"].to_numpy()
             start = np.concatenate([[0], 1 + np.flatnonzero(ids[1:] != ids[:-1])])
-            held = pdf.iloc[start[-1] :].reset_index(drop=True)
-            yield chosen(pdf.iloc[: start[-1]], start)
+            x = np.stack([t[c].to_numpy().astype(float) for c in "xywh"], axis=1)
+            yield from t.select(names).take(pa.array(chosen(x, start))).to_batches()
+            held = t.slice(start[-1])  # the last medium may go on in the next batch
         if held is not None:
-            yield chosen(held, np.array([0, len(held)]))
-
-    def chosen(pdf: pd.DataFrame, start: np.ndarray) -> pd.DataFrame:
-        x = pdf[list("xywh")].to_numpy(float)
-        rows = [a + i for a, b in zip(start, start[1:], strict=False) for i in kept(x[a:b])]
-        return pdf.iloc[rows][["media_id", "box_no", "score"]]
+            x = np.stack([held[c].to_numpy().astype(float) for c in "xywh"], axis=1)
+            yield from held.select(names).take(pa.array(chosen(x, np.array([0, len(x)])))).to_batches()
 
     n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = boxes.select("media_id", "box_no", "score", *"xywh").repartition(n, "media_id")
     dealt = dealt.sortWithinPartitions("media_id", F.col("score").desc(), "box_no")
-    return dealt.mapInPandas(run, "media_id long, box_no long, score double")
+    return dealt.mapInArrow(run, "media_id long, box_no long, score double")
 
 
 def upgrade_pairs(members: DataFrame, incoming: DataFrame) -> DataFrame:

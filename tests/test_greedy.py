@@ -24,6 +24,17 @@ def test_suppression_equals_a_plain_loop(spark):
     assert selection.suppress(df.filter("false")).count() == 0
 
 
+def test_media_of_many_and_of_few_boxes_are_gone_through_alike(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(m), i, *map(float, rng.integers(0, 40, 2)), *map(float, rng.integers(0, 30, 2)), float(rng.integers(0, 5))) for i, m in enumerate(rng.integers(0, 300, 2000))]
+    df = spark.createDataFrame(rows, "media_id long, box_no long, x double, y double, w double, h double, score double")
+    found = {}
+    for few in (0, 6, 64):
+        monkeypatch.setattr(selection, "FEW", few)
+        found[few] = sorted((r.media_id, r.box_no) for r in selection.suppress(df).collect())
+    assert found[0] == found[6] == found[64] and 300 <= len(found[0]) < 2000
+
+
 def test_diverse_picks_equal_a_plain_loop(spark):
     rng = np.random.default_rng(5)
     vs = rng.normal(size=(30, 4))
