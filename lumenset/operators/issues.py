@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenset.functions.storage import materialize
 from lumenset.operators.vectors import NEIGHBOURS, SIGMA, neighbours
 
 #: What an issue of each kind weighs at least, and the cosine from which two media are copies.
@@ -43,6 +44,7 @@ def outlier_issues(vectors: DataFrame, sigma: float = SIGMA, k: int = NEIGHBOURS
     """An issue for each vector that is far from its ``k`` nearest: key ``out:id``, kind, ids, value (mean distance), impact, fingerprint, nearest (their ids)."""
     near = neighbours(vectors, k)
     own = near.groupBy("id").agg((1 - F.avg("cosine")).alias("value"), F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("near"))  # k rows each
+    own = materialize(own, "distances")  # for the level and again for what is over it
     level = own.agg((F.avg("value") + sigma * F.stddev_pop("value")).alias("bar"), F.stddev_pop("value").alias("dev"))
     far = own.join(F.broadcast(level), F.col("dev") > 1e-9).filter(F.col("value") > F.col("bar"))  # one row
     impact = BASE_IMPACT["outlier"] + F.least(F.lit(WIDEST), (F.col("value") - F.col("bar")) * WIDEST)
