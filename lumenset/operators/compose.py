@@ -46,7 +46,8 @@ def duplicated(changes: DataFrame, dataset: DataFrame, groups: DataFrame, near:
     count = own.groupBy("proposal_id", "group_id").agg(F.sum("sign").alias("change")).join(base, "group_id", "left")
     crowded = count.filter(F.col("change") + F.coalesce("held", F.lit(0)) > 1).select("proposal_id", "group_id")
     by_group = own.filter("sign > 0").join(crowded, ["proposal_id", "group_id"], "left_semi").select("proposal_id", "id")
-    links = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # not a union, which would make the pairs twice
+    links = near.select(F.explode(both).alias("l")).select("l.a", "l.b")
     asked = changes.filter("sign > 0").select("proposal_id", F.col("id").alias("a")).join(links, "a")
     sign = changes.select("proposal_id", F.col("id").alias("b"), F.col("sign").alias("moved"))
     kept = dataset.select(F.col("id").alias("b")).distinct().withColumn("member", F.lit(True))

@@ -44,7 +44,9 @@ def _composed(v):
 def compose_preview(v):
     media, base, proposals = _composed(v)
     groups = v("media").select("id", F.xxhash64("sha256").alias("group_id"))
-    out = compose.preview(media, base, proposals, groups, V.cosine_pairs(v("vector"), 0.35).select("a", "b"))
+    named = base.select("id").union(proposals.select("id")).distinct()  # a pair counts only if both are in the set or in a proposal
+    near = V.cosine_pairs(v("vector").join(named, "id", "left_semi"), 0.35).select("a", "b")
+    out = compose.preview(media, base, proposals, groups, near)
     rounded = ("quality", "diversity", "base_quality", "base_diversity", "score", "base_score", "delta")
     return out.select(*[F.round(c, 4).alias(c) if c in rounded else c for c in out.columns])
 
