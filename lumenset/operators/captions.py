@@ -5,8 +5,11 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +18,10 @@ from lumenset.functions.layout import spread
 
 #: Fixed values of the integrity checks.
 MIN_CHARS, NGRAM, TIMES, GARBAGE = 3, 3, 3, 0.15
-SPACE = r"[\x20\x09-\x0D]+"
-WRAPPERS = r"[\x20\t\r\n\"')\]}»”’]+$"
+SPACE, BLANKS = r"[\x20\x09-\x0D]+", " \t\n\v\f\r"
+WRAPPERS = " \t\r\n\"')]}»”’"
+#: A text of Latin letters, digits, marks and white space alone, in which nothing is unreadable.
+PLAIN = r"\A[\x09-\x0D\x20-\x7E\xA1-\xAC\xAE-\u024F]*+\z"
 #: White space, and what is neither printable nor white space (but for unassigned code points).
 BLANK = r"\x09-\x0D\x1C-\x20\x85\xA0" + "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNREADABLE = r"\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F" + "\ufffd" + r"\p{Cf}\p{Co}"
@@ -37,7 +42,7 @@ def unused_revisions(captions: DataFrame, pins: DataFrame, revisions: DataFrame)
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def is_empty(text: Column) -> Column:
@@ -51,7 +56,7 @@ def has_text(text: Column) -> Column:
 
 def is_truncated(text: Column) -> Column:
     """Long enough, and no full stop before the closing quotes and brackets."""
-    core = F.regexp_replace(stripped(text), WRAPPERS, "")
+    core = F.rtrim(stripped(text), F.lit(WRAPPERS))
     return (F.length(core) >= MIN_CHARS) & ~F.substring(core, -1, 1).isin(".", "!", "?", "…")
 
 
@@ -89,7 +94,7 @@ def repeated_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def has_residue(text: Column) -> Column:
-    return text.rlike(RESIDUE)
+    return text.contains("<") & text.rlike(RESIDUE)  # all of it begins so
 
 
 def is_garbage(text: Column) -> Column:
@@ -97,16 +102,39 @@ def is_garbage(text: Column) -> Column:
     unreadable = rf"[{UNREADABLE}\p{{Cs}}\p{{Cn}}]"
     core = F.regexp_replace(F.regexp_replace(text, rf"^[{BLANK}]+", ""), rf"[{BLANK}]+$", "")
     bad = F.length(core) - F.length(F.regexp_replace(core, unreadable, ""))
-    return F.when(text.rlike(unreadable), bad >= GARBAGE * F.length(core)).otherwise(False)
+    return F.when(~text.rlike(PLAIN) & text.rlike(unreadable), bad >= GARBAGE * F.length(core)).otherwise(False)
+
+
+def _loops(text: bytes) -> bool:
+    """Whether a phrase of three words occurs ``TIMES`` times or more: hashes tell whether one may, and if so, phrases are counted."""
+    w = text.split()  # bytes are split at ASCII's white space
+    h, odd = np.fromiter(map(hash, w), np.int64, len(w)).view(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    h = np.sort((h[:-2] * odd + h[1:-1]) * odd + h[2:])
+    return bool((h[TIMES - 1 :] == h[: 1 - TIMES]).any()) and max(Counter(zip(w, w[1:], w[2:])).values()) >= TIMES
+
+
+def checked(df: DataFrame, key: str, text: str, **more: Column) -> DataFrame:
+    """``key``, what is wrong with the text as booleans (empty, truncated, repetition, garbage, residue), and ``more``.
+
+    A text is read once, and is neither joined nor sorted; lower-cased it goes to a task's Python, for repeated phrases alone.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    flags = {"empty": is_empty(t), "truncated": is_truncated(t), "garbage": is_garbage(t), "residue": has_residue(t)} | more
+    own = spread(df).select(key, *[c.alias(n) for n, c in flags.items()], F.lower(t).cast("binary").alias("repetition"))
+
+    def found(batches):
+        for b in batches:
+            loops = pa.array([_loops(x.as_py()) for x in b.column("repetition")], pa.bool_())
+            yield b.set_column(b.num_columns - 1, "repetition", loops)
+
+    schema = T.StructType([f if f.name != "repetition" else T.StructField(f.name, T.BooleanType()) for f in own.schema])
+    return own.mapInArrow(found, schema)
 
 
 def integrity(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the ordered codes of what is wrong with the text."""
-    loops = repeated_phrases(df, key, text).select(key, F.lit(True).alias("loops"))
-    t = F.coalesce(F.col(text), F.lit(""))
-    flags = [("empty", is_empty(t)), ("truncated", is_truncated(t)), ("repetition", F.coalesce("loops", F.lit(False))), ("garbage", is_garbage(t)), ("residue", has_residue(t))]
-    codes = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags]), lambda x: x.isNotNull())
-    return spread(df.select(key, text)).join(loops, key, "left").select(key, codes.alias("issues"))
+    codes = F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in ("empty", "truncated", "repetition", "garbage", "residue")]), lambda x: x.isNotNull())
+    return checked(df.select(key, text), key, text).select(key, codes.alias("issues"))
 
 
 def trigger_rule(text: Column, word: str) -> tuple[Column, Column]:

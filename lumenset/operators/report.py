@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenset.functions.storage import materialize
 from lumenset.operators import captions as C
 from lumenset.operators import scores
-from lumenset.operators.vectors import SPREAD, unit
+from lumenset.operators.vectors import SPREAD, pairs_in_sets, unit
 
 #: The window of the composition's spread, the parts of diversity, floors of quality and of the longer side, the
 #: recommended sizes, the drift of a framing's share that counts, and how many recommendations are shown.
@@ -19,40 +20,56 @@ def _window(mean: Column, window: tuple[float, float]) -> Column:
     return F.when(mean.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * (mean - window[0]) / (window[1] - window[0]))))
 
 
-def spreads(members: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
-    """(dataset_id, ``name``): the mean distance of each set's pairs of vectors, in closed form from the sums of its unit vectors; null for fewer than two."""
-    own = members.select("dataset_id", "id").join(vectors.filter("vector is not null").select("id", unit().alias("u")), "id")
-    axes = own.select("dataset_id", F.posexplode("u").alias("i", "x")).groupBy("dataset_id", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+def _of_sets(own: DataFrame, *columns: str | Column) -> DataFrame:
+    """``own`` with a row for each set that a medium is in."""
+    return own.select(*columns, F.explode("sets").alias("set")).select("set.dataset_id", "*").drop("set")
+
+
+def spreads(own: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
+    """(dataset_id, ``name``): the mean distance of each set's pairs of vectors, in closed form from the sums of its unit vectors; null for fewer than two.
+
+    ``own``: id, sets; a vector is sent once, however many sets it is in.
+    """
+    u = own.select("id", "sets").join(vectors.filter("vector is not null").select("id", unit().alias("u")), "id")
+    axes = _of_sets(u, "u").select("dataset_id", F.posexplode("u").alias("i", "x")).groupBy("dataset_id", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     sums = axes.groupBy("dataset_id").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("q"), F.max("n").alias("n"))
     return sums.select("dataset_id", F.when(F.col("n") > 1, 1 - (F.col("ss") - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias(name))
 
 
-def pillars(members: DataFrame, media: DataFrame, vectors: DataFrame, depth: DataFrame, groups: DataFrame, captions: DataFrame, near: DataFrame) -> DataFrame:
+def pillars(members: DataFrame, media: DataFrame, vectors: DataFrame, depth: DataFrame, groups: DataFrame, captions: DataFrame, near: DataFrame | float) -> DataFrame:
     """A row for each set: images, quality, spread, unique, diversity, composition, hygiene, overall, grade, verdict, and the counts behind them.
 
     ``members``: dataset_id, id; ``media``: id, sha256, width, height, score (0 to 100 or null); ``vectors`` and ``depth``: id, vector; ``groups``:
-    dataset_id, group_id, id, the lookalikes within a set, of which all hashed media have one (their own, if nothing is like them); ``captions``: id, caption;
-    ``near``: pairs (a, b) of near copies. Quality is the mean of known scores. Diversity is the spread of vectors with a quarter of
+    dataset_id, group_id, id, the lookalikes within a set, of which all hashed media have one (their own, if nothing is like them), or group_id, id, those
+    of all sets; ``captions``: id, caption; ``near``: pairs (a, b) of near copies, or the least cosine of two, which are counted where they are found. Quality is the mean of known scores. Diversity is the spread of vectors with a quarter of
     the share that stays if each group keeps one. Composition is the spread of depth vectors. Hygiene is the mean of the shares of captions, sound captions, first copies
     and, where sizes are known, long enough sides. What nothing supports is null and doesn't count in the grade. ``projected`` is the grade without
     the media under the floor of quality, where that changes it. Members that ``media`` lacks don't count; repeated ones count once.
     """
-    own = members.select("dataset_id", "id").distinct().join(media, "id")
-    codes = C.integrity(captions.select("id", "caption"), "id", "caption").select("id", (F.size(F.array_except("issues", F.array(F.lit("empty")))) > 0).alias("bad"))
-    has = captions.select("id", (F.trim(F.coalesce("caption", F.lit(""))) != "").alias("captioned")).join(codes, "id", "left")
-    own = own.join(has, "id", "left").withColumns({"captioned": F.coalesce("captioned", F.lit(False)), "bad": F.coalesce("bad", F.lit(False)) & F.coalesce("captioned", F.lit(False))})
+    held = members.groupBy("id").agg(F.collect_set(F.struct("dataset_id")).alias("sets"))  # a row a medium: what is joined doesn't grow with its sets
+    has = C.checked(captions.select("id", "caption"), "id", "caption", captioned=F.trim(F.coalesce("caption", F.lit(""))) != "")
+    has = has.select("id", "captioned", (F.col("captioned") & (F.col("truncated") | F.col("repetition") | F.col("garbage") | F.col("residue"))).alias("bad"))
+    own = held.join(media, "id").join(has, "id", "left").withColumns({"captioned": F.coalesce("captioned", F.lit(False)), "bad": F.coalesce("bad", F.lit(False))})
+    own = materialize(own.select("id", "sets", "sha256", "width", "height", "score", "captioned", "bad"), "own")  # all parts are made from it
     sized = F.coalesce(F.col("width") > 0, F.lit(False)) & F.coalesce(F.col("height") > 0, F.lit(False))
     floor = F.col("score") >= LOW_QUALITY
-    base = own.groupBy("dataset_id").agg(
+    base = _of_sets(own, "*").groupBy("dataset_id").agg(
         F.count("*").alias("images"), F.count("score").alias("scored"), F.avg("score").alias("quality"), F.avg(F.when(floor, F.col("score"))).alias("kept"), F.count_if(~floor).alias("low_quality"),
         F.count_if("captioned").alias("captioned"), F.count_if("bad").alias("degenerate"), (F.count("sha256") - F.countDistinct("sha256")).alias("copies"),
         F.count_if(sized).alias("sized"), F.count_if(sized & (F.greatest("width", "height") >= LONG_SIDE)).alias("large"),
     )
-    member = own.select("dataset_id", "id")
-    unique = groups.join(member, ["dataset_id", "id"], "left_semi").groupBy("dataset_id").agg(F.count("*").alias("hashed"), F.countDistinct("group_id").alias("kinds"))
-    pairs = near.select("a", "b").distinct().join(member.withColumnRenamed("id", "a"), "a").join(member.withColumnRenamed("id", "b"), ["dataset_id", "b"]).groupBy("dataset_id").agg(F.count("*").alias("near_pairs"))
+    if "dataset_id" in groups.columns:
+        alike = groups.join(_of_sets(own, "id"), ["dataset_id", "id"], "left_semi")
+    else:
+        alike = _of_sets(own.select("id", "sets").join(groups.select("id", "group_id"), "id"), "group_id")
+    unique = alike.groupBy("dataset_id").agg(F.count("*").alias("hashed"), F.countDistinct("group_id").alias("kinds"))
+    if isinstance(near, DataFrame):
+        member = _of_sets(own, "id")
+        pairs = near.select("a", "b").distinct().join(member.withColumnRenamed("id", "a"), "a").join(member.withColumnRenamed("id", "b"), ["dataset_id", "b"]).groupBy("dataset_id").agg(F.count("*").alias("near_pairs"))
+    else:
+        pairs = pairs_in_sets(vectors, own.select("id", F.filter("sets.dataset_id", lambda x: x.isNotNull()).alias("sets")), near).withColumnsRenamed({"set": "dataset_id", "n": "near_pairs"})
     rows = base
-    for part in (spreads(member, vectors, "far"), spreads(member, depth, "deep"), unique, pairs):
+    for part in (spreads(own, vectors, "far"), spreads(own, depth, "deep"), unique, pairs):
         rows = rows.join(part, "dataset_id", "left")
     share = lambda a, b: F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b))
     spread, same = _window(F.col("far"), SPREAD), F.when(F.col("hashed") > 1, 100.0 * F.col("kinds") / F.col("hashed"))
@@ -79,7 +96,7 @@ def framings(members: DataFrame, buckets: DataFrame, ratios: dict[str, float]) -
     spark, total = members.sparkSession, sum(v for k, v in ratios.items() if k != "any")
     own = members.select("dataset_id", "id").distinct().join(buckets.select("id", "bucket"), "id", "left").withColumn("bucket", F.coalesce("bucket", F.lit("unknown")))
     counts = own.groupBy("dataset_id", "bucket").agg(F.count("*").alias("n"))
-    sums = own.groupBy("dataset_id").agg(F.count("*").alias("all"))
+    sums = counts.groupBy("dataset_id").agg(F.sum("n").alias("all"))
     wanted = spark.createDataFrame([(k, 100.0 * v / total) for k, v in ratios.items() if k != "any" and total], "bucket string, target double")
     every = sums.join(F.broadcast(wanted), F.lit(True)).select("dataset_id", "bucket", "target")  # the buckets of a recipe
     both = counts.join(every, ["dataset_id", "bucket"], "full").join(sums, "dataset_id")

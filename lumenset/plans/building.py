@@ -275,12 +275,11 @@ RATIOS = {"f0": 20.0, "f1": 30.0, "f2": 10.0, "any": 5.0}
 def _report(v):
     q = scores.average_scores(v("score"), v("metric")).select(F.col("media_id").alias("id"), r6("score"))
     media = v("media").select("id", "sha256", "width", "height").join(q, "id", "left")
-    members = v("dataset_media").select("dataset_id", F.col("media_id").alias("id"))
-    groups = members.distinct().join(v("media").select("id", F.xxhash64("sha256").alias("group_id")), "id")
-    near = V.cosine_pairs(v("vector"), 0.45).select("a", "b")
+    members = materialize(v("dataset_media").select("dataset_id", F.col("media_id").alias("id")).distinct(), "members")
+    groups = v("media").select("id", F.xxhash64("sha256").alias("group_id"))
     captions = v("caption_text").select(F.col("media_id").alias("id"), "caption")
     depth = v("vector").select("id", F.slice("vector", 1, 8).alias("vector"))
-    found = report.pillars(members, media, v("vector"), depth, groups, captions, near)
+    found = report.pillars(members, media, v("vector"), depth, groups, captions, 0.45)
     buckets = v("vector").select("id", F.concat(F.lit("f"), F.col("label").cast("string")).alias("bucket"))
     return found, report.framings(members.join(v("media").select("id"), "id", "left_semi"), buckets, RATIOS)
 
