@@ -93,12 +93,12 @@ def framings(members: DataFrame, buckets: DataFrame, ratios: dict[str, float]) -
 
     Shares and targets are in per cent; targets are of the ratios but ``any``; a bucket without a ratio has none.
     """
-    spark, total = members.sparkSession, sum(v for k, v in ratios.items() if k != "any")
+    total = sum(v for k, v in ratios.items() if k != "any")
     own = members.select("dataset_id", "id").distinct().join(buckets.select("id", "bucket"), "id", "left").withColumn("bucket", F.coalesce("bucket", F.lit("unknown")))
     counts = own.groupBy("dataset_id", "bucket").agg(F.count("*").alias("n"))
     sums = counts.groupBy("dataset_id").agg(F.sum("n").alias("all"))
-    wanted = spark.createDataFrame([(k, 100.0 * v / total) for k, v in ratios.items() if k != "any" and total], "bucket string, target double")
-    every = sums.join(F.broadcast(wanted), F.lit(True)).select("dataset_id", "bucket", "target")  # the buckets of a recipe
+    wanted = F.array(*[F.struct(F.lit(k).alias("bucket"), F.lit(100.0 * v / total).alias("target")) for k, v in ratios.items() if k != "any" and total])
+    every = sums.select("dataset_id", F.explode(wanted.cast("array<struct<bucket:string,target:double>>")).alias("w")).select("dataset_id", "w.*")  # the buckets of a recipe
     both = counts.join(every, ["dataset_id", "bucket"], "full").join(sums, "dataset_id")
     return both.select("dataset_id", "bucket", F.coalesce("n", F.lit(0)).alias("n"), (100.0 * F.coalesce("n", F.lit(0)) / F.col("all")).alias("share"), "target")
 

@@ -67,6 +67,15 @@ def test_texts_are_neither_joined_nor_sorted(spark):
     assert "Join" not in plan and "Sort" not in plan
 
 
+def test_targets_need_no_table_of_their_own(spark):
+    members = spark.range(9).selectExpr("id % 2 AS dataset_id", "id")
+    found = report.framings(members, spark.range(5).selectExpr("id", "'x' AS bucket"), {"x": 1, "y": 3, "any": 9})
+    assert {tuple(r) for r in found.collect()} == {(0, "x", 3, 60.0, 25.0), (0, "unknown", 2, 40.0, None), (0, "y", 0, 0.0, 75.0), (1, "x", 2, 50.0, 25.0), (1, "unknown", 2, 50.0, None), (1, "y", 0, 0.0, 75.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert report.framings(members, spark.range(5).selectExpr("id", "'x' AS bucket"), {"any": 9}).filter("target IS NOT NULL").count() == 0
+
+
 @pytest.mark.parametrize("name", ["integrity_codes", "integrity_empty", "integrity_truncated", "integrity_repetition"])
 def test_odd_texts_match_sql(spark, tmp_path, name):
     texts = ["", " ", None, "\t\n\x0b\x0c\r", "ab", " abc", "abc. \u2028", "It ends.\u201d )", "no end \u00bb]}", "x\u00a0y z", "\ufffd\ufffd\ufffdabc.", "caf\u00e9 \u00ad\u00ad.", "\u65e5\u672c\u8a9e\u3002", "\u200b\u200b\u200b", "</think>x.", "a < b.", "<|end|>", "\x07\x07 bell."]
